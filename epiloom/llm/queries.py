@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import token_counts, url_reputation
+from . import decontamination, fingerprints, line_dedup, lm_scoring, packing, token_counts, toxicity, url_reputation
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op3_decontamination": decontamination.op3_decontamination,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_packing": packing.op5_packing,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_url_reputation": url_reputation.op7_url_reputation,
+    "op10_lm_scoring": lm_scoring.op10_lm_scoring,
 }
 SQL = {
+    "op6_line_dedup": line_dedup.SQL,
     "op7_url_reputation": url_reputation.SQL,
+    "op10_lm_scoring": lm_scoring.SQL,
 }
