@@ -81,7 +81,8 @@ class Remembered(dict):
 
 
 N_FEATURES = 17
-STRONG = 6.0
+#: Log-odds from which a term is strong.
+STRONG = 3.5
 
 
 def features(text: str, known: Remembered) -> list[float]:
@@ -116,8 +117,9 @@ def learn_terms(counts: Counter, texts: tuple[int, int], most: int = TERMS) -> L
         odds = math.log((p + 0.5) / (positive - p + 0.5)) - math.log((n + 0.5) / (negative - n + 0.5))
         z = odds / math.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
         if p >= 4 and z >= 2.5 and odds > 1:
-            weight[term] = z
-    return Lexicon(dict(sorted(weight.items(), key=lambda x: (-x[1], x[0]))[:most]))
+            weight[term] = (z, odds)
+    best = sorted(weight.items(), key=lambda x: (-x[1][0], x[0]))[:most]
+    return Lexicon({term: odds for term, (_, odds) in best})
 
 
 @dataclass
@@ -221,16 +223,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
         for batch in batches:
             c: Counter = Counter()
-            for text, y in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for text, y, part in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 words = set(WORD.findall(text.lower()))
-                c.update((t, y) for t in {t for w in words for t in terms_of(w)} if len(t) <= 40)
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in c], pa.string()), pa.array([y for _, y in c], pa.int32()), pa.array(list(c.values()), pa.int64())], ["term", "toxic", "n"])
+                c.update((t, y, part < 4) for t in {t for w in words for t in terms_of(w)} if len(t) <= 40)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in c], pa.string()), pa.array([k[1] for k in c], pa.int32()), pa.array([k[2] for k in c], pa.bool_()), pa.array(list(c.values()), pa.int64())], ["term", "toxic", "lex", "n"]
+            )
 
-    counted = rows.filter("part < 4").select("text", "toxic").repartition(16).mapInArrow(count_terms, "term string, toxic int, n long")
-    both = counted.groupBy("term").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("p"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("n"))
-    best = both.filter("p >= 4").orderBy(F.desc(F.expr("p / (n + 3.0)")), F.desc("p"), "term").limit(20 * TERMS).collect()
-    counts = Counter({(r.term, 1): r.p for r in best}) | Counter({(r.term, 0): r.n for r in best})
-    lexicon = learn_terms(counts, (n.get((True, 0), 0), n.get((True, 1), 0)))
+    counted = rows.select("text", "toxic", "part").repartition(16).mapInArrow(count_terms, "term string, toxic int, lex boolean, n long")
+    sums = counted.groupBy("term").agg(*(F.sum(F.expr(f"if(toxic = {y} and (lex or {every}), n, 0)")).alias(f"{name}{y}") for name, every in (("half", "false"), ("all", "true")) for y in (0, 1)))
+    sums = written(sums.filter("all1 >= 4"))
+
+    def learned(name: str, texts: tuple[int, int]) -> Lexicon:
+        p, q = F.col(f"{name}1"), F.col(f"{name}0")
+        best = sums.filter(p >= 4).orderBy(F.desc(p / (q + 3.0)), F.desc(p), "term").limit(20 * TERMS).select("term", p.alias("p"), q.alias("q")).collect()
+        return learn_terms(Counter({(r.term, 1): r.p for r in best}) | Counter({(r.term, 0): r.q for r in best}), texts)
+
+    # trees and calibration see documents that their lexicon wasn't learned from; scoring uses all that the sample teaches
+    lexicon, final = learned("half", (n.get((True, 0), 0), n.get((True, 1), 0))), learned("all", (negative, positive))
 
     def describe(batches):
         import pyarrow as pa
@@ -250,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(Lexicon({}), None, np.zeros(1), np.zeros(1), share)
     trees = Trees.fit(x[fit], y[fit])
     at, value = isotonic(trees.raw(x[fix]), y[fix])
-    return Model(lexicon, trees, at, value, share)
+    return Model(final, trees, at, value, share)
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
