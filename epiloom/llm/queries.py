@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, html_extraction, line_dedup, lm_scoring, packing, token_counts, toxicity, url_reputation
+from . import decontamination, fingerprints, html_extraction, line_dedup, lm_scoring, ngram_join, packing, token_counts, toxicity, url_reputation
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -12,11 +12,13 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_url_reputation": url_reputation.op7_url_reputation,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
 }
 SQL = {
     "op6_line_dedup": line_dedup.SQL,
     "op7_url_reputation": url_reputation.SQL,
+    "op8_ngram_join": ngram_join.SQL,
     "op10_lm_scoring": lm_scoring.SQL,
 }
