@@ -1,10 +1,66 @@
-"""The corpus pipeline: documents through the operators of epiloom.llm, stage by stage."""
+"""The corpus pipeline: documents through five operators of epiloom.llm, each stage written and read by the next.
+
+1. toxicity: documents that score at least the threshold go.
+2. line dedup: lines that many documents repeat go, but for the last document's.
+3. n-gram Jaccard join: of each group of near copies the smallest doc_id stays.
+4. benchmark decontamination: documents that hold a copy of a test item go.
+5. best-fit packing: the rest, cut into pieces and dealt into sequences.
+
+Every stage works on all rows that the one before kept.  Stages 1 to 4 return
+the columns of documents; where a stage changes texts, n_chars follows them.
+Rows without doc_id stay with their group only if no row of it has one.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from epiloom.llm import decontamination, line_dedup, ngram_join, packing, toxicity
+from epiloom.llm.common import table, written
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(docs, model).filter("predicted = 0").select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedupe_lines(docs)
+    chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", chars).select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document whose doc_id names its component stays; those without any shingle are no copies of anything."""
+    groups = ngram_join.near_duplicates(docs)
+    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    placed = packing.packed(packing.pieces(docs))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", keep_clean),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", pack),
+]
+#: SQL can express neither boosted trees nor alignment nor packing; tests/llm/test_pipeline.py has the brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,10 +3,11 @@
 Features of a whole text: densities of a learned lexicon (strong and weak
 terms, plain and after undoing obfuscation), the densest stretch of hits, hits
 near a second-person word, capitals, punctuation and obfuscation rates.  The
-lexicon holds words and word beginnings whose log-odds of standing in a toxic
-training document are high; it, the trees and the calibration are learned from
-disjoint parts of a sample of at most `sample` labelled training documents
-(equal texts once), in the order of a hash of doc_id.  Only the sample's
+lexicon holds words and word beginnings that toxic training documents hold more
+often than clean ones by a likelihood-ratio test.  All is learned from a sample
+of at most `sample` labelled training documents (equal texts once), the first in
+the order of a hash of doc_id; trees are fitted to features whose lexicon comes
+from the sample's other half, and calibrated on scores of folds left out.  Only the sample's
 features and the best terms reach the driver.  Every document is scored.
 
 Defined results: null text counts as empty and is scored like any other text;
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 
 from .common import batches_of, table, written
 
-SAMPLE, TERMS, THRESHOLD = 16_000, 600, 0.7
+SAMPLE, TERMS, THRESHOLD, LEAST_G2, FOLDS = 16_000, 600, 0.7, 20.0, 4
 WORD = re.compile(r"[^\W\d_](?:[\w'@$*!]*\w)?")
 #: Second-person words.
 SECOND = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer ti tú usted ustedes vosotros su sus".split())
@@ -109,15 +110,21 @@ def features(text: str, known: Remembered) -> list[float]:
 
 
 def learn_terms(counts: Counter, texts: tuple[int, int], most: int = TERMS) -> Lexicon:
-    """counts: (term, toxic) -> documents; texts: how many clean and toxic documents."""
+    """Terms that toxic documents hold more often than chance allows (likelihood ratio, G^2).
+
+    counts: (term, toxic) -> documents; texts: how many clean and toxic documents.
+    """
     negative, positive = texts
+    of = lambda k, n: k * math.log(k / n) if k else 0.0
     weight = {}
     for term in {t for t, y in counts if y}:
         p, n = counts[term, 1], counts[term, 0]
         odds = math.log((p + 0.5) / (positive - p + 0.5)) - math.log((n + 0.5) / (negative - n + 0.5))
-        z = odds / math.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
-        if p >= 4 and z >= 2.5 and odds > 1:
-            weight[term] = (z, odds)
+        apart = of(p, positive) + of(positive - p, positive) + of(n, negative) + of(negative - n, negative)
+        k, total = p + n, positive + negative
+        g2 = 2 * (apart - of(k, total) - of(total - k, total))
+        if p >= 4 and g2 >= LEAST_G2 and odds > 1:
+            weight[term] = (g2, odds)
     best = sorted(weight.items(), key=lambda x: (-x[1][0], x[0]))[:most]
     return Lexicon({term: odds for term, (_, odds) in best})
 
@@ -212,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)  # the documented bound: `sample` rows of two numbers
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = written(texts.withColumn("same", F.xxhash64("text")).dropDuplicates(["same"]).withColumn("part", F.pmod(F.xxhash64("same", F.lit(4)), F.lit(8))))
-    n = {(r.lex, r.toxic): r["count"] for r in rows.groupBy((F.col("part") < 4).alias("lex"), "toxic").count().collect()}
+    n = {(r.half, r.toxic): r["count"] for r in rows.groupBy((F.col("part") % 2).alias("half"), "toxic").count().collect()}
     negative, positive = (sum(v for (_, y), v in n.items() if y == t) for t in (0, 1))
     share = positive / max(positive + negative, 1)
     if min(negative, positive) < 8:
@@ -225,13 +232,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             c: Counter = Counter()
             for text, y, part in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 words = set(WORD.findall(text.lower()))
-                c.update((t, y, part < 4) for t in {t for w in words for t in terms_of(w)} if len(t) <= 40)
+                c.update((t, y, part % 2) for t in {t for w in words for t in terms_of(w)} if len(t) <= 40)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in c], pa.string()), pa.array([k[1] for k in c], pa.int32()), pa.array([k[2] for k in c], pa.bool_()), pa.array(list(c.values()), pa.int64())], ["term", "toxic", "lex", "n"]
+                [pa.array([k[0] for k in c], pa.string()), pa.array([k[1] for k in c], pa.int32()), pa.array([k[2] for k in c], pa.int64()), pa.array(list(c.values()), pa.int64())], ["term", "toxic", "half", "n"]
             )
 
-    counted = rows.select("text", "toxic", "part").repartition(16).mapInArrow(count_terms, "term string, toxic int, lex boolean, n long")
-    sums = counted.groupBy("term").agg(*(F.sum(F.expr(f"if(toxic = {y} and (lex or {every}), n, 0)")).alias(f"{name}{y}") for name, every in (("half", "false"), ("all", "true")) for y in (0, 1)))
+    counted = rows.select("text", "toxic", "part").repartition(16).mapInArrow(count_terms, "term string, toxic int, half long, n long")
+    sums = counted.groupBy("term").agg(*(F.sum(F.expr(f"if(toxic = {y} and {which}, n, 0)")).alias(f"{name}{y}") for name, which in (("a", "half = 0"), ("b", "half = 1"), ("all", "true")) for y in (0, 1)))
     sums = written(sums.filter("all1 >= 4"))
 
     def learned(name: str, texts: tuple[int, int]) -> Lexicon:
@@ -240,27 +247,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return learn_terms(Counter({(r.term, 1): r.p for r in best}) | Counter({(r.term, 0): r.q for r in best}), texts)
 
     # trees and calibration see documents that their lexicon wasn't learned from; scoring uses all that the sample teaches
-    lexicon, final = learned("half", (n.get((True, 0), 0), n.get((True, 1), 0))), learned("all", (negative, positive))
+    halves = [learned(name, (n.get((h, 0), 0), n.get((h, 1), 0))) for h, name in enumerate("ab")]
+    final = learned("all", (negative, positive))
 
     def describe(batches):
         import pyarrow as pa
 
-        known = Remembered(lexicon)
+        known = [Remembered(x) for x in halves]
         for batch in batches:
-            x = [features(t, known) for t in batch.column(0).to_pylist()]
+            x = [features(t, known[1 - part % 2]) for t, part in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "toxic", "part"])
 
-    data = rows.filter("part >= 4").select("text", "toxic", "part").repartition(16).mapInArrow(describe, "x array<double>, toxic int, part long").collect()
+    data = rows.select("text", "toxic", "part").repartition(16).mapInArrow(describe, "x array<double>, toxic int, part long").collect()
     data.sort(key=lambda r: (r.part, r.toxic, r.x))
-    x, y, part = np.array([r.x for r in data]).reshape(-1, N_FEATURES), np.array([r.toxic for r in data]), np.array([r.part for r in data])
-    fit, fix = part < 7, part == 7
-    if len(set(y[fit])) < 2 or len(set(y[fix])) < 2:
-        fit = fix = part >= 0
-    if len(set(y[fit])) < 2:
-        return Model(Lexicon({}), None, np.zeros(1), np.zeros(1), share)
-    trees = Trees.fit(x[fit], y[fit])
-    at, value = isotonic(trees.raw(x[fix]), y[fix])
-    return Model(final, trees, at, value, share)
+    x, y = np.array([r.x for r in data]).reshape(-1, N_FEATURES), np.array([r.toxic for r in data])
+    raw, fold = np.zeros(len(y)), np.arange(len(y)) % FOLDS
+    for k in range(FOLDS):  # calibrated on scores of documents that the trees didn't see
+        raw[fold == k] = Trees.fit(x[fold != k], y[fold != k]).raw(x[fold == k])
+    at, value = isotonic(raw, y)
+    return Model(final, Trees.fit(x, y), at, value, share)
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
