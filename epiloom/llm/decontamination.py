@@ -1,8 +1,9 @@
 """Operator 3: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
 Words are runs of letters, digits and underscores, lower-cased.  Of each test
-item the rarest n-grams - by how many documents of the whole corpus hold them -
-are its seeds, a `seed_share` of them at least.  A document that holds a seed is
+item the rare n-grams - those that at most a share RARE of all documents (or ten)
+hold - are its seeds, and at least the rarest `seed_share` of them, as an item
+that very many documents hold has no others.  A document that holds a seed is
 aligned with the item around the seed: match +2, mismatch and gap -1 (Smith-
 Waterman over words); a pair's score is the best alignment's over that of the
 whole item with itself.  Pairs of at least `least` are returned, so copies with
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, batches_of, encode, mix, ngram_hashes, table, written
 
-N, SEED_SHARE, LEAST, BLOCK_WORDS = 3, 0.6, 0.5, 1_000_000
+N, SEED_SHARE, RARE, LEAST, BLOCK_WORDS = 3, 0.6, 1e-3, 0.4, 1_000_000
 MATCH, MISS, GAP = 2, -1, -1
 WORD = re.compile(r"\w+")
 
@@ -84,14 +85,14 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
 class Items:
     """A block of test items and the seeds that lead to them."""
 
-    def __init__(self, rows: list[tuple[int, np.ndarray]], n: int, documents_with: dict[int, int] | None = None, share: float = SEED_SHARE):
+    def __init__(self, rows: list[tuple[int, np.ndarray]], n: int, documents_with: dict[int, int] | None = None, documents: int = 0, share: float = SEED_SHARE):
         self.ids, self.words, self.n = [r[0] for r in rows], [r[1] for r in rows], n
         found = []
         for k, h in enumerate(self.words):
             s = seeds_of(h, n)
             if documents_with is not None and len(s):
                 df = np.array([documents_with.get(int(x), 0) for x in s])
-                s_at = np.flatnonzero(df <= np.sort(df)[max(0, int(np.ceil(share * len(s))) - 1)])
+                s_at = np.flatnonzero(df <= max(np.sort(df)[max(0, int(np.ceil(share * len(s))) - 1)], RARE * documents, 10))
             else:
                 s_at = np.arange(len(s))
             found += [(int(s[p]), k, int(p)) for p in s_at]
@@ -179,10 +180,12 @@ def _one_block(docs: DataFrame, rows: list, n: int, seed_share: float, least: fl
                     at = np.searchsorted(seeds, s).clip(max=len(seeds) - 1)
                     total[np.unique(at[seeds[at] == s])] += 1
             some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(seeds[some].view(np.int64)), pa.array(total[some])], ["seed", "n"])
+            # the row without seed tells how many documents there are
+            yield pa.RecordBatch.from_arrays([pa.array([*seeds[some].view(np.int64).tolist(), None], pa.int64()), pa.array([*total[some].tolist(), batch.num_rows], pa.int64())], ["seed", "n"])
 
     counted = docs.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # at most one row a seed
-    items = Items(rows, n, {r.seed & (2**64 - 1): r.n for r in counted}, seed_share)
+    documents = sum(r.n for r in counted if r.seed is None)
+    items = Items(rows, n, {r.seed & (2**64 - 1): r.n for r in counted if r.seed is not None}, documents, seed_share)
 
     def find(batches):
         import pyarrow as pa
