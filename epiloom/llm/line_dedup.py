@@ -172,22 +172,23 @@ class LineIndex:
     def _changed(self, change: DataFrame, refs: DataFrame) -> LineIndex:
         """change: a, b, n (more or fewer), last."""
         change = sharded(change, self.shards)
-        schema = "shard int, a long, b long, n long, last long, tags binary"
+        # `last` travels as text, as pandas reads whole numbers beside nulls as fractions; a filter's row has n = 0
+        schema = "shard int, a long, b long, n long, last string, tags binary"
 
         def apply(key, held, new):
             import pandas as pd
 
-            tags = held["tags"].dropna()
-            known = CuckooFilter.from_bytes(tags.iloc[0]) if len(tags) else CuckooFilter()
-            old = held[held["tags"].isna()].drop(columns="tags").set_index(["a", "b"])
-            table = {k: (n, None if pd.isna(x) else int(x)) for k, n, x in zip(old.index, old["n"], old["last"], strict=True)}
+            own = held["n"].to_numpy() == 0
+            known = CuckooFilter.from_bytes(held["tags"][own].iloc[0]) if own.any() else CuckooFilter()
+            old = held[~own]
+            table = {(a, b): (n, x and int(x)) for a, b, n, x in zip(old["a"], old["b"], old["n"], old["last"], strict=True)}
             there = known.has(new["a"].to_numpy()) if len(new) else np.zeros(0, bool)
             fresh, gone = [], []
-            for a, b, n, last, maybe in zip(new["a"], new["b"], new["n"], new["last"], there, strict=True):
-                last = None if pd.isna(last) else int(last)
+            for a, b, n, x, maybe in zip(new["a"], new["b"], new["n"], new["last"], there, strict=True):
+                last = x and int(x)
                 n0, last0 = table.get((a, b), (0, None)) if maybe else (0, None)
                 now = n0 + n
-                last = last if n < 0 else max((x for x in (last, last0) if x is not None), default=None)
+                last = last if n < 0 else max((v for v in (last, last0) if v is not None), default=None)
                 if now > 0:
                     table[a, b] = (now, last)
                     if n0 == 0:
@@ -197,13 +198,18 @@ class LineIndex:
                     gone.append(a)
             known.remove(np.array(gone, np.int64))
             known = known.add(np.array(fresh, np.int64), np.array([k[0] for k in table], np.int64))
-            rows = [(key[0], a, b, n, x, None) for (a, b), (n, x) in table.items()] + ([(key[0], None, None, None, None, known.to_bytes())] if table else [])
-            out = pd.DataFrame(rows, columns=["shard", "a", "b", "n", "last", "tags"])
-            return out.astype({"a": "Int64", "b": "Int64", "n": "Int64", "last": "Int64"})
-
-        held = self.counts.withColumn("tags", F.lit(None).cast("binary")).unionByName(self.filters, allowMissingColumns=True)
+            rows = [(key[0], a, b, n, None if x is None else str(x), None) for (a, b), (n, x) in table.items()]
+            rows += [(key[0], 0, 0, 0, None, known.to_bytes())] if table else []
+            return pd.DataFrame(rows, columns=["shard", "a", "b", "n", "last", "tags"])
+
+        zero = F.lit(0).cast("long")
+        held = self.counts.withColumns({"last": F.col("last").cast("string"), "tags": F.lit(None).cast("binary")}).unionByName(
+            self.filters.select("shard", zero.alias("a"), zero.alias("b"), zero.alias("n"), F.lit(None).cast("string").alias("last"), "tags")
+        )
+        change = change.withColumn("last", F.col("last").cast("string"))
         both = written(held.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(apply, schema))
-        return LineIndex(both.filter("tags IS NULL").drop("tags"), both.filter("tags IS NOT NULL").select("shard", "tags"), refs, self.shards, self.min_chars)
+        counts = both.filter("n > 0").select("shard", "a", "b", "n", F.col("last").cast("long").alias("last"))
+        return LineIndex(counts, both.filter("n = 0").select("shard", "tags"), refs, self.shards, self.min_chars)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         more = written(references(docs, self.min_chars))
