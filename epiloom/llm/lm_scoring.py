@@ -68,6 +68,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_c
     shards = max(1, -(-total * order // (6 * shard_ngrams)))
     # a document's block follows from the row itself, so that every reading finds the same blocks
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas reads whole numbers beside nulls as fractions
     bounds = shard_bounds(shards)
 
     def ask(key, pdf):
@@ -128,10 +129,10 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_c
                     backed[n:] = ~found
             total = float(log.sum())
             rows.append((doc_id, m, int(backed.sum()), total, total / m if m else None))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_backoff", "log_score", "mean_log_score"])
-        return out.astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_backoff", "log_score", "mean_log_score"])
 
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "doc_id long, n_words long, n_backoff long, log_score double, mean_log_score double")
+    scores = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "doc_id string, n_words long, n_backoff long, log_score double, mean_log_score double")
+    return scores.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

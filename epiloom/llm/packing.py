@@ -130,7 +130,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets
 
 
-SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, sequence_id long, offset long, loose boolean"
+SCHEMA = "doc_id string, piece int, start long, length long, ids_crc32 long, part long, sequence_id long, offset long, loose boolean"
 
 
 def _packer(round_: int, capacity: int, released: float):
@@ -157,7 +157,8 @@ def _packer(round_: int, capacity: int, released: float):
 
 def packed(cut: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES, rounds: int = ROUNDS, released: float = RELEASED) -> DataFrame:
     """cut (doc_id, piece, start, length, ids_crc32) with part, sequence_id and offset."""
-    cut = written(cut)
+    # doc_id travels as text, as pandas reads whole numbers beside nulls as fractions
+    cut = written(cut.withColumn("doc_id", F.col("doc_id").cast("string")))
     parts = max(1, -(-cut.count() // part_pieces))
     state = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("sequence_id", "long"), ("offset", "long"), ("loose", "boolean"))]
@@ -172,7 +173,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIE
         # a group's pieces stay about as many: each of GROUP partitions gave up at most its share
         state = written(loose.groupBy("part").applyInPandas(_packer(r, capacity, released), SCHEMA))
         kept = kept.unionByName(state.filter("NOT loose"))
-    return kept.unionByName(state.filter("loose")).drop("loose")
+    return kept.unionByName(state.filter("loose")).drop("loose").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
