@@ -95,6 +95,22 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: Odd factors of a symbol by its place in a word (from place 4096 on they come again).
+PLACES = mix(np.arange(1, 4097, dtype=U64)) | U64(1)
+
+
+def run_hashes(symbols: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first place of each run of symbols that are marked as inside a word."""
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return np.empty(0, U64), at
+    first = np.flatnonzero(np.diff(at, prepend=at[0] - 2) != 1)
+    length = np.diff(np.append(first, len(at)))
+    place = np.arange(len(at)) - np.repeat(first, length)
+    h = np.add.reduceat((symbols[at].astype(U64) + U64(1)) * PLACES[place & 4095], first)
+    return mix(h + length.astype(U64)), at[first]
+
+
 def batches_of(batch, most: int = BLOCK_CHARS, text: str = "text") -> Iterator:
     """Slices of an Arrow batch of at most `most` bytes of text, or of one row."""
     import pyarrow.compute as pc

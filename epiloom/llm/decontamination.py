@@ -22,32 +22,32 @@ columns aren't read (dropped documents: `clean` passes them through).
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, batches_of, encode, mix, ngram_hashes, table, written
+from .common import U64, batches_of, mix, ngram_hashes, run_hashes, table, written
 
 N, SEED_SHARE, RARE, LEAST, BLOCK_WORDS = 3, 0.6, 1e-3, 0.4, 1_000_000
 MATCH, MISS, GAP = 2, -1, -1
-WORD = re.compile(r"\w+")
-
-
-class Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(encode(word))
-        if len(word) <= 48:
-            if len(self) >= 1 << 18:
-                self.clear()
-            self[word] = h
-        return h
-
-    def of(self, text: str) -> np.ndarray:
-        words = WORD.findall(text.lower())
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
+#: Whether a character is a letter, digit or underscore, below LOW; others are asked one by one.
+LOW, BLOCK_CHARS = 0x3000, 100_000
+#: Characters of text looked at together: arrays of this size stay in the cache.
+IN_WORD = np.array([chr(c).isalnum() or c == 95 for c in range(LOW)])
+BITS = 1 << 20
+
+
+def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and where each text's begin (one more: where the last ones end)."""
+    texts = [t.lower() for t in texts]
+    x = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = IN_WORD[np.minimum(x, LOW - 1)]
+    if len(high := np.flatnonzero(x >= LOW)):
+        kinds, kind = np.unique(x[high], return_inverse=True)
+        inside[high] = np.array([chr(c).isalnum() for c in kinds.tolist()])[kind]
+    h, at = run_hashes(x, inside)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return h, np.concatenate([[0], np.searchsorted(at, ends)])
 
 
 def seeds_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -99,6 +99,21 @@ class Items:
         found.sort()
         self.seed = np.array([f[0] for f in found], U64)
         self.item, self.place = np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64)
+        self.bits = np.zeros(BITS, bool)
+        self.bits[(self.seed & U64(BITS - 1)).astype(np.int64)] = True
+        self.short = any(len(w) < n for w in self.words)
+
+    def with_hits(self, h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """The texts, of those whose words are h[cuts[i]:cuts[i + 1]], that may hold a seed: all that do are among them."""
+        if not len(self.seed):
+            return np.empty(0, np.int64)
+        if self.short:
+            return np.flatnonzero(np.diff(cuts))
+        s = ngram_hashes(h, self.n)
+        at = np.flatnonzero(self.bits[(s & U64(BITS - 1)).astype(np.int64)])
+        found = np.searchsorted(self.seed, s[at]).clip(max=len(self.seed) - 1)
+        at = at[self.seed[found] == s[at]]
+        return np.unique(np.searchsorted(cuts, at, side="right") - 1)
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place in the document, item and place in the item of each seed found."""
@@ -141,9 +156,9 @@ class Items:
 
 def item_blocks(benchmark: DataFrame, most: int):
     """Lists of (item_id, word hashes) of at most `most` words, or of one item."""
-    hashes, block, size = Hashes(), [], 0
+    block, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        h = hashes.of(r.text or "")
+        h, _ = hashed([r.text or ""])
         if block and size + len(h) > most:
             yield block
             block, size = [], 0
@@ -169,16 +184,16 @@ def _one_block(docs: DataFrame, rows: list, n: int, seed_share: float, least: fl
     def count(batches):
         import pyarrow as pa
 
-        hashes = Hashes()
+        seeds = np.unique(every.seed)
         for batch in batches:
-            seeds = np.unique(every.seed)
             total = np.zeros(len(seeds), np.int64)
-            for text in batch.column(1).to_pylist():
-                h = hashes.of(text or "")
-                if len(h) and len(seeds):
-                    s = seeds_of(h, n)
-                    at = np.searchsorted(seeds, s).clip(max=len(seeds) - 1)
-                    total[np.unique(at[seeds[at] == s])] += 1
+            for part in batches_of(batch, BLOCK_CHARS):
+                h, cuts = hashed([t or "" for t in part.column(1).to_pylist()])
+                for i in every.with_hits(h, cuts):
+                    s = seeds_of(h[cuts[i] : cuts[i + 1]], n)
+                    if len(s):
+                        at = np.searchsorted(seeds, s).clip(max=len(seeds) - 1)
+                        total[np.unique(at[seeds[at] == s])] += 1
             some = np.flatnonzero(total)
             # the row without seed tells how many documents there are
             yield pa.RecordBatch.from_arrays([pa.array([*seeds[some].view(np.int64).tolist(), None], pa.int64()), pa.array([*total[some].tolist(), batch.num_rows], pa.int64())], ["seed", "n"])
@@ -190,16 +205,14 @@ def _one_block(docs: DataFrame, rows: list, n: int, seed_share: float, least: fl
     def find(batches):
         import pyarrow as pa
 
-        hashes = Hashes()
         for batch in batches:
-            for part in batches_of(batch):
+            for part in batches_of(batch, BLOCK_CHARS):
                 rows, found = [], []
-                for row, text in enumerate(part.column(1).to_pylist()):
-                    h = hashes.of(text or "")
-                    if len(h) and len(items.seed):
-                        got = items.matches(h, least)
-                        rows += [row] * len(got)
-                        found += got
+                h, cuts = hashed([t or "" for t in part.column(1).to_pylist()])
+                for row in items.with_hits(h, cuts).tolist():
+                    got = items.matches(h[cuts[row] : cuts[row + 1]], least)
+                    rows += [row] * len(got)
+                    found += got
                 columns = list(zip(*found, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(rows, pa.int64())), pa.array([items.ids[k] for k in columns[0]], pa.int64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())],
