@@ -2,5 +2,404 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import genes, hla
+from ..functions import text as t
+from ..operators import background, evaluate, ingest, knn, pairs, profile, ranking, scoring
+from ..operators.edit_join import edit_pairs
+from ..operators.screen import screen
+from ..sources.tables import numbered
+from . import synthetic as s
+from .synthetic import cdr3, derived, duck, peptide, table
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df, *columns: str, digits: int = 6):
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# ---- evaluation -------------------------------------------------------------------------------------------------
+
+_SCORES = "SELECT doc_id, lang, CASE WHEN n_chars % 3 = 0 THEN NULL ELSE CAST(n_chars % 50 AS DOUBLE) END AS score FROM documents"
+_LABELS = "SELECT doc_id, lang, toxic AS label FROM labels JOIN documents USING (doc_id)"
+_BOTH = f"s AS ({_SCORES}), l AS (SELECT doc_id, lang, CASE WHEN count(DISTINCT label) = 1 THEN min(label) END AS label, count(DISTINCT label) AS n FROM ({_LABELS}) GROUP BY ALL), b AS (SELECT coalesce(s.lang, l.lang) AS lang, s.score, l.label, coalesce(l.n, 0) AS n FROM s FULL JOIN l USING (doc_id))"
+
+
+def _evaluated(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scores = docs.select("doc_id", "lang", F.expr("CASE WHEN n_chars % 3 = 0 THEN NULL ELSE CAST(n_chars % 50 AS DOUBLE) END AS score"))
+    known = labels.join(docs.select("doc_id", "lang"), "doc_id").select("doc_id", "lang", F.col("toxic").alias("label"))
+    return evaluate.evaluate(scores, known, ["doc_id", "lang"], ["lang"])
+
+
+@query(f"""WITH {_BOTH}, u AS (SELECT lang, score, label FROM b WHERE score IS NOT NULL AND label IS NOT NULL),
+a AS (SELECT p.lang, avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END) AS auroc FROM u p JOIN u n ON p.lang = n.lang AND p.label = 1 AND n.label = 0 GROUP BY 1),
+x AS (SELECT lang, score, sum(label) AS p FROM u GROUP BY ALL),
+y AS (SELECT x.lang, x.p, (SELECT sum(label) FROM u WHERE u.lang = x.lang AND u.score >= x.score) AS tp, (SELECT count(*) FROM u WHERE u.lang = x.lang AND u.score >= x.score) AS k, (SELECT sum(label) FROM u WHERE u.lang = x.lang) AS pos FROM x)
+SELECT a.lang, round(auroc, 6) AS auroc, round((SELECT sum(p / pos * tp / k) FROM y WHERE y.lang = a.lang), 6) AS average_precision FROM a""")
+def eval_auroc_ap(spark, sf_dir):
+    return rounded(_evaluated(spark, sf_dir).filter("auroc IS NOT NULL").select("lang", "auroc", "average_precision"), "auroc", "average_precision")
+
+
+@query(f"""WITH {_BOTH} SELECT lang, count(*) AS n_keys, count(*) FILTER (WHERE n = 1) AS n_known, count(*) FILTER (WHERE n > 1) AS n_conflicting, count(*) FILTER (WHERE n = 0) AS n_unknown,
+count(*) FILTER (WHERE label IS NOT NULL AND score IS NOT NULL) AS n_scored, round(count(*) FILTER (WHERE label IS NOT NULL AND score IS NOT NULL) / count(*) FILTER (WHERE n = 1), 6) AS coverage FROM b GROUP BY lang""")
+def eval_full_outer_coverage(spark, sf_dir):
+    return rounded(_evaluated(spark, sf_dir).select("lang", "n_keys", "n_known", "n_conflicting", "n_unknown", "n_scored", "coverage"), "coverage")
+
+
+# ---- ranks, percentiles, histograms -----------------------------------------------------------------------------
+
+_ORDER_SCORE = "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE floor(o_totalprice / 1000) END"
+
+
+@query(f"WITH o AS (SELECT o_orderkey, o_orderpriority, {_ORDER_SCORE} AS score FROM orders) SELECT o_orderkey, o_orderpriority, score, CASE WHEN score IS NOT NULL THEN rank() OVER (PARTITION BY o_orderpriority ORDER BY score DESC NULLS LAST) END AS rank FROM o")
+def rank_min_in_context(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.expr(f"CAST({_ORDER_SCORE} AS DOUBLE)").alias("score"))
+    return ranking.rank_in_context(o, ["o_orderpriority"])
+
+
+@query("WITH m AS (SELECT l_returnflag, l_partkey, max(l_extendedprice) AS score FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_partkey, score, row_number() OVER (PARTITION BY l_returnflag ORDER BY score DESC, l_partkey) AS place FROM m QUALIFY place <= 10")
+def topk_distinct(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey", F.col("l_extendedprice").alias("score"))
+    return ranking.top_distinct(rows, ["l_returnflag"], "l_partkey", 10)
+
+
+@query("WITH m AS (SELECT l_returnflag, l_partkey, max(l_quantity) AS score FROM lineitem GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY l_returnflag ORDER BY score DESC) AS rank FROM m) SELECT l_orderkey, l_linenumber, rank FROM lineitem JOIN r USING (l_returnflag, l_partkey)")
+def rank_distinct_back(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", F.col("l_quantity").alias("score"))
+    return ranking.rank_distinct(rows, ["l_returnflag"], "l_partkey").select("l_orderkey", "l_linenumber", "rank")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderpriority AS ctx, floor(o_totalprice / 500) AS score, o_orderstatus AS st FROM orders),
+n AS (SELECT ctx, count(*) AS n FROM o WHERE st <> 'F' GROUP BY 1),
+g AS (SELECT ctx, score, count(*) AS c FROM o WHERE st <> 'F' GROUP BY ALL),
+x AS (SELECT d.ctx, d.score, coalesce((SELECT sum(c) FROM g WHERE g.ctx = d.ctx AND g.score >= d.score), 0) AS above FROM (SELECT DISTINCT ctx, score FROM o) d)
+SELECT o.o_orderkey, n.n AS background_n, round(100.0 * (1 + x.above) / (n.n + 1), 6) AS background_percentile FROM o JOIN n USING (ctx) JOIN x ON x.ctx = o.ctx AND x.score = o.score WHERE st = 'F'""")
+def background_percentile(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("ctx"), F.expr("CAST(floor(o_totalprice / 500) AS DOUBLE)").alias("score"), "o_orderstatus")
+    out = ranking.background_percentile(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus <> 'F'"), ["ctx"])
+    return rounded(out.select("o_orderkey", "background_n", "background_percentile"), "background_percentile")
+
+
+@query("""WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
+b AS (SELECT o_orderstatus AS series, least(floor((o_totalprice - lo) * 24 / (hi - lo)), 23)::INT AS bin, count(*) AS n FROM orders, e GROUP BY ALL)
+SELECT series, bin, n, round(n / sum(n) OVER (PARTITION BY series), 6) AS share FROM b""")
+def histogram_24(spark, sf_dir):
+    return rounded(ranking.histogram(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderstatus"), "share")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n = 1")
+def first_of_each(spark, sf_dir):
+    return ranking.first_of_each(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 200")
+def preview_200(spark, sf_dir):
+    return ranking.preview(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc_nulls_last("o_totalprice"), F.asc("o_orderkey")])
+
+
+# ---- profiles ---------------------------------------------------------------------------------------------------
+
+_PANEL = f"SELECT CASE WHEN p_brand = (SELECT min(p_brand) FROM part) THEN NULL ELSE p_brand END AS hla, {peptide('p_partkey', 997)} AS peptide FROM part"
+_EMPIRICAL = duck(f"""WITH p AS (SELECT DISTINCT hla, peptide, length(peptide) AS length FROM ({_PANEL})), g AS (SELECT hla, length, count(*) AS n_peptides FROM p GROUP BY ALL),
+grid AS (SELECT hla, length, n_peptides, position, amino_acid FROM g, unnest(range(1, length + 1)) AS q(position), unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS a(amino_acid)),
+c AS (SELECT hla, length, i AS position, substr(peptide, i, 1) AS amino_acid, count(*) AS seen FROM p, unnest(range(1, length + 1)) AS u(i) GROUP BY ALL),
+e AS (SELECT grid.*, coalesce(seen, 0) AS count, (coalesce(seen, 0) + 0.5) / (n_peptides + 10) AS frequency FROM grid LEFT JOIN c ON grid.hla IS NOT DISTINCT FROM c.hla AND grid.length = c.length AND grid.position = c.position AND grid.amino_acid = c.amino_acid)""")
+
+
+def _empirical(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    least = p.agg(F.min("p_brand").alias("least"))
+    panel = p.crossJoin(F.broadcast(least)).select(F.expr("CASE WHEN p_brand = least THEN NULL ELSE p_brand END").alias("hla"), F.expr(peptide("p_partkey", 997)).alias("peptide"))  # one row
+    return profile.empirical_profile(panel)
+
+
+@query(f"{_EMPIRICAL} SELECT hla, length, position, amino_acid, count, round(frequency, 9) AS frequency, round(log2(frequency * 20), 6) AS log2_odds, n_peptides FROM e")
+def pssm_empirical(spark, sf_dir):
+    return rounded(rounded(_empirical(spark, sf_dir), "frequency", digits=9), "log2_odds")
+
+
+@query(f"{_EMPIRICAL} SELECT hla, length, position, amino_acid, round(frequency, 9) AS probability, round(log2(greatest(frequency, 0.002) / 0.05), 6) AS log2_odds, frequency < 0.002 AS floor_applied FROM e")
+def pssm_from_profile(spark, sf_dir):
+    given = _empirical(spark, sf_dir).select("hla", "length", "position", "amino_acid", F.col("frequency").alias("probability"))
+    return rounded(rounded(profile.pssm(given, floor=0.002), "log2_odds").drop("background"), "probability", digits=9)
+
+
+@query(f"{_EMPIRICAL}, t AS (SELECT *, max(frequency) OVER (PARTITION BY hla, length, position) AS top FROM e) SELECT hla, length, position, round(greatest(0, log2(20.0) + sum(frequency * log2(frequency))), 6) AS bits, CASE WHEN count(*) FILTER (WHERE abs(frequency - top) <= 1e-12) = 1 THEN max(amino_acid) FILTER (WHERE abs(frequency - top) <= 1e-12) ELSE 'X' END AS consensus FROM t GROUP BY ALL")
+def info_content(spark, sf_dir):
+    given = _empirical(spark, sf_dir).select("hla", "length", "position", "amino_acid", F.col("frequency").alias("probability"))
+    return rounded(profile.information_content(given, "hla", "length"), "bits")
+
+
+# ---- sequence joins and screening -------------------------------------------------------------------------------
+
+
+def _edit(k: int):
+    def run(spark, sf_dir):
+        left = table(spark, sf_dir, "customer").select(F.expr(cdr3("c_custkey * 5 + 1", 389)).alias("seq"))
+        right = table(spark, sf_dir, "part").select(F.expr(cdr3("p_partkey * 2 + 1", 389)).alias("seq"))
+        return edit_pairs(left, right, k)
+
+    run.__name__ = f"edit_join_k{k}"
+    a, b = duck(cdr3("c_custkey * 5 + 1", 389)), duck(cdr3("p_partkey * 2 + 1", 389))
+    return query(f"WITH a AS (SELECT DISTINCT {a} AS a FROM customer), b AS (SELECT DISTINCT {b} AS b FROM part) SELECT a, b, levenshtein(a, b)::INT AS distance FROM a, b WHERE levenshtein(a, b) <= {k}")(run)
+
+
+for _k in range(4):
+    _edit(_k)
+
+_U = lambda c: f"coalesce(regexp_full_match({c}, 'C[ACDEFGHIKLMNPQRSTVWY]+[FW]'), false)"
+_G = lambda g, on: f"CASE WHEN NOT {on} THEN 'skip' WHEN r.{g} IS NULL OR f.{g} IS NULL THEN 'unresolved' WHEN r.{g} = f.{g} THEN 'compatible' ELSE 'conflict' END"
+_SCREEN = duck(f"""WITH r AS ({s.RECEPTORS}), f0 AS ({s.REFERENCES}), p AS ({s.PANEL}), d AS (SELECT DISTINCT * FROM ({s.DONORS})),
+f AS (SELECT * FROM f0 WHERE peptide IN (SELECT peptide FROM p)),
+h AS (SELECT r.receptor_id, r.donor_id, r.pairing_status, f.reference_id, f.peptide, f.hla, f.source, f.evidence, {_U('r.cdr3a')} AND {_U('f.cdr3a')} AS sa, {_U('r.cdr3b')} AND {_U('f.cdr3b')} AS sb,
+  levenshtein(r.cdr3a, f.cdr3a) AS da, levenshtein(r.cdr3b, f.cdr3b) AS db, [{_G('trav', 'sa')}, {_G('traj', 'sa')}, {_G('trbv', 'sb')}, {_G('trbj', 'sb')}] AS gs FROM r, f),
+k AS (SELECT *, CASE WHEN sa THEN da END AS alpha_distance, CASE WHEN sb THEN db END AS beta_distance, coalesce(CASE WHEN sa THEN da END, 0) + coalesce(CASE WHEN sb THEN db END, 0) AS distance FROM h WHERE sa OR sb),
+j AS (SELECT *, CASE WHEN list_contains(gs, 'conflict') THEN 'conflict' WHEN list_contains(gs, 'unresolved') THEN 'unresolved' ELSE 'compatible' END AS gene_status,
+  (CASE WHEN distance = 0 THEN 'exact' ELSE 'similar' END) || (CASE WHEN sa AND sb THEN '_paired' ELSE '_single_chain' END) AS evidence_type,
+  CASE WHEN hla IN (SELECT d.hla FROM d WHERE d.donor_id = k.donor_id) THEN 'compatible' ELSE 'unresolved' END AS donor_hla_status FROM k WHERE distance <= 1),
+e AS (SELECT j.*, p.hla AS panel_hla, CASE WHEN j.hla IS NULL OR p.hla IS NULL THEN 'unresolved' WHEN j.hla = p.hla THEN 'compatible' ELSE 'incompatible' END AS panel_hla_status FROM j JOIN p USING (peptide)),
+x AS (SELECT *, CASE WHEN donor_hla_status = 'compatible' AND panel_hla_status = 'compatible' THEN 'compatible' ELSE 'unresolved' END AS hla_status FROM e WHERE panel_hla_status <> 'incompatible'),
+y AS (SELECT *, CASE WHEN hla_status = 'compatible' AND gene_status <> 'conflict' THEN 'Candidate' ELSE 'Unresolved' END AS status FROM x)""")
+_RANK = """row_number() OVER (PARTITION BY receptor_id ORDER BY status <> 'Candidate', CASE evidence_type WHEN 'exact_paired' THEN 0 WHEN 'exact_single_chain' THEN 1 WHEN 'similar_paired' THEN 2 ELSE 3 END,
+  distance, CASE lower(evidence) WHEN 'functional' THEN 0 WHEN 'multimer' THEN 1 WHEN 'curated' THEN 2 ELSE 3 END, reference_id, panel_hla NULLS LAST)"""
+
+
+def _screened(spark, sf_dir):
+    return screen(s.receptors(spark, sf_dir), s.references(spark, sf_dir), s.panel(spark, sf_dir), s.donors(spark, sf_dir), 1)
+
+
+@query(f"""{_SCREEN} SELECT receptor_id, status, peptide, hla, evidence_type, reference_id, distance, alpha_distance, beta_distance, hla_status, donor_hla_status, panel_hla, panel_hla_status, gene_status, {_RANK} AS evidence_rank FROM y
+UNION ALL SELECT receptor_id, 'Unresolved', NULL, NULL, 'none', NULL, NULL, NULL, NULL, 'unresolved', 'unresolved', NULL, NULL, 'unresolved', 1 FROM r WHERE receptor_id NOT IN (SELECT receptor_id FROM y)""")
+def screen_evidence(spark, sf_dir):
+    return _screened(spark, sf_dir).select("receptor_id", "status", "peptide", "hla", "evidence_type", "reference_id", "distance", "alpha_distance", "beta_distance", "hla_status", "donor_hla_status", "panel_hla", "panel_hla_status", "gene_status", "evidence_rank")
+
+
+@query(f"""{_SCREEN}, n AS (SELECT receptor_id, count(*) AS n FROM e WHERE panel_hla_status = 'incompatible' GROUP BY 1)
+SELECT receptor_id, r.pairing_status, coalesce(n.n, 0) AS n_ruled_out FROM r LEFT JOIN n USING (receptor_id) WHERE receptor_id NOT IN (SELECT receptor_id FROM y)""")
+def unresolved_receptors(spark, sf_dir):
+    none = _screened(spark, sf_dir).filter("evidence_type = 'none'")
+    return none.select("receptor_id", "pairing_status", F.coalesce(F.regexp_extract("reason", r"(\d+) comparisons", 1).try_cast("long"), F.lit(0).cast("long")).alias("n_ruled_out"))
+
+
+# ---- ingestion --------------------------------------------------------------------------------------------------
+
+_CELLS = f"""SELECT concat('o', cast(l_orderkey as string)) AS barcode, concat('d', cast(l_suppkey % 5 as string)) AS sample,
+  case l_returnflag when 'A' then 'TRA' when 'R' then 'TRB' else 'IGH' end AS chain, case when l_linenumber = 7 then 'CASX' when l_linenumber = 6 then null else {cdr3('l_partkey', 89)} end AS cdr3,
+  case l_linestatus when 'O' then 'True' else case when l_linenumber = 2 then 'F' else '' end end AS productive, case when l_discount > 0.08 then 'f' else 't' end AS high_confidence FROM lineitem"""
+
+
+def _contigs(spark, sf_dir):
+    rows = derived(spark, sf_dir, _CELLS, "lineitem").drop("sample")
+    return numbered(rows).withColumn("donor_id", F.lit("d1"))
+
+
+_CHAINS = duck(f"""WITH c AS ({_CELLS}), q AS (SELECT *, NOT coalesce(regexp_full_match(cdr3, '[ACDEFGHIKLMNPQRSTVWY]+'), true) AS amb, NOT coalesce(regexp_full_match(cdr3, 'C[A-Z*]*[FW]'), false) AS inc,
+  CASE WHEN lower(productive) IN ('true', 't') THEN true WHEN lower(productive) IN ('false', 'f') THEN false END AS prod, high_confidence = 't' AS conf FROM c),
+e AS (SELECT *, chain IN ('TRA', 'TRB') AND coalesce(prod, true) AND conf AND NOT amb AND NOT inc AS ok FROM q)""")
+_STATUS = f"""{_CHAINS}, g AS (SELECT barcode, count(DISTINCT cdr3) FILTER (WHERE ok AND chain = 'TRA') AS na, count(DISTINCT cdr3) FILTER (WHERE ok AND chain = 'TRB') AS nb, bool_or(amb OR inc) AS unsafe, bool_or(NOT conf) AS low FROM e GROUP BY 1)
+SELECT barcode AS cell_id, na, nb, CASE WHEN greatest(na, 1) * greatest(nb, 1) > 4 THEN 'excess_chains' WHEN na + nb = 0 AND low THEN 'excluded_quality' WHEN na + nb = 0 AND unsafe THEN 'unresolved_sequence'
+  WHEN na + nb = 0 THEN 'no_productive_chains' WHEN na > 1 AND nb > 1 THEN 'ambiguous_pairing' WHEN na > 1 THEN 'dual_alpha' WHEN nb > 1 THEN 'dual_beta' WHEN na = 0 THEN 'single_beta' WHEN nb = 0 THEN 'single_alpha' ELSE 'paired' END AS pairing_status FROM g"""
+
+
+def _chains(spark, sf_dir):
+    return ingest.with_cell_key(ingest.long_chains(_contigs(spark, sf_dir), "10x"))
+
+
+@query(_STATUS)
+def pairing_status(spark, sf_dir):
+    return ingest.candidate_pairs(_chains(spark, sf_dir), 4).select("cell_id", "na", "nb", "pairing_status").distinct()
+
+
+@query(f"""{_CHAINS} SELECT code, n AS count FROM (SELECT count(*) FILTER (WHERE NOT prod) AS nonproductive, count(*) FILTER (WHERE prod IS NULL) AS productivity_unknown, count(*) FILTER (WHERE chain = 'IGH') AS unsupported_locus,
+  count(*) FILTER (WHERE amb) AS sequence_ambiguous, count(*) FILTER (WHERE inc) AS junction_incomplete, count(*) FILTER (WHERE NOT conf) AS low_confidence, count(*) AS input_records FROM e) UNPIVOT (n FOR code IN (COLUMNS(*))) WHERE n > 0""")
+def quality_counts(spark, sf_dir):
+    chains = _chains(spark, sf_dir)
+    pair_codes = ["excess_chains", "dual_alpha", "dual_beta", "ambiguous_pairing", "unpaired_airr", "multiple_paired_rows"]
+    return ingest.quality(chains, ingest.candidate_pairs(chains)).filter(~F.col("code").isin(pair_codes)).select("code", "count")
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS n_groups FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 2")
+def cell_collisions(spark, sf_dir):
+    return ingest.collisions(table(spark, sf_dir, "events"), "user_id", "event_type", 2)
+
+
+@query("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    return ingest.duplicate_ids(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
+
+
+_ID_PARTS = ["donor_id", "cdr3a", "cdr3b", "trav", "traj", "trbv", "trbj", "pairing_status", "unusable_chain_context"]
+
+
+@query(duck(f"SELECT receptor_id AS customer, concat('tcr_', substr(sha256(concat({', '.join(f'''coalesce(cast(strlen({c}) as varchar) || ':' || {c}, '-1:')''' for c in _ID_PARTS)})), 1, 24)) AS receptor_id FROM ({s.RECEPTORS})"))
+def receptor_identity(spark, sf_dir):
+    return s.receptors(spark, sf_dir).select(F.col("receptor_id").alias("customer"), t.digest_id("tcr_", t.length_prefixed(*_ID_PARTS)).alias("receptor_id"))
+
+
+@query(duck(f"""WITH p AS (SELECT {cdr3('c_custkey', 31)} AS a, {cdr3('c_custkey', 17)} AS b, c_nationkey, c_custkey FROM customer) SELECT count(DISTINCT c_custkey) AS cell_count, a AS cdr3a, b AS cdr3b, concat('d', cast(c_nationkey as varchar)) AS donor_id FROM p GROUP BY a, b, c_nationkey"""))
+def receptors_collapsed(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    wide = c.select(F.concat(F.lit("d"), F.col("c_nationkey").cast("string")).alias("donor_id"), F.col("c_custkey").cast("string").alias("cell_id"), F.expr(cdr3("c_custkey", 31)).alias("cdr3a"), F.expr(cdr3("c_custkey", 17)).alias("cdr3b"), F.col("c_custkey").alias("source_row"))
+    chains = ingest.with_cell_key(ingest.paired_chains(wide))
+    return ingest.receptors_of(ingest.observed_pairs(chains))[0].select("donor_id", "cdr3a", "cdr3b", "cell_count")
+
+
+@query(duck(f"SELECT DISTINCT p_partkey, {cdr3('p_partkey')} AS seq, regexp_full_match({cdr3('p_partkey')}, 'C[ACDEFGHIKLMNPQRSTVWY]+[FW]') AS usable, false AS incomplete, false AS ambiguous FROM part"))
+def junction_flags(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(cdr3("p_partkey")).alias("seq"))
+    return p.select("*", t.usable_cdr3("seq").alias("usable"), t.junction_incomplete("seq").alias("incomplete"), t.sequence_ambiguous("seq").alias("ambiguous"))
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN true WHEN event_id % 3 = 0 THEN false END AS flag FROM events")
+def tristate_boolean(spark, sf_dir):
+    spelled = F.expr("CASE WHEN event_type IN ('click', 'view') THEN ' True' WHEN event_id % 3 = 0 THEN 'f' ELSE '  ' END")
+    return table(spark, sf_dir, "events").select("event_id", t.tristate(spelled).alias("flag"))
+
+
+@query(r"SELECT doc_id, nullif(regexp_replace(regexp_replace(substr(text, 1 + (n_chars % 5), 12 + n_chars % 9), '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), '') AS cleaned FROM documents")
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", t.clean(F.expr("substr(text, cast(1 + (n_chars % 5) as int), cast(12 + n_chars % 9 as int))")).alias("cleaned"))
+
+
+# ---- joins and sets ---------------------------------------------------------------------------------------------
+
+
+@query("WITH a AS (SELECT c_custkey, nullif(c_nationkey % 7, 0) AS k FROM customer), b AS (SELECT n_nationkey, nullif(n_nationkey % 7, 0) AS k FROM nation) SELECT c_custkey, n_nationkey FROM a LEFT JOIN b ON a.k IS NOT DISTINCT FROM b.k")
+def null_safe_join(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select("c_custkey", F.expr("nullif(c_nationkey % 7, 0)").alias("k"))
+    b = table(spark, sf_dir, "nation").select("n_nationkey", F.expr("nullif(n_nationkey % 7, 0)").alias("k2"))
+    return a.join(b, a["k"].eqNullSafe(b["k2"]), "left").select("c_custkey", "n_nationkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def semi_join(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
+    c = table(spark, sf_dir, "customer")
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_semi").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_join(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
+
+
+@query(duck(f"SELECT p_partkey, p.peptide, l.score, CASE WHEN l.peptide IS NULL THEN 'absent' WHEN l.score IS NULL THEN 'no value' ELSE 'found' END AS outcome FROM (SELECT p_partkey, {peptide('p_partkey')} AS peptide FROM part) p LEFT JOIN (SELECT {peptide('s_suppkey')} AS peptide, max(CASE WHEN s_suppkey % 41 < 20 THEN NULL ELSE s_suppkey % 41 END)::DOUBLE AS score FROM supplier GROUP BY 1) l USING (peptide)"))
+def library_lookup(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(peptide("p_partkey")).alias("peptide"), F.lit("HLA-A*02:01").alias("hla"))
+    library = table(spark, sf_dir, "supplier").groupBy(F.expr(peptide("s_suppkey")).alias("peptide"), F.lit("HLA-A*02:01").alias("hla")).agg(F.max(F.expr("CASE WHEN s_suppkey % 41 < 20 THEN NULL ELSE s_suppkey % 41 END")).alias("score"))
+    found = pairs.library_lookup(p, library)
+    outcome = F.when(F.col("status") == "PrecomputedScore", "found").when(F.col("reason").contains("isn't in"), "absent").otherwise("no value")
+    return p.join(found, ["peptide", "hla"]).select("p_partkey", "peptide", "score", outcome.alias("outcome"))
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS price, NULL AS balance FROM orders UNION ALL SELECT c_custkey, NULL, c_acctbal FROM customer")
+def union_relaxed(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    return o.unionByName(c, allowMissingColumns=True)
+
+
+@query(duck(f"SELECT donor_id, array_to_string(list_sort(list(DISTINCT hla)), ',') AS typing FROM ({s.DONORS}) GROUP BY 1"))
+def donor_typing(spark, sf_dir):
+    return s.donors(spark, sf_dir).groupBy("donor_id").agg(F.concat_ws(",", F.sort_array(F.collect_set("hla"))).alias("typing"))
+
+
+@query("WITH c AS (SELECT source, toxic AS label, count(*) AS n_cells FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL GROUP BY ALL) SELECT *, count(*) OVER (PARTITION BY source) > 1 AS conflict FROM c")
+def clone_label_conflict(spark, sf_dir):
+    both = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    return pairs.clone_labels(both.select("source", F.col("toxic").alias("label")), "source")
+
+
+# ---- vectors ----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 100 = 0), r AS (SELECT vec_id AS ref_id, embedding::DOUBLE[] AS b FROM embeddings),
+s AS (SELECT query_id, ref_id, list_cosine_similarity(a, b) AS x FROM q, r) SELECT query_id, ref_id, round(x, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, ref_id) AS rank FROM s QUALIFY rank <= 10""")
+def cosine_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return rounded(knn.cosine_top_k(queries, e.select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("vector")), 10), "similarity")
+
+
+@query("SELECT vec_id, abs(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda v: v * v))) - 1) <= 1e-4 AS unit FROM embeddings")
+def unit_norms(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", knn.unit_norm("embedding").alias("unit"))
+
+
+# ---- molecules and genes ----------------------------------------------------------------------------------------
+
+
+@query(duck(f"WITH n AS (SELECT n_nationkey, {s.allele('n_nationkey')} AS a FROM nation) SELECT x.n_nationkey AS l, y.n_nationkey AS r, CASE WHEN x.a IS NULL OR y.a IS NULL THEN 'unresolved' WHEN x.a = y.a THEN 'compatible' ELSE 'incompatible' END AS status FROM n x, n y"))
+def hla_compare(spark, sf_dir):
+    n = derived(spark, sf_dir, f"SELECT n_nationkey, {s.allele('n_nationkey')} AS a FROM nation", "nation")
+    both = n.select(F.col("n_nationkey").alias("l"), F.col("a").alias("la")).crossJoin(F.broadcast(n.select(F.col("n_nationkey").alias("r"), F.col("a").alias("ra"))))  # 25 rows each
+    return hla.compared(both, "la", "ra", "status", "reason").select("l", "r", "status")
+
+
+@query(duck(f"WITH g AS (SELECT p_partkey, {s.gene('TRBV', 'p_partkey', 5)} AS a, {s.gene('TRBV', 'p_size', 5)} AS b FROM part) SELECT p_partkey, CASE WHEN a IS NULL OR b IS NULL THEN 'unresolved' WHEN a = b THEN 'compatible' ELSE 'conflict' END AS status FROM g"))
+def gene_call_status(spark, sf_dir):
+    g = derived(spark, sf_dir, f"SELECT p_partkey, {s.gene('TRBV', 'p_partkey', 5)} AS a, {s.gene('TRBV', 'p_size', 5)} AS b FROM part", "part")
+    return g.select("p_partkey", genes.call_status("a", "b", "TRBV").alias("status"))
+
+
+# ---- pairs, scores, backgrounds ---------------------------------------------------------------------------------
+
+_READY = f"r.cdr3a IS NOT NULL AND r.cdr3b IS NOT NULL AND r.pairing_status = 'paired' AND {_U('r.cdr3a')} AND {_U('r.cdr3b')} AND trav IS NOT NULL AND traj IS NOT NULL AND trbv IS NOT NULL AND trbj IS NOT NULL"
+_TEN_PEPTIDES = f"SELECT DISTINCT {peptide('r_regionkey')} AS peptide, {s.allele('r_regionkey')} AS hla FROM region"
+
+
+@query(duck(f"WITH r AS ({s.RECEPTORS}), p AS ({_TEN_PEPTIDES}) SELECT receptor_id, peptide, hla, hla IS NOT NULL AND {_READY} AS exported FROM r, p"))
+def cross_pairs(spark, sf_dir):
+    out = pairs.export_pairs(s.receptors(spark, sf_dir), derived(spark, sf_dir, _TEN_PEPTIDES, "region"), max_pairs=10_000_000)
+    return out.select("receptor_id", "peptide", "hla", F.col("skip_reason").isNull().alias("exported"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN NULL ELSE round(value, 3) END AS score, event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 3 <> 1 AS usable FROM events WHERE value IS NOT NULL")
+def score_import(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("value IS NOT NULL")
+    told = e.select("event_id", F.expr("CASE WHEN event_id % 5 = 0 THEN 'NaN' WHEN event_id % 7 = 0 THEN ' ' ELSE cast(round(value, 3) as string) END").alias("text"), F.expr("CASE WHEN event_id % 3 = 1 THEN 'too long' END").alias("reason"))
+    number = pairs.numeric_score("text")
+    return told.select("event_id", number.alias("score"), (ranking.finite(number) & t.clean("reason").isNull()).alias("usable"))
+
+
+def _background(spark, sf_dir):
+    contexts = derived(spark, sf_dir, f"SELECT DISTINCT {s.allele('s_suppkey')} AS hla, cast(8 + s_suppkey % 3 as int) AS peptide_length FROM supplier WHERE s_suppkey % 5 <> 4", "supplier")
+    return contexts
+
+
+@query()
+def uniform_background(spark, sf_dir):
+    return background.random_panel(_background(spark, sf_dir), 200, seed=7)
+
+
+@query()
+def profile_background(spark, sf_dir):
+    contexts = _background(spark, sf_dir)
+    return background.profile_panel(contexts, scoring.profiles(contexts, scoring.StubScorer(), ["hla"]), 200, seed=7)
+
+
+@query()
+def pmhc_scores(spark, sf_dir):
+    panel = derived(spark, sf_dir, f"SELECT {peptide('p_partkey')} AS peptide, {s.allele('p_partkey')} AS hla FROM part", "part")
+    return rounded(scoring.score_pmhc(panel, scoring.StubScorer(), 100, max_rows=100_000), "score", "background_percentile")
+
+
+@query()
+def repertoire_scores(spark, sf_dir):
+    out = pairs.export_pairs(s.receptors(spark, sf_dir), derived(spark, sf_dir, _TEN_PEPTIDES, "region"), max_pairs=10_000_000)
+    return rounded(scoring.score_repertoire(out, scoring.StubScorer()), "score")
