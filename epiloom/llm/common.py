@@ -111,6 +111,20 @@ def run_hashes(symbols: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.
     return mix(h + length.astype(U64)), at[first]
 
 
+#: Whether a byte belongs to a word [^\\x20\\x09-\\x0D]+.
+IN_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
+#: Bytes of text whose words are hashed together: arrays of this size stay in the cache.
+LOT = 100_000
+
+
+def words_hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (A-Z lower-cased) of all texts, and where each text's begin (one more: where the last ones end)."""
+    held = [encode(t) for t in texts]
+    x = np.frombuffer(b"\n".join(held).lower(), np.uint8)
+    h, at = run_hashes(x, IN_WORD[x])
+    return h, np.concatenate([[0], np.searchsorted(at, np.cumsum([len(t) + 1 for t in held]))])
+
+
 def batches_of(batch, most: int = BLOCK_CHARS, text: str = "text") -> Iterator:
     """Slices of an Arrow batch of at most `most` bytes of text, or of one row."""
     import pyarrow.compute as pc

@@ -32,12 +32,14 @@ gives an empty table.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, batches_of, mix, ngram_hashes, table, words_of, written
+from .common import LOT, U64, batches_of, mix, ngram_hashes, table, words_hashed, written
 from .components import connected_components
 from .line_dedup import CuckooFilter
 
@@ -45,12 +47,15 @@ WORDS, SHARE, SLOTS, MOST_MATCHES, FILTER_BYTES = 5, (75, 100), 1 << 20, 8, 64 <
 CHUNK = 1024
 
 
-def shingles(text: str, hashes: WordHashes, n: int = WORDS) -> np.ndarray:
-    """Ascending hashes of the text's distinct shingles."""
-    h = hashes.of(words_of(text))
-    if 0 < len(h) < n:
-        return mix(ngram_hashes(h, len(h)) + U64(len(h)))
-    return np.unique(ngram_hashes(h, n))
+def shingles(texts: list[str], n: int = WORDS) -> list[np.ndarray]:
+    """Ascending hashes of the distinct shingles of each text."""
+    h, cuts = words_hashed(texts)
+    runs = ngram_hashes(h, n)
+    out = []
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        short = h[a:b]
+        out.append(np.unique(runs[a : b - n + 1]) if b - a >= n else mix(ngram_hashes(short, b - a) + U64(b - a)) if b > a else short)
+    return out
 
 
 def class_of(s: np.ndarray) -> int:
@@ -101,15 +106,11 @@ def described(docs: DataFrame, n: int) -> DataFrame:
     def read(batches):
         import pyarrow as pa
 
-        hashes, sketch = WordHashes(), np.zeros(SLOTS, np.int64)
+        sketch = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for part in batches_of(batch):
-                sizes, classes, held = [], [], []
-                for text in part.column(1).to_pylist():
-                    s = shingles(text or "", hashes, n)
-                    sizes.append(len(s))
-                    classes.append(class_of(s))
-                    held.append(s)
+            for part in batches_of(batch, LOT):
+                held = shingles([t or "" for t in part.column(1).to_pylist()], n)
+                sizes, classes = [len(s) for s in held], [class_of(s) for s in held]
                 slots = np.concatenate(held) & U64(SLOTS - 1)
                 sketch += np.bincount(slots.astype(np.int64), minlength=SLOTS)
                 m = len(sizes)
@@ -143,30 +144,29 @@ def prefixes(docs: DataFrame, n: int, share, order) -> DataFrame:
     def read(batches):
         import pyarrow as pa
 
-        hashes, told, o = WordHashes(), set(), order.value
+        told, o = set(), order.value
         for batch in batches:
-            for part in batches_of(batch):
-                out = ([], [], [], [], [])
-                for text in part.column(1).to_pylist():
-                    s = shingles(text or "", hashes, n)
+            for part in batches_of(batch, LOT):
+                out = ([], [], [], [])
+                for s in shingles([t or "" for t in part.column(1).to_pylist()], n):
                     if not len(s) or (c := class_of(s)) in told:
                         continue
                     if len(told) < 1 << 20:  # a copy within the task needs no second list entry; a late one does no harm
                         told.add(c)
-                    tokens, df = o.sorted(s)
+                    tokens, _ = o.sorted(s)
                     p = len(s) - needed(len(s), share) + 1
-                    for column, value in zip(out, (tokens[:p], np.full(p, c, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32), df[:p]), strict=True):
+                    for column, value in zip(out, (tokens[:p], np.full(p, c, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32)), strict=True):
                         column.append(value)
                 if not out[0]:
                     continue
-                tokens, classes, sizes, places, _ = map(np.concatenate, out)
+                tokens, classes, sizes, places = map(np.concatenate, out)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(classes), pa.array(sizes), pa.array(places)], ["token", "class", "size", "place"])
 
     return docs.select("doc_id", "text").mapInArrow(read, "token long, class long, size int, place int")
 
 
 def grouped(batches, columns: list[str]):
-    """The runs of equal tokens of sorted batches: (token, arrays of the other columns)."""
+    """The runs of equal tokens of sorted batches: (token, arrays of the other columns); tokens with one row may be left out."""
     held: list[list[np.ndarray]] = []
     token = None
 
@@ -177,7 +177,12 @@ def grouped(batches, columns: list[str]):
         if not batch.num_rows:
             continue
         t = batch.column(0).to_numpy()
-        values = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in columns]
+        several = np.zeros(len(t), bool)
+        several[1:] = t[1:] == t[:-1]
+        several[:-1] |= several[1:]
+        several[[0, -1]] = True  # their runs may go on in the batches around
+        t = t[several]
+        values = [batch.column(batch.schema.get_field_index(c)).to_numpy()[several] for c in columns]
         cuts = [0, *(np.flatnonzero(t[1:] != t[:-1]) + 1).tolist(), len(t)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if held and t[a] != token:
@@ -191,43 +196,66 @@ def grouped(batches, columns: list[str]):
 
 def allowed(n1, p1, n2, p2, share):
     """Whether sizes and places of a shared shingle leave room for a link, if it is the first one shared."""
-    return 1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1) >= overlap(n1 + 0, n2 + 0, share)
+    return np.minimum(n1 - p1, n2 - p2) >= overlap(n1, n2, share)
 
 
 class PairBuffer:
-    """Distinct pairs of one task, handed on in bounded lots."""
+    """Pairs of one task and how often they were met, handed on in bounded lots."""
 
     def __init__(self, most: int = 200_000):
-        self.seen: set[tuple[int, int]] = set()
+        self.times: Counter = Counter()
         self.most = most
 
     def add(self, a: np.ndarray, b: np.ndarray):
-        self.seen.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+        self.times.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
 
     def batches(self, last: bool = False):
         import pyarrow as pa
 
-        if self.seen and (last or len(self.seen) >= self.most):
-            a, b = zip(*self.seen, strict=True)
-            self.seen = set()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        if self.times and (last or len(self.times) >= self.most):
+            a, b = zip(*self.times, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(list(self.times.values()), pa.int64())], ["a", "b", "times"])
+            self.times = Counter()
 
 
 def by_token(lists: DataFrame, *then: str) -> DataFrame:
     return lists.repartition("token").sortWithinPartitions("token", *then)
 
 
-def shared_lists(prefix_rows: DataFrame) -> DataFrame:
-    """The rows whose shingle is in the prefixes of several classes."""
+def hopeful(n: np.ndarray, p: np.ndarray, share, lot: int = 1024) -> np.ndarray:
+    """The rows of a list that the bounds on size and place allow a link with another one."""
+    n, out = n.astype(np.int64), np.zeros(len(n), bool)
+    for a in range(0, len(n), lot):
+        b = slice(a, a + lot)
+        ok = allowed(n[b, None], p[b, None], n[None], p[None], share)
+        ok[np.arange(len(ok)), np.arange(a, a + len(ok))] = False
+        out[b] = ok.any(axis=1)
+    return out
+
+
+def shared_lists(prefix_rows: DataFrame, share) -> DataFrame:
+    """The rows whose shingle is in the prefixes of several classes that may be linked."""
 
     def keep(batches):
         import pyarrow as pa
 
+        held: list[tuple] = []
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["token", "class", "size", "place"])
+
         for token, (c, n, p) in grouped(batches, ["class", "size", "place"]):
             if len(c) > 1 and c[0] != c[-1]:
                 new = np.append(True, c[1:] != c[:-1])
-                m = int(new.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, token, np.int64)), pa.array(c[new]), pa.array(n[new]), pa.array(p[new])], ["token", "class", "size", "place"])
+                c, n, p = c[new], n[new], p[new]
+                good = hopeful(n, p, share)
+                if m := int(good.sum()):
+                    held.append((np.full(m, token, np.int64), c[good], n[good], p[good]))
+            if len(held) >= 5000:
+                yield batch()
+                held = []
+        if held:
+            yield batch()
 
     return by_token(prefix_rows, "class").mapInArrow(keep, prefix_rows.schema)
 
@@ -243,8 +271,8 @@ def neighbours(lists: DataFrame, share) -> DataFrame:
             yield from buffer.batches()
         yield from buffer.batches(last=True)
 
-    pairs = by_token(lists, "size", "class").mapInArrow(emit, "a long, b long")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("times"))
+    pairs = by_token(lists, "size", "class").mapInArrow(emit, "a long, b long, times long")
+    return pairs.groupBy("a", "b").agg(F.sum("times").alias("times"))
 
 
 def across(lists: DataFrame, share) -> DataFrame:
@@ -265,7 +293,7 @@ def across(lists: DataFrame, share) -> DataFrame:
                 yield from buffer.batches()
         yield from buffer.batches(last=True)
 
-    return by_token(lists, "class").mapInArrow(emit, "a long, b long").distinct()
+    return by_token(lists, "class").mapInArrow(emit, "a long, b long, times long").select("a", "b").distinct()
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, n: int, share, order, filter_bytes: int) -> DataFrame:
@@ -279,13 +307,12 @@ def sets_of(docs: DataFrame, classes: DataFrame, n: int, share, order, filter_by
     def read(batches):
         import pyarrow as pa
 
-        hashes, o, told = WordHashes(), order.value, set()
+        o, told = order.value, set()
         known = {k: CuckooFilter.from_bytes(t) for k, t in keep.value.items()} if keep else {}
         for batch in batches:
-            for part in batches_of(batch):
+            for part in batches_of(batch, LOT):
                 rows = []
-                for text in part.column(1).to_pylist():
-                    s = shingles(text or "", hashes, n)
+                for s in shingles([t or "" for t in part.column(1).to_pylist()], n):
                     if not len(s) or (c := class_of(s)) in told:
                         continue
                     if keep and not (c % 64 in known and known[c % 64].has(np.array([c], np.int64))[0]):
@@ -346,7 +373,7 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, share: tuple[int, int] = SHAR
     rows = written(described(docs, n))
     members = rows.filter("class IS NOT NULL").select("doc_id", "size", "class")
     order = docs.sparkSession.sparkContext.broadcast(Order(sketch_of(rows.filter("class IS NULL").select("chunk", "counts"))))
-    lists = written(shared_lists(prefixes(docs, n, share, order)))
+    lists = written(shared_lists(prefixes(docs, n, share, order), share))
     sets = written(sets_of(docs, lists.select("class").distinct(), n, share, order, filter_bytes))
     # one partner for each class, the one it neighbours most often
     near = neighbours(lists, share)
