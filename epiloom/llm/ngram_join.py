@@ -12,8 +12,8 @@ verifying them all.
 
 1. one pass: each document's size and class; the sketch (a fixed number of slots).
 2. prefixes (l = 1) go to their shingles; lists of one class end there.
-3. neighbours in a list are verified, one partner a class, and joined into
-   components: this only saves work, as pairs within a component need no look.
+3. neighbours in a list are verified, a few partners a class, and joined into
+   components, twice: this only saves work, as pairs within a component need no look.
 4. every pair of a list whose components differ and that the bounds on size and
    place allow must share l shingles of the prefixes of its l, the smaller of
    the two; if so, its whole sets are compared.
@@ -43,8 +43,9 @@ from .common import LOT, U64, batches_of, mix, ngram_hashes, table, words_hashed
 from .components import connected_components
 from .line_dedup import CuckooFilter
 
-WORDS, SHARE, SLOTS, MOST_MATCHES, FILTER_BYTES = 5, (75, 100), 1 << 20, 8, 64 << 20
-CHUNK = 1024
+WORDS, SHARE, SLOTS, MOST_MATCHES, FILTER_BYTES = 5, (75, 100), 1 << 22, 8, 64 << 20
+#: Slots that travel as one row; partners that each class is verified with at first, and rounds of that.
+CHUNK, PARTNERS, ROUNDS = 1 << 14, 3, 2
 
 
 def shingles(texts: list[str], n: int = WORDS) -> list[np.ndarray]:
@@ -77,13 +78,17 @@ def overlap(n, m, share=SHARE):
 class Order:
     """Rare shingles first, by the sketch; ties by hash."""
 
-    def __init__(self, sketch: np.ndarray):
-        self.sketch = sketch
-        self.usual = float(np.median(sketch)) if len(sketch) else 0.0  # what a slot holds besides any one shingle
+    def __init__(self, sketch: np.ndarray, usual: float):
+        self.sketch, self.usual = sketch, usual
+
+    @staticmethod
+    def parts(sketch: np.ndarray) -> tuple[np.ndarray, float]:
+        """What is sent to tasks: the slots, and what a slot holds besides any one shingle."""
+        return np.minimum(sketch, 2**32 - 1).astype(np.uint32), float(np.median(sketch))
 
     def sorted(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The set in order, and how many other documents hold each, as estimated."""
-        load = self.sketch[(s & U64(SLOTS - 1)).astype(np.int64)]
+        load = self.sketch[(s & U64(SLOTS - 1)).astype(np.int64)].astype(np.int64)
         at = np.argsort(load, kind="stable")
         return s[at], np.maximum(load[at] - self.usual - 4 * np.sqrt(self.usual + 1), 0.0)
 
@@ -100,6 +105,12 @@ class Order:
         return int(k[(sums / k * n + sums[0] * (n - t + k)).argmin()])
 
 
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes as the largest needs."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max()) < 1 << (8 * w))
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
 def described(docs: DataFrame, n: int) -> DataFrame:
     """Rows of documents (doc_id, size, class) and, without class, of the sketch (chunk, counts)."""
 
@@ -111,13 +122,12 @@ def described(docs: DataFrame, n: int) -> DataFrame:
             for part in batches_of(batch, LOT):
                 held = shingles([t or "" for t in part.column(1).to_pylist()], n)
                 sizes, classes = [len(s) for s in held], [class_of(s) for s in held]
-                slots = np.concatenate(held) & U64(SLOTS - 1)
-                sketch += np.bincount(slots.astype(np.int64), minlength=SLOTS)
+                np.add.at(sketch, (np.concatenate(held) & U64(SLOTS - 1)).astype(np.int64), 1)
                 m = len(sizes)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["doc_id", "size", "class", "chunk", "counts"])
         full = np.flatnonzero(sketch.reshape(-1, CHUNK).any(axis=1))
         m = len(full)
-        counts = [sketch[i * CHUNK : (i + 1) * CHUNK].astype("<u4").tobytes() for i in full]
+        counts = [narrow(sketch[i * CHUNK : (i + 1) * CHUNK]) for i in full]
         yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(full.astype(np.int32)), pa.array(counts, pa.binary())], ["doc_id", "size", "class", "chunk", "counts"])
 
     return docs.mapInArrow(read, "doc_id long, size long, class long, chunk int, counts binary")
@@ -129,7 +139,7 @@ def sketch_of(rows: DataFrame) -> np.ndarray:
     def add(key, pdf):
         import pandas as pd
 
-        total = sum(np.frombuffer(c, "<u4").astype(np.int64) for c in pdf["counts"])
+        total = sum(np.frombuffer(c, f"<u{c[0]}", offset=1).astype(np.int64) for c in pdf["counts"])
         return pd.DataFrame({"chunk": [key[0]], "total": [total.astype("<i8").tobytes()]})
 
     out = np.zeros(SLOTS, np.int64)
@@ -144,7 +154,7 @@ def prefixes(docs: DataFrame, n: int, share, order) -> DataFrame:
     def read(batches):
         import pyarrow as pa
 
-        told, o = set(), order.value
+        told, o = set(), Order(*order.value)
         for batch in batches:
             for part in batches_of(batch, LOT):
                 out = ([], [], [], [])
@@ -261,12 +271,12 @@ def shared_lists(prefix_rows: DataFrame, share) -> DataFrame:
 
 
 def neighbours(lists: DataFrame, share) -> DataFrame:
-    """a, b: classes that follow one another, by size, in a list."""
+    """a, b, times: classes of different components (column root) that follow one another, by size, in lists."""
 
     def emit(batches):
         buffer = PairBuffer()
-        for _, (c, n, p) in grouped(batches, ["class", "size", "place"]):
-            ok = allowed(n[1:].astype(np.int64), p[1:], n[:-1].astype(np.int64), p[:-1], share)
+        for _, (c, n, p, root) in grouped(batches, ["class", "size", "place", "root"]):
+            ok = allowed(n[1:].astype(np.int64), p[1:], n[:-1].astype(np.int64), p[:-1], share) & (root[1:] != root[:-1])
             buffer.add(c[1:][ok], c[:-1][ok])
             yield from buffer.batches()
         yield from buffer.batches(last=True)
@@ -275,6 +285,13 @@ def neighbours(lists: DataFrame, share) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("times").alias("times"))
 
 
+def partners(lists: DataFrame, share, most: int = PARTNERS) -> DataFrame:
+    """a, b: for each class the few that it follows most often."""
+    near = neighbours(lists, share)
+    best = near.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "a")), asc=False), 1, most).alias("best"))
+    return best.select(F.explode("best").alias("x"), "b").select("x.a", "b")
+
+
 def across(lists: DataFrame, share) -> DataFrame:
     """a, b: the pairs of each list whose components (column root) differ and that the bounds allow."""
 
@@ -307,7 +324,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, n: int, share, order, filter_by
     def read(batches):
         import pyarrow as pa
 
-        o, told = order.value, set()
+        o, told = Order(*order.value), set()
         known = {k: CuckooFilter.from_bytes(t) for k, t in keep.value.items()} if keep else {}
         for batch in batches:
             for part in batches_of(batch, LOT):
@@ -372,21 +389,32 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, share: tuple[int, int] = SHAR
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     rows = written(described(docs, n))
     members = rows.filter("class IS NOT NULL").select("doc_id", "size", "class")
-    order = docs.sparkSession.sparkContext.broadcast(Order(sketch_of(rows.filter("class IS NULL").select("chunk", "counts"))))
+    order = docs.sparkSession.sparkContext.broadcast(Order.parts(sketch_of(rows.filter("class IS NULL").select("chunk", "counts"))))
     lists = written(shared_lists(prefixes(docs, n, share, order), share))
     sets = written(sets_of(docs, lists.select("class").distinct(), n, share, order, filter_bytes))
-    # one partner for each class, the one it neighbours most often
-    near = neighbours(lists, share)
-    partner = near.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
-    first = connected_components(verified(partner, sets, share))
-    rooted = lists.join(first.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    links = verified(across(rooted.select("token", "class", "size", "place", "root"), share), sets, share)
+    first = docs.sparkSession.createDataFrame([], "node long, root long")
+    for _ in range(ROUNDS):  # only to save work: pairs within a component need no look below
+        links = written(verified(partners(rooted(lists, first), share), sets, share))
+        if links.isEmpty():
+            break
+        first = merged(first, links)
+    return members, merged(first, verified(across(rooted(lists, first), share), sets, share)).withColumnRenamed("node", "class")
+
+
+def rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """lists with each class's root (its own, if roots has none)."""
+    known = lists.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
+    return known.select("token", "class", "size", "place", F.coalesce("root", "class").alias("root"))
+
+
+def merged(first: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots after more links (a, b) between classes."""
     root = lambda side: first.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
     joined = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     second = connected_components(joined)
     up = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
     of_first = first.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return members, of_first.union(second.join(first, "node", "left_anti")).withColumnRenamed("node", "class")
+    return written(of_first.union(second.join(first, "node", "left_anti")))
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, share: tuple[int, int] = SHARE, filter_bytes: int = FILTER_BYTES) -> DataFrame:
