@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import U64, WordHashes, ngram_hashes, pack_sorted, table, unpack_sorted, words_of
 
 ORDER, ALPHA = 2, 0.4
+#: The order that op10_lm_scoring_order3 scores with; SQL holds op10_lm_scoring to ORDER.
+HIGH_ORDER = 3
 #: Characters of text that a block holds, about; n-grams that a shard counts, about.
 BLOCK_CHARS, SHARD_NGRAMS = 4_000_000, 500_000
 
@@ -135,11 +137,19 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_c
     return scores.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = lm_scores(table(spark, sf_dir, "documents"))
+def _scored(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
+    scores = lm_scores(table(spark, sf_dir, "documents"), order)
     return scores.select("doc_id", "n_words", "n_backoff", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, ORDER)
+
+
+def op10_lm_scoring_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, HIGH_ORDER)
+
+
 SQL = rf"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),

@@ -56,3 +56,16 @@ def test_packing_of_numbers():
         c = rng.integers(1, 400, n)
         assert np.array_equal(m.unpack_counts(m.pack_counts(c)), c)
     assert unpack_sorted(pack_sorted(np.array([0, 2**64 - 1], np.uint64))).tolist() == [0, 2**64 - 1]
+
+
+def test_registered_query_has_trigram_evidence(spark, tmp_path):
+    from epiloom.llm.queries import QUERIES
+
+    rng = random.Random(9)
+    docs = [(d, " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 40)))) for d in range(40)] + [(100, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op10_lm_scoring_order3"](spark, str(tmp_path)).collect()
+    want = {d: (n, back, log) for d, n, back, log, _ in brute(docs, 3)}
+    assert {r.doc_id: (r.n_words, r.n_backoff) for r in got} == {d: w[:2] for d, w in want.items()}
+    assert all(abs(r.log_score - want[r.doc_id][2]) < 1e-3 for r in got)
+    assert any(want[d][1] != back for d, _, back, *_ in brute(docs, 2))
