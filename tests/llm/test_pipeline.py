@@ -87,3 +87,23 @@ def test_each_stage_alone(spark, corpus):
     copies = {d for d, k in fate.items() if k == "copy"}
     assert every - ids(corpus_pipeline.one_of_each_group(spark, frame, path)) == copies - {min(copies)}
     assert decontamination.LEAST <= 0.5 and toxicity.THRESHOLD == 0.7
+
+
+def test_rows_without_and_with_repeated_ids(spark, tmp_path):
+    rng = random.Random(12)
+    text = lambda n=80: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    item = text(25)
+    base, other, alone = text(), text(), text()
+    copy = lambda t, k: f"{t} own{k}"
+    clean = [(None, text()), (None, text()), (7, text()), (9, text()), (None, None), (None, ""), (8, None)]
+    groups = [(3, base), (None, copy(base, 1)), (7, copy(base, 2)), (5, other), (5, other), (None, alone), (None, copy(alone, 1)), (None, alone)]
+    leaks = [(None, f"{text(30)} {item}"), (9, f"{text(30)} {item}")]
+    path = str(tmp_path)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in clean + groups + leaks], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    assert rows(corpus_pipeline.decontaminate(spark, docs, path)) == sorted(clean + groups, key=repr)
+    kept = rows(corpus_pipeline.one_of_each_group(spark, docs, path))
+    for d, t in [*clean, *leaks, (3, base), (5, other)]:
+        assert kept.count((d, t)) == 1
+    assert len(kept) == len(clean) + len(leaks) + 3 and sum(t in (alone, copy(alone, 1)) for _, t in kept) == 1
