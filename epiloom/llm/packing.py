@@ -34,7 +34,11 @@ FAR = re.compile("[ɐ-\U0010ffff]")
 
 
 class Tokens:
-    """Ids of whole texts: the rank file's quick encoder, which has the library's ids but for characters newer than its Unicode."""
+    """Ids of whole texts: the rank file's quick encoder, which has the library's ids but for characters newer than its Unicode.
+
+    The library itself encodes texts with such characters, and those that the
+    quick encoder gives up, as it does on white space of a million characters.
+    """
 
     def __init__(self, json_path: str, ranks_path: str):
         import public_tokenizers
@@ -56,9 +60,12 @@ class Tokens:
         return bool(self._strange.search(text))
 
     def ids(self, text: str) -> np.ndarray:
-        if self.strange(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        return self.quick.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+        if not self.strange(text):
+            try:
+                return self.quick.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+            except ValueError:  # its pattern's stack has an end
+                pass
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def pieces(docs: DataFrame, json_path: str | None = None, ranks_path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:

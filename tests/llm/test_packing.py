@@ -91,3 +91,13 @@ def test_exchange_saves_sequences(spark):
 
 def test_empty(spark):
     assert m.packed(m.pieces(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_very_long_white_space(spark):
+    docs = [(1, " " * 1_000_000 + "a"), (2, "\n" * 1_200_000 + "b"), (3, "short")]
+    got = m.pieces(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    for d, t in docs:
+        ids = np.array(ids_of(t), "<u4")
+        mine = sorted((r.start, r.length, r.ids_crc32) for r in got if r.doc_id == d)
+        assert sum(n for _, n, _ in mine) == len(ids)
+        assert all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in mine)
