@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 AA20 = "ACDEFGHIKLMNPQRSTVWY"
-BLANK = r"^\s+|\s+$"
+BLANK = " \t\n\v\f\r"
 
 
 class InputError(ValueError):
@@ -19,7 +19,7 @@ def col(c: str | Column) -> Column:
 
 def clean(c: str | Column) -> Column:
     """Without white space at both ends; empty becomes null."""
-    return F.nullif(F.regexp_replace(col(c), BLANK, ""), F.lit(""))
+    return F.nullif(F.btrim(col(c), F.lit(BLANK)), F.lit(""))
 
 
 def optional(df, name: str, kind: str = "string") -> Column:

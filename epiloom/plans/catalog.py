@@ -275,6 +275,11 @@ def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.clean(F.expr("substr(text, cast(1 + (n_chars % 5) as int), cast(12 + n_chars % 9 as int))")).alias("cleaned"))
 
 
+@query(r"SELECT doc_id, nullif(regexp_replace(regexp_replace(chr(9) || ' ' || text || ' ' || chr(10), '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), '') AS cleaned FROM documents")
+def clean_text_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", t.clean(F.concat(F.lit("\t "), "text", F.lit(" \n"))).alias("cleaned"))
+
+
 # ---- joins and sets ---------------------------------------------------------------------------------------------
 
 
