@@ -5,15 +5,17 @@ terms, plain and after undoing obfuscation), the densest stretch of hits, hits
 near a second-person word, capitals, punctuation and obfuscation rates.  The
 lexicon holds words and word beginnings that toxic training documents hold more
 often than clean ones by a likelihood-ratio test.  All is learned from a sample
-of at most `sample` labelled training documents (equal texts once), the first in
-the order of a hash of doc_id; trees are fitted to features whose lexicon comes
+of at most `sample` labelled training documents (equal texts once), the first of
+each label in the order of a hash of doc_id: as many as the label's share, but
+for the rarer one at least sample / 16, or all that there are; calibration
+weighs what was drawn more often less.  Trees are fitted to features whose lexicon comes
 from the sample's other half, and calibrated on scores of folds left out.  Only the sample's
 features and the best terms reach the driver.  Every document is scored.
 
 Defined results: null text counts as empty and is scored like any other text;
 labels that are null, whose doc_id is null or unknown, or that lie in the held
-out third teach nothing; without both labels among the rest every score is the
-share of toxic ones (0 if there are none); repeated rows score alike; extra
+out third teach nothing; with fewer than 8 texts of either label in the sample
+every score is the share of toxic ones (0 if there are none); repeated rows score alike; extra
 columns pass through in `toxicity`, where score and predicted replace columns
 of those names; a null doc_id isn't held out.
 """
@@ -179,12 +181,13 @@ class Trees:
         return f
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: ascending scores and the calibrated values there; between them it is interpolated."""
     order = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []  # sum of y, weight, sum of scores
-    for s, v in zip(score[order], y[order], strict=True):
-        blocks.append([float(v), 1.0, float(s)])
+    weight = np.ones(len(y)) if weight is None else weight
+    blocks: list[list[float]] = []  # sums of y, of weight and of scores, weighted
+    for s, v, u in zip(score[order], y[order], weight[order], strict=True):
+        blocks.append([float(u * v), float(u), float(u * s)])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             a = blocks.pop()
             blocks[-1] = [p + q for p, q in zip(blocks[-1], a, strict=True)]
@@ -213,15 +216,28 @@ def is_held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("long").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def quotas(there: dict[int, int], sample: int) -> dict[int, int]:
+    """How many labels of each kind are drawn: by their share, of the rarer at least sample / 16 if there are so many."""
+    rare = min((0, 1), key=there.get)
+    of_rare = min(there[rare], max(round(sample * there[rare] / max(sum(there.values()), 1)), sample // 16))
+    return {rare: of_rare, 1 - rare: min(there[1 - rare], sample - of_rare)}
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id")))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)  # the documented bound: `sample` rows of two numbers
+    there = {0: 0, 1: 0} | {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    drawn = quotas(there, sample)
+    first = [usable.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(drawn[y]) for y in (0, 1)]
+    chosen = first[0].union(first[1])  # the documented bound: `sample` rows of two numbers
+    # a drawn row of the rarer label stands for fewer than one of the other
+    stands = np.array([there[y] / max(drawn[y], 1) for y in (0, 1)])
+    stands /= max(stands.max(), 1)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = written(texts.withColumn("same", F.xxhash64("text")).dropDuplicates(["same"]).withColumn("part", F.pmod(F.xxhash64("same", F.lit(4)), F.lit(8))))
     n = {(r.half, r.toxic): r["count"] for r in rows.groupBy((F.col("part") % 2).alias("half"), "toxic").count().collect()}
     negative, positive = (sum(v for (_, y), v in n.items() if y == t) for t in (0, 1))
-    share = positive / max(positive + negative, 1)
+    share = float(positive * stands[1] / ((positive * stands[1] + negative * stands[0]) or 1))
     if min(negative, positive) < 8:
         return Model(Lexicon({}), None, np.zeros(1), np.zeros(1), share)
 
@@ -264,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     raw, fold = np.zeros(len(y)), np.arange(len(y)) % FOLDS
     for k in range(FOLDS):  # calibrated on scores of documents that the trees didn't see
         raw[fold == k] = Trees.fit(x[fold != k], y[fold != k]).raw(x[fold == k])
-    at, value = isotonic(raw, y)
+    at, value = isotonic(raw, y, stands[y])
     return Model(final, Trees.fit(x, y), at, value, share)
 
 

@@ -57,3 +57,27 @@ def test_isotonic_is_monotone():
     s = rng.normal(size=500)
     at, value = m.isotonic(s, (rng.random(500) < 1 / (1 + np.exp(-2 * s))).astype(int))
     assert (np.diff(at) > 0).all() and (np.diff(value) >= 0).all()
+
+
+def test_rare_label_still_teaches(spark):
+    rng, docs, labels = random.Random(4), [], []
+    for d in range(9000):
+        words = [rng.choice(CLEAN) for _ in range(rng.randint(10, 30))]
+        if d % 160 == 0:
+            words[::4] = [rng.choice(BAD) for _ in words[::4]]
+        docs.append((d, " ".join(words)))
+        labels.append((d, int(d % 160 == 0)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = m.train(docs, labels, sample=640)
+    assert model.trees is not None
+    got = m.toxicity(docs, model).filter("predicted = 1").select("doc_id").collect()
+    found = [r.doc_id % 160 == 0 for r in got]
+    assert sum(found) > 0.8 * 57 and sum(found) > 0.9 * len(found)
+
+
+def test_quotas():
+    assert m.quotas({0: 890, 1: 110}, 16_000) == {0: 890, 1: 110}
+    assert m.quotas({0: 89_000, 1: 11_000}, 16_000) == {0: 14_240, 1: 1_760}
+    assert m.quotas({0: 9_995_000, 1: 5_000}, 16_000) == {0: 15_000, 1: 1_000}
+    assert m.quotas({0: 5, 1: 10**6}, 16_000) == {0: 5, 1: 15_995}
+    assert m.quotas({0: 0, 1: 0}, 16_000) == {0: 0, 1: 0}
