@@ -58,8 +58,12 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
         f.append(f"commas:{step(sum(w.endswith((',', '.')) for w in words) / m, 0.01, 0.08, 0.2)}")
         f.append(f"caps:{step(sum(w[0].isupper() for w in words) / m, 0.1, 0.4, 0.8)}")
         f.append(f"place:{step(i / max(n - 1, 1), 0.1, 0.3, 0.7, 0.9)}")
-        f += {f"cue:{w}" for w in {w.strip('.,:!?()').lower() for w in words[:40]} & CUES}
-        if "©" in b.text[:200]:
+        told = [w.strip(".,:!?()").lower() for w in words]
+        cues = [w for w in told if w in CUES]
+        # a long text may hold a cue by chance: late ones count in full only where cues are dense
+        early = set(cues) if 40 * len(cues) >= m else {w for w in told[:40] if w in CUES}
+        f += {f"cue:{w}" if w in early else f"late:{w}" for w in cues}
+        if "©" in b.text:
             f.append("cue:©")
         out.append(f)
     return out

@@ -40,3 +40,10 @@ def test_broken_markup_and_rows(spark, model):
     assert len(got) == 5 and all(r.n_chars == len(r.text) for r in got)
     assert {r.page_id: r.n_chars for r in got}[3] == 200_000 * 5 + 4
     assert extract(df.limit(0), model).count() == 0
+
+
+def test_cues_of_the_whole_block():
+    seen = lambda text: set(block_features(leaf_blocks(f"<div><p>{text}</p></div>"))[0])
+    assert {"cue:cookies", "cue:privacy", "cue:©"} <= seen("word " * 60 + "cookies privacy ©")
+    assert "late:cookies" in seen("word " * 300 + "cookies")
+    assert not any(x.startswith(("cue:", "late:")) for x in seen("word " * 300))
