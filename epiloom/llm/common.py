@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,25 +22,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where all is one process (tests)."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
         held = sc._jsc.sc().getCheckpointDir()
         where = held.get() if held.isDefined() else None
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="epiloom-")
         sc.setCheckpointDir(where)
     return where
 
 
-def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """df, written to the shared folder and read again: lineage is cut and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/epiloom-{uuid.uuid4().hex}"
+def _write(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+
+
+def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """df, written to the shared folder and read again: lineage is cut and a lost executor costs nothing."""
+    return _write(df, f"{shared_dir(df.sparkSession)}/epiloom-{uuid.uuid4().hex}", partition_by)
+
+
+class Scratch:
+    """A folder in the shared one for tables that nothing reads after the block: it goes with it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/epiloom-{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame) -> DataFrame:
+        return _write(df, f"{self.path}/{uuid.uuid4().hex}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_or_empty(name: str = "text") -> Column:

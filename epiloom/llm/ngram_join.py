@@ -5,23 +5,37 @@ form a class, and classes are joined; copies need no pairs among themselves.
 All shingles are put in one order, rare ones first, by a frequency sketch of
 all documents.  If two sets of size n and m are to share `share` of their union,
 their prefixes of n - T(n) + l and m - T(m) + l shingles share at least l, with
-T(n) the least overlap that n allows.  A document's l follows from the cost of
-its candidates, as the sketch estimates it: where many documents hold its
-prefix's shingles, a longer prefix with more required matches costs less than
-verifying them all.
-
-1. one pass: each document's size and class; the sketch (a fixed number of slots).
-2. prefixes (l = 1) go to their shingles; lists of one class end there.
-3. neighbours in a list are verified, a few partners a class, and joined into
-   components, twice: this only saves work, as pairs within a component need no look.
-4. every pair of a list whose components differ and that the bounds on size and
-   place allow must share l shingles of the prefixes of its l, the smaller of
-   the two; if so, its whole sets are compared.
-5. components of all links; a document gets the smallest doc_id of its own.
-
-Sets are sent only for classes in lists: a cuckoo filter of at most
-`filter_bytes` spares the others the way; beyond that size all sets are sent.
-Shingles and classes are known by 64-bit hashes.
+T(n) the least overlap that n allows.  A class's l follows from the cost of its
+candidates, as the sketch estimates it; its prefix is as long as its l asks for,
+and two classes become a candidate pair only where they share as many prefix
+shingles as the smaller of their l.
+
+1. one pass: each document's size and class; the sketch.
+2. each class's prefix, at its own l, goes to its shingles; lists of one class end there.
+3. of a list, every class names the one whose rare shingles give out first: the
+   text that edited copies come from has no rare shingles of its own.  The class
+   named most often is its hub; hubs are compared whole, and links joined into
+   components.  Classes without a link name another, while that finds links.
+4. in each list, pairs of classes of different components are counted.  Two
+   classes of one hub h, with o shingles of h each and s shingles beyond the
+   prefix that aren't h's, overlap in at most min(o) + max(s) + their shared
+   prefix shingles that aren't h's.  Where this needs such shingles, only they
+   count; so members of a large group that miss its hub don't meet in all its
+   lists, and no link is lost.
+5. pairs with enough shared prefix shingles are compared whole: only now do sets travel.
+6. components of all links; a document gets the smallest doc_id of its own.
+
+What is bounded: the sketch has a slot for SKETCH_BYTES of input, 2^20 to 2^24
+of them; a task sends a class once.  A shingle that the sketch takes for very
+frequent is dealt by class as well, and a list of over LIST_ROWS classes is
+split into blocks that meet two at a time.  Sets are made only for classes that
+the bounds on size and place allow a link: a cuckoo filter of at most
+`filter_bytes` spares the others the way; beyond that size all sets are sent, and
+the join decides in either case.
+
+Shingles and classes are known by 64-bit hashes: among 10^10 different classes
+some two are expected to share a hash by chance (3 in all), which would be
+taken for copies.
 
 Defined results: without words or text a document has size 0 and is its own
 component; with fewer than n words its whole sequence is its one shingle; a
@@ -32,20 +46,22 @@ gives an empty table.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOT, U64, batches_of, mix, ngram_hashes, table, words_hashed, written
+from .common import LOT, U64, Scratch, batches_of, mix, ngram_hashes, table, words_hashed, written
 from .components import connected_components
 from .line_dedup import CuckooFilter
 
-WORDS, SHARE, SLOTS, MOST_MATCHES, FILTER_BYTES = 5, (75, 100), 1 << 22, 8, 64 << 20
-#: Slots that travel as one row; partners that each class is verified with at first, and rounds of that.
-CHUNK, PARTNERS, ROUNDS = 1 << 14, 3, 2
+WORDS, SHARE, MOST_MATCHES, FILTER_BYTES = 5, (75, 100), 8, 64 << 20
+#: Bytes of input for which the sketch has a slot; bounds of its size, as powers of two; slots that travel as one row.
+SKETCH_BYTES, FEWEST_SLOTS, MOST_SLOTS, CHUNK = 128, 20, 24, 1 << 14
+#: Estimated holders of a shingle beyond which its list is dealt by class as well; classes of a list that are compared in one task.
+HOT_HOLDERS, LIST_ROWS = 1 << 16, 1 << 13
+#: Those of a list, first by place, among which each class names one; a round of naming another follows while one in so many finds a link.
+NAMED, WORTH = 8, 4
 
 
 def shingles(texts: list[str], n: int = WORDS) -> list[np.ndarray]:
@@ -76,21 +92,29 @@ def overlap(n, m, share=SHARE):
 
 
 class Order:
-    """Rare shingles first, by the sketch; ties by hash."""
+    """Rare shingles first, by the sketch's levels; ties by hash."""
 
-    def __init__(self, sketch: np.ndarray, usual: float):
-        self.sketch, self.usual = sketch, usual
+    def __init__(self, levels: np.ndarray):
+        self.levels = levels
 
     @staticmethod
-    def parts(sketch: np.ndarray) -> tuple[np.ndarray, float]:
-        """What is sent to tasks: the slots, and what a slot holds besides any one shingle."""
-        return np.minimum(sketch, 2**32 - 1).astype(np.uint32), float(np.median(sketch))
+    def level(load: np.ndarray, usual: float) -> np.ndarray:
+        """0 for what a slot holds besides any one shingle, else a fourth of a doubling a step."""
+        over = load - usual - 4 * np.sqrt(usual + 1)
+        return np.where(over < 1, 0, np.minimum(1 + 4 * np.log2(np.maximum(over, 1)), 255)).astype(np.uint8)
 
     def sorted(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The set in order, and how many other documents hold each, as estimated."""
-        load = self.sketch[(s & U64(SLOTS - 1)).astype(np.int64)].astype(np.int64)
-        at = np.argsort(load, kind="stable")
-        return s[at], np.maximum(load[at] - self.usual - 4 * np.sqrt(self.usual + 1), 0.0)
+        level = self.levels[(s & U64(len(self.levels) - 1)).astype(np.int64)]
+        at = np.argsort(level, kind="stable")
+        level = level[at].astype(float)
+        return s[at], np.where(level > 0, 2.0 ** ((level - 1) / 4), 0.0)
+
+    def prefix(self, s: np.ndarray, share=SHARE) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """The set in order, estimated holders, l and the length of the prefix for it."""
+        tokens, df = self.sorted(s)
+        m = self.matches(df, share)
+        return tokens, df, m, len(s) - needed(len(s), share) + m
 
     def matches(self, df: np.ndarray, share=SHARE) -> int:
         """l: how many prefix shingles to require, by estimated cost."""
@@ -111,18 +135,24 @@ def narrow(counts: np.ndarray) -> bytes:
     return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
-def described(docs: DataFrame, n: int) -> DataFrame:
+def slots_for(docs: DataFrame) -> int:
+    """The sketch's size, by the bytes that the plan's statistics name."""
+    held = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 1 << min(max((held // SKETCH_BYTES).bit_length(), FEWEST_SLOTS), MOST_SLOTS)
+
+
+def described(docs: DataFrame, n: int, slots: int) -> DataFrame:
     """Rows of documents (doc_id, size, class) and, without class, of the sketch (chunk, counts)."""
 
     def read(batches):
         import pyarrow as pa
 
-        sketch = np.zeros(SLOTS, np.int64)
+        sketch = np.zeros(slots, np.int32)
         for batch in batches:
             for part in batches_of(batch, LOT):
                 held = shingles([t or "" for t in part.column(1).to_pylist()], n)
                 sizes, classes = [len(s) for s in held], [class_of(s) for s in held]
-                np.add.at(sketch, (np.concatenate(held) & U64(SLOTS - 1)).astype(np.int64), 1)
+                np.add.at(sketch, (np.concatenate(held) & U64(slots - 1)).astype(np.int64), 1)
                 m = len(sizes)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["doc_id", "size", "class", "chunk", "counts"])
         full = np.flatnonzero(sketch.reshape(-1, CHUNK).any(axis=1))
@@ -133,278 +163,402 @@ def described(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(read, "doc_id long, size long, class long, chunk int, counts binary")
 
 
-def sketch_of(rows: DataFrame) -> np.ndarray:
-    """The sketch's slots, summed: always SLOTS numbers, however many documents there are."""
+def sketch_of(rows: DataFrame, slots: int) -> np.ndarray:
+    """The level of each slot, a byte each: all that the driver holds and sends, however many documents there are."""
 
     def add(key, pdf):
         import pandas as pd
 
         total = sum(np.frombuffer(c, f"<u{c[0]}", offset=1).astype(np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"chunk": [key[0]], "total": [total.astype("<i8").tobytes()]})
+        usual = float(np.median(total))
+        return pd.DataFrame({"chunk": [key[0]], "levels": [Order.level(total, usual).tobytes()]})
 
-    out = np.zeros(SLOTS, np.int64)
-    for r in rows.groupBy("chunk").applyInPandas(add, "chunk int, total binary").collect():
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.total, "<i8")
+    out = np.zeros(slots, np.uint8)
+    for r in rows.groupBy("chunk").applyInPandas(add, "chunk int, levels binary").collect():
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.levels, np.uint8)
     return out
 
 
 def prefixes(docs: DataFrame, n: int, share, order) -> DataFrame:
-    """token, class, size, place: the shingles of each class's shortest prefix (l = 1)."""
+    """token, salt, class, size, place, matches: the shingles of each class's prefix for its own l.  salt: -1, or a part of a very frequent shingle's holders."""
 
     def read(batches):
         import pyarrow as pa
 
-        told, o = set(), Order(*order.value)
+        told, o = set(), Order(order.value)
+        kinds = (np.int64, np.int32, np.int64, np.int32, np.int32, np.int32)
         for batch in batches:
             for part in batches_of(batch, LOT):
-                out = ([], [], [], [])
+                out = ([], [], [], [], [], [])
                 for s in shingles([t or "" for t in part.column(1).to_pylist()], n):
                     if not len(s) or (c := class_of(s)) in told:
                         continue
                     if len(told) < 1 << 20:  # a copy within the task needs no second list entry; a late one does no harm
                         told.add(c)
-                    tokens, _ = o.sorted(s)
-                    p = len(s) - needed(len(s), share) + 1
-                    for column, value in zip(out, (tokens[:p], np.full(p, c, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32)), strict=True):
-                        column.append(value)
-                if not out[0]:
-                    continue
-                tokens, classes, sizes, places = map(np.concatenate, out)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(classes), pa.array(sizes), pa.array(places)], ["token", "class", "size", "place"])
+                    tokens, df, m, p = o.prefix(s, share)
+                    parts = (df[:p] // HOT_HOLDERS).astype(np.int64)
+                    salt = np.where(parts > 0, c % np.maximum(parts, 1), -1)
+                    for column, value, kind in zip(out, (tokens[:p].view(np.int64), salt, np.full(p, c, np.int64), np.full(p, len(s)), np.arange(p), np.full(p, m)), kinds, strict=True):
+                        column.append(value.astype(kind))
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "salt", "class", "size", "place", "matches"])
 
-    return docs.select("doc_id", "text").mapInArrow(read, "token long, class long, size int, place int")
+    return docs.select("doc_id", "text").mapInArrow(read, "token long, salt int, class long, size int, place int, matches int")
 
 
-def grouped(batches, columns: list[str]):
-    """The runs of equal tokens of sorted batches: (token, arrays of the other columns); tokens with one row may be left out."""
-    held: list[list[np.ndarray]] = []
-    token = None
+def runs(batches, keys: list[str], columns: list[str]):
+    """Whole runs of equal keys of sorted batches, many at once: (key arrays, column arrays, where each run begins and the last one ends)."""
+    names = [*keys, *columns]
+    rest: list[list[np.ndarray]] = []  # the last run so far, which may go on
 
-    def whole():
-        return token, [np.concatenate(x) for x in zip(*held, strict=True)]
+    def cut(held):
+        x = [np.concatenate(y) for y in zip(*held, strict=True)]
+        new = np.flatnonzero(np.append(True, np.logical_or.reduce([y[1:] != y[:-1] for y in x[: len(keys)]])))
+        return x, new
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = batch.column(0).to_numpy()
-        several = np.zeros(len(t), bool)
-        several[1:] = t[1:] == t[:-1]
-        several[:-1] |= several[1:]
-        several[[0, -1]] = True  # their runs may go on in the batches around
-        t = t[several]
-        values = [batch.column(batch.schema.get_field_index(c)).to_numpy()[several] for c in columns]
-        cuts = [0, *(np.flatnonzero(t[1:] != t[:-1]) + 1).tolist(), len(t)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if held and t[a] != token:
-                yield whole()
-                held = []
-            token = t[a]
-            held.append([v[a:b] for v in values])
-    if held:
-        yield whole()
-
-
-def allowed(n1, p1, n2, p2, share):
-    """Whether sizes and places of a shared shingle leave room for a link, if it is the first one shared."""
-    return np.minimum(n1 - p1, n2 - p2) >= overlap(n1, n2, share)
-
-
-class PairBuffer:
-    """Pairs of one task and how often they were met, handed on in bounded lots."""
-
-    def __init__(self, most: int = 200_000):
-        self.times: Counter = Counter()
-        self.most = most
-
-    def add(self, a: np.ndarray, b: np.ndarray):
-        self.times.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
-
-    def batches(self, last: bool = False):
-        import pyarrow as pa
+        rest.append([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names])
+        if len(rest) > 1 and all(x[0] == x[-1] == y[-1] for x, y in zip(rest[-1][: len(keys)], rest[-2][: len(keys)], strict=True)):
+            continue  # nothing but the same run
+        x, new = cut(rest)
+        if len(new) > 1:
+            yield [y[: new[-1]] for y in x[: len(keys)]], [y[: new[-1]] for y in x[len(keys) :]], new
+        rest = [[y[new[-1] :] for y in x]]
+    if rest:
+        x, new = cut(rest)
+        yield x[: len(keys)], x[len(keys) :], np.append(new, len(x[0]))
+
+
+def couples(starts: np.ndarray, split, most: int = 64, lot: int = 500_000):
+    """Index arrays (i, j) of the pairs within runs: all pairs of runs of up to `most` rows, those that split(a, b) yields of longer ones."""
+    length = np.diff(starts)
+    for k in np.unique(length[(length > 1) & (length <= most)]).tolist():
+        first = starts[:-1][length == k]
+        i, j = np.triu_indices(k, 1)
+        step = max(1, lot // len(i))
+        for at in range(0, len(first), step):
+            f = first[at : at + step, None]
+            yield (f + i).ravel(), (f + j).ravel()
+    for r in np.flatnonzero(length > most).tolist():
+        yield from split(int(starts[r]), int(starts[r + 1]))
+
+
+def sizes_fit(n1, n2, share):
+    p, q = share
+    return np.minimum(n1, n2) * q >= np.maximum(n1, n2) * p
 
-        if self.times and (last or len(self.times) >= self.most):
-            a, b = zip(*self.times, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(list(self.times.values()), pa.int64())], ["a", "b", "times"])
-            self.times = Counter()
 
+def allowed(n1, p1, n2, p2, slack, share):
+    """Whether sizes and places of a shared shingle leave room for a link, if at most `slack` shared ones come before it."""
+    return np.minimum(n1 - p1, n2 - p2) >= overlap(n1, n2, share) - slack
 
-def by_token(lists: DataFrame, *then: str) -> DataFrame:
-    return lists.repartition("token").sortWithinPartitions("token", *then)
 
+def required(n1, l1, n2, l2, share):
+    """How many shingles the prefixes of linked sets share at least: no fewer than the smaller l, as beyond the prefixes at most the longer rest is shared."""
+    rest = np.maximum(needed(n1, share) - l1, needed(n2, share) - l2)
+    return np.maximum(overlap(n1, n2, share) - rest, np.minimum(l1, l2))
 
-def hopeful(n: np.ndarray, p: np.ndarray, share, lot: int = 1024) -> np.ndarray:
-    """The rows of a list that the bounds on size and place allow a link with another one."""
-    n, out = n.astype(np.int64), np.zeros(len(n), bool)
-    for a in range(0, len(n), lot):
-        b = slice(a, a + lot)
-        ok = allowed(n[b, None], p[b, None], n[None], p[None], share)
-        ok[np.arange(len(ok)), np.arange(a, a + len(ok))] = False
-        out[b] = ok.any(axis=1)
-    return out
+
+def named_in(c, n, p, share, apart=lambda i: True) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a list the class that it names, and whether there is one: the first by place of those that fit and are apart from it."""
+    first = np.lexsort((c, p))[:NAMED]
+    found, some = np.zeros(len(c), np.int64), np.zeros(len(c), bool)
+    for i in first[::-1]:
+        ok = (c != c[i]) & sizes_fit(n, n[i], share) & apart(i)
+        found[ok], some[ok] = c[i], True
+    return found, some
+
+
+LISTS = "token long, class long, size int, place int, matches int, least int, named long"
 
 
 def shared_lists(prefix_rows: DataFrame, share) -> DataFrame:
-    """The rows whose shingle is in the prefixes of several classes that may be linked."""
+    """The rows whose shingle is in the prefixes of several classes; least: how many prefix shingles a link with any of them needs, if sizes and places allow one here; named: the class that each names."""
 
     def keep(batches):
         import pyarrow as pa
 
-        held: list[tuple] = []
+        for (token, salt), (c, n, p, m), starts in runs(batches, ["token", "salt"], ["class", "size", "place", "matches"]):
+            run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            keep = np.append(True, (c[1:] != c[:-1]) | (run[1:] != run[:-1]))  # copies that other tasks sent
+            keep &= (np.bincount(run, keep)[run] > 1) | (salt >= 0)
+            if not keep.any():
+                continue
+            token, salt, c, n, p, m, run = (x[keep] for x in (token, salt, c, n.astype(np.int64), p.astype(np.int64), m.astype(np.int64), run))
+            starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+            starts = np.append(starts, len(run))
+            least = np.full(len(c), 1 << 30)
+
+            def meet(i, j):
+                ok = sizes_fit(n[i], n[j], share) & allowed(n[i], p[i], n[j], p[j], 0, share)  # noqa: B023
+                i, j = i[ok], j[ok]
+                k = required(n[i], m[i], n[j], m[j], share)  # noqa: B023
+                np.minimum.at(least, i, k)  # noqa: B023
+                np.minimum.at(least, j, k)  # noqa: B023
+
+            def split(a, b):
+                if b - a > 2048 or salt[a] >= 0:  # what any one of a fitting size would ask for
+                    x = slice(a, b)
+                    least[x] = np.where(n[x] - p[x] >= overlap(n[x], needed(n[x], share), share), 1, least[x])  # noqa: B023
+                    return
+                for i in range(a, b - 1):
+                    yield np.full(b - i - 1, i), np.arange(i + 1, b)
+
+            for i, j in couples(starts, split):
+                meet(i, j)
+            found, some = np.zeros(len(c), np.int64), np.zeros(len(c), bool)
+            two = starts[:-1][np.diff(starts) == 2]
+            fit = sizes_fit(n[two], n[two + 1], share)
+            found[two], found[two + 1], some[two], some[two + 1] = c[two + 1], c[two], fit, fit
+            for r in np.flatnonzero(np.diff(starts) > 2).tolist():
+                x = slice(starts[r], starts[r + 1])
+                found[x], some[x] = named_in(c[x], n[x], p[x], share)
+            least[salt >= 0] = np.minimum(least[salt >= 0], 1)
+            for at in range(0, len(c), 50_000):
+                x = slice(at, at + 50_000)
+                small = lambda y: pa.array(y[x].astype(np.int32))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(token[x]), pa.array(c[x]), small(n), small(p), small(m), pa.array(least[x].astype(np.int32), mask=least[x] == 1 << 30), pa.array(found[x], mask=~some[x])],
+                    ["token", "class", "size", "place", "matches", "least", "named"],
+                )
+
+    return prefix_rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "class").mapInArrow(keep, LISTS)
+
+
+def hubs(votes: DataFrame) -> DataFrame:
+    """class, hub: the class that each one names most often (of several the least); once is enough only for small sets."""
+    counted = votes.groupBy("class", F.col("named").alias("hub")).agg(F.count("*").alias("times"), F.first("size").alias("size")).filter("times >= 2 OR size < 16")
+    return counted.groupBy("class").agg(F.min(F.struct(-F.col("times"), "hub"))["hub"].alias("hub"))
+
+
+def other_names(lists: DataFrame, share) -> DataFrame:
+    """class, named, size: what the classes without a link (column root equal to class) name, besides their hub, in lists."""
+
+    def emit(batches):
+        import pyarrow as pa
+
+        for _, (c, n, p, root, hub), starts in runs(batches, ["token", "block"], ["class", "size", "place", "root", "hub"]):
+            n, alone, length = n.astype(np.int64), root == c, np.diff(starts)
+            begin = starts[:-1]
+            some = np.logical_or.reduceat(alone, begin) & (np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin))
+            two = begin[some & (length == 2)]
+            two = two[sizes_fit(n[two], n[two + 1], share) & (hub[two] != c[two + 1]) & (hub[two + 1] != c[two])]
+            at, name = np.concatenate([two, two + 1]), np.concatenate([c[two + 1], c[two]])
+            held = [(c[at][alone[at]], name[alone[at]], n[at][alone[at]])]
+            for r in np.flatnonzero(some & (length > 2)).tolist():
+                x = slice(starts[r], starts[r + 1])
+                k, z, h = c[x], root[x], hub[x]
+                name, ok = named_in(k, n[x], p[x], share, lambda i: (z != z[i]) & (h != k[i]) & (h[i] != k))  # noqa: B023
+                ok &= alone[x]
+                held.append((k[ok], name[ok], n[x][ok]))
+            k, name, size = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(name), pa.array(size.astype(np.int32))], ["class", "named", "size"])
+
+    return lists.filter("other = block").mapInArrow(emit, "class long, named long, size int")
+
+
+def across(lists: DataFrame, share) -> DataFrame:
+    """a, b: pairs of classes of different components that share as many prefix shingles as a link needs."""
+
+    def emit(batches):
+        import pyarrow as pa
+
+        held, rows = [], 0
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["token", "class", "size", "place"])
-
-        for token, (c, n, p) in grouped(batches, ["class", "size", "place"]):
-            if len(c) > 1 and c[0] != c[-1]:
-                new = np.append(True, c[1:] != c[:-1])
-                c, n, p = c[new], n[new], p[new]
-                good = hopeful(n, p, share)
-                if m := int(good.sum()):
-                    held.append((np.full(m, token, np.int64), c[good], n[good], p[good]))
-            if len(held) >= 5000:
-                yield batch()
-                held = []
+            a, b, least, first = (np.concatenate(x) for x in zip(*held, strict=True))
+            lo, hi = np.minimum(a, b), np.maximum(a, b)
+            at = np.lexsort((hi, lo))
+            lo, hi, least, first = lo[at], hi[at], least[at], first[at]
+            cut = np.flatnonzero(np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+            return pa.RecordBatch.from_arrays([pa.array(lo[cut]), pa.array(hi[cut]), pa.array(np.diff(np.append(cut, len(lo)))), pa.array(least[cut]), pa.array(np.logical_or.reduceat(first, cut))], ["a", "b", "times", "least", "first"])
+
+        for (_, block, other), (c, n, p, m, root, hub, o, s, of_hub, mine), starts in runs(batches, ["token", "block", "other"], ["class", "size", "place", "matches", "root", "hub", "over", "beyond", "of_hub", "mine"]):
+            n, p, m, o, s = (x.astype(np.int64) for x in (n, p, m, o, s))
+
+            def split(a, b):
+                kinds, kind, count = np.unique(root[a:b], return_inverse=True, return_counts=True)  # noqa: B023
+                largest, at = kind == count.argmax(), np.arange(b - a)
+                for i in np.flatnonzero(~largest).tolist():
+                    j = np.flatnonzero(largest | (at > i))
+                    yield np.full(len(j), a + i), a + j
+
+            for i, j in couples(starts, split):
+                ok = (root[i] != root[j]) & sizes_fit(n[i], n[j], share) & ((block[i] == other[i]) | (mine[i] != mine[j]))
+                i, j = i[ok], j[ok]
+                short = overlap(n[i], n[j], share) - np.minimum(o[i], o[j]) - np.maximum(s[i], s[j])
+                apart = (hub[j] == hub[i]) & (o[i] >= 0) & (o[j] >= 0) & (short > 0)  # only shingles that aren't their hub's can link them
+                least = np.where(apart, short, required(n[i], m[i], n[j], m[j], share))
+                first = apart | allowed(n[i], p[i], n[j], p[j], 0, share)
+                ok = ~(apart & (of_hub[i] | of_hub[j]))
+                if ok.any():
+                    held.append((c[i[ok]], c[j[ok]], least[ok], first[ok]))
+                    rows += int(ok.sum())
+                if rows >= 500_000:
+                    yield batch()
+                    held, rows = [], 0
         if held:
             yield batch()
 
-    return by_token(prefix_rows, "class").mapInArrow(keep, prefix_rows.schema)
+    pairs = lists.mapInArrow(emit, "a long, b long, times long, least long, first boolean")
+    return pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("least").alias("least"), F.max("first").alias("first")).filter("times >= least AND first").select("a", "b")
 
 
-def neighbours(lists: DataFrame, share) -> DataFrame:
-    """a, b, times: classes of different components (column root) that follow one another, by size, in lists."""
+def long_lists(lists: DataFrame) -> DataFrame:
+    """token, blocks: into how many blocks the lists of over LIST_ROWS rows are split."""
+    return lists.groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > LIST_ROWS).select("token", F.ceil(F.col("rows") / LIST_ROWS).cast("int").alias("blocks"))
 
-    def emit(batches):
-        buffer = PairBuffer()
-        for _, (c, n, p, root) in grouped(batches, ["class", "size", "place", "root"]):
-            ok = allowed(n[1:].astype(np.int64), p[1:], n[:-1].astype(np.int64), p[:-1], share) & (root[1:] != root[:-1])
-            buffer.add(c[1:][ok], c[:-1][ok])
-            yield from buffer.batches()
-        yield from buffer.batches(last=True)
 
-    pairs = by_token(lists, "size", "class").mapInArrow(emit, "a long, b long, times long")
-    return pairs.groupBy("a", "b").agg(F.sum("times").alias("times"))
+def in_blocks(lists: DataFrame, long: DataFrame, pairs: bool) -> DataFrame:
+    """lists with block and other, by token: 0 and 0, but for long lists, whose rows are dealt into blocks; with pairs, every two blocks meet once."""
+    dealt = lists.join(long, "token", "left").withColumn("mine", F.coalesce(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"), F.lit(0)))
+    if pairs:
+        dealt = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        dealt = dealt.withColumn("block", F.least("mine", "met")).withColumn("other", F.greatest("mine", "met")).drop("met")
+    else:
+        dealt = dealt.withColumn("block", F.col("mine")).withColumn("other", F.col("mine"))
+    return dealt.drop("blocks").repartition("token", "block", "other").sortWithinPartitions("token", "block", "other", "class")
 
 
-def partners(lists: DataFrame, share, most: int = PARTNERS) -> DataFrame:
-    """a, b: for each class the few that it follows most often."""
-    near = neighbours(lists, share)
-    best = near.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "a")), asc=False), 1, most).alias("best"))
-    return best.select(F.explode("best").alias("x"), "b").select("x.a", "b")
+def filter_of(classes: DataFrame, filter_bytes: int):
+    """A filter of the classes for every task, if it takes at most filter_bytes."""
+    many = classes.count()
+    if 3 * many > filter_bytes:  # a filter takes at most some 2.4 to 4.8 bytes a class
+        return None
+    shards = classes.groupBy(F.pmod(F.col("class"), F.lit(64)).alias("shard")).applyInPandas(_filter, "shard long, tags binary")
+    return classes.sparkSession.sparkContext.broadcast({r.shard: bytes(r.tags) for r in shards.collect()})
 
 
-def across(lists: DataFrame, share) -> DataFrame:
-    """a, b: the pairs of each list whose components (column root) differ and that the bounds allow."""
+def _filter(key, pdf):
+    import pandas as pd
 
-    def emit(batches):
-        buffer = PairBuffer()
-        for _, (c, n, p, root) in grouped(batches, ["class", "size", "place", "root"]):
-            kinds, kind, count = np.unique(root, return_inverse=True, return_counts=True)
-            if len(kinds) == 1:
-                continue
-            largest = kind == count.argmax()
-            n = n.astype(np.int64)
-            at = np.arange(len(c))
-            for i in np.flatnonzero(~largest):
-                j = np.flatnonzero((kind != kind[i]) & (largest | (at > i)) & allowed(n[i], p[i], n, p, share))
-                buffer.add(np.full(len(j), c[i]), c[j])
-                yield from buffer.batches()
-        yield from buffer.batches(last=True)
+    return pd.DataFrame({"shard": [key[0]], "tags": [CuckooFilter.of(pdf["class"].to_numpy()).to_bytes()]})
+
+
+def known_in(keep):
+    """Which of an array of classes the filter holds, as a function; all without a filter."""
+    if keep is None:
+        return lambda c: np.ones(len(c), bool)
+    held = {k: CuckooFilter.from_bytes(t) for k, t in keep.value.items()}
+
+    def known(c: np.ndarray) -> np.ndarray:
+        out, shard = np.zeros(len(c), bool), c % 64
+        for k in np.unique(shard).tolist():
+            if k in held:
+                out[shard == k] = held[k].has(c[shard == k])
+        return out
 
-    return by_token(lists, "class").mapInArrow(emit, "a long, b long, times long").select("a", "b").distinct()
+    return known
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, n: int, share, order, filter_bytes: int) -> DataFrame:
-    """class, size, matches, head (prefix for that many matches), tokens: the sets, in order, of the given classes."""
-    many = classes.count()
-    keep = None
-    if 3 * many <= filter_bytes:  # a filter takes at most some 2.4 to 4.8 bytes a class
-        shards = classes.groupBy(F.pmod(F.col("class"), F.lit(64)).alias("shard")).applyInPandas(_filter, "shard long, tags binary")
-        keep = docs.sparkSession.sparkContext.broadcast({r.shard: bytes(r.tags) for r in shards.collect()})
+    """class, prefix, tokens: the sets, in order, of the given classes, and the lengths of their prefixes."""
+    keep = filter_of(classes, filter_bytes)
 
     def read(batches):
         import pyarrow as pa
 
-        o, told = Order(*order.value), set()
-        known = {k: CuckooFilter.from_bytes(t) for k, t in keep.value.items()} if keep else {}
+        o, told, known = Order(order.value), set(), known_in(keep)
         for batch in batches:
             for part in batches_of(batch, LOT):
                 rows = []
-                for s in shingles([t or "" for t in part.column(1).to_pylist()], n):
-                    if not len(s) or (c := class_of(s)) in told:
-                        continue
-                    if keep and not (c % 64 in known and known[c % 64].has(np.array([c], np.int64))[0]):
-                        continue
-                    if len(told) < 1 << 20:
-                        told.add(c)
-                    tokens, df = o.sorted(s)
-                    m = o.matches(df, share)
-                    p = len(s) - needed(len(s), share) + m
-                    rows.append((c, len(s), m, tokens[:p].tobytes(), tokens.tobytes()))
+                held = [s for s in shingles([t or "" for t in part.column(1).to_pylist()], n) if len(s)]
+                of = [class_of(s) for s in held]
+                for s, c, wanted in zip(held, of, known(np.array(of, np.int64)).tolist(), strict=True):
+                    if wanted and c not in told:
+                        if len(told) < 1 << 20:
+                            told.add(c)
+                        tokens, _, _, p = o.prefix(s, share)
+                        rows.append((c, p, tokens.tobytes()))
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["class", "size", "matches", "head", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["class", "prefix", "tokens"])
 
-    sets = docs.select("doc_id", "text").mapInArrow(read, "class long, size long, matches int, head binary, tokens binary")
+    sets = docs.select("doc_id", "text").mapInArrow(read, "class long, prefix int, tokens binary")
     return sets.join(classes, "class", "left_semi").dropDuplicates(["class"])
 
 
-def _filter(key, pdf):
-    import pandas as pd
+def only(sets: DataFrame, classes: DataFrame, filter_bytes: int) -> DataFrame:
+    """The sets of the given classes, and few others: what is joined next travels, the rest stays where it is."""
+    keep = filter_of(classes, filter_bytes)
+    if keep is None:
+        return sets
 
-    return pd.DataFrame({"shard": [key[0]], "tags": [CuckooFilter.of(pdf["class"].to_numpy()).to_bytes()]})
+    def read(batches):
+        import pyarrow as pa
 
+        known = known_in(keep)
+        for batch in batches:
+            yield batch.filter(pa.array(known(batch.column(0).to_numpy())))
+
+    return sets.mapInArrow(read, sets.schema)
 
-def verified(pairs: DataFrame, sets: DataFrame, share) -> DataFrame:
-    """The pairs (a, b) that are linked: first their prefixes must share as many shingles as required, then the sets decide."""
+
+def compared(pairs: DataFrame, sets: DataFrame, share, filter_bytes: int) -> DataFrame:
+    """a, b, linked, over (how many shingles they share), beyond (how many of a's come after its prefix and aren't b's) of pairs (a, b)."""
     p, q = share
+    sets = only(sets, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), filter_bytes)
+    first = pairs.join(sets.select(F.col("class").alias("a"), "prefix", F.col("tokens").alias("x")), "a")
+    both = first.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "prefix", "x", "y")
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            linked, over, beyond = [], [], []
+            for head, a, b in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                x, y = np.frombuffer(a, "<u8"), np.sort(np.frombuffer(b, "<u8"))
+                common = y[np.searchsorted(y, x).clip(max=len(y) - 1)] == x
+                o = int(common.sum())
+                linked.append(q * o >= p * (len(x) + len(y) - o))
+                over.append(o)
+                beyond.append(len(x) - head - int(common[head:].sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(over, pa.int32()), pa.array(beyond, pa.int32())], ["a", "b", "linked", "over", "beyond"])
 
-    def with_sets(df, column):
-        for side in ("a", "b"):
-            df = df.join(sets.select(F.col("class").alias(side), F.col("size").alias(f"n{side}"), F.col("matches").alias(f"m{side}"), F.col(column).alias(f"s{side}")), side)
-        return df.select("a", "b", "na", "nb", "ma", "mb", "sa", "sb")
+    return both.mapInArrow(read, "a long, b long, linked boolean, over int, beyond int")
 
-    def check(whole):
-        def read(batches):
-            import pyarrow as pa
 
-            for batch in batches:
-                keep = []
-                for na, nb, ma, mb, sa, sb in zip(*(batch.column(i).to_pylist() for i in range(2, 8)), strict=True):
-                    x, y = np.frombuffer(sa, "<u8"), np.frombuffer(sb, "<u8")
-                    if not whole:
-                        m = min(ma, mb)
-                        x, y = x[: na - needed(na, share) + m], y[: nb - needed(nb, share) + m]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(q * common >= p * (na + nb - common) if whole else common >= m)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """lists with each class's root (its own, if roots has none)."""
+    return lists.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
 
-        return read
 
-    hopeful = with_sets(pairs.select("a", "b"), "head").mapInArrow(check(False), "a long, b long")
-    return with_sets(hopeful, "tokens").mapInArrow(check(True), "a long, b long")
+def with_hubs(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """lists with hub, over and beyond (-1 where there is none) and whether the hub's prefix holds the shingle."""
+    told = found.select(F.col("a").alias("class"), F.col("b").alias("hub"), "over", "beyond")
+    rows = lists.join(told, "class", "left").withColumn("hub", F.coalesce("hub", "class")).withColumn("over", F.coalesce("over", F.lit(-1))).withColumn("beyond", F.coalesce("beyond", F.lit(-1)))
+    theirs = rows.filter("over >= 0").select("token", "hub").distinct().join(lists.select("token", F.col("class").alias("hub")), ["token", "hub"]).withColumn("of_hub", F.lit(True))
+    return rows.join(theirs, ["token", "hub"], "left").withColumn("of_hub", F.coalesce("of_hub", F.lit(False)))
 
 
 def jaccard_links(docs: DataFrame, n: int = WORDS, share: tuple[int, int] = SHARE, filter_bytes: int = FILTER_BYTES) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, size, class) and class -> root (the least class of its component; only classes with links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    rows = written(described(docs, n))
+    slots = slots_for(docs)
+    rows = written(described(docs, n, slots))
     members = rows.filter("class IS NOT NULL").select("doc_id", "size", "class")
-    order = docs.sparkSession.sparkContext.broadcast(Order.parts(sketch_of(rows.filter("class IS NULL").select("chunk", "counts"))))
-    lists = written(shared_lists(prefixes(docs, n, share, order), share))
-    sets = written(sets_of(docs, lists.select("class").distinct(), n, share, order, filter_bytes))
-    first = docs.sparkSession.createDataFrame([], "node long, root long")
-    for _ in range(ROUNDS):  # only to save work: pairs within a component need no look below
-        links = written(verified(partners(rooted(lists, first), share), sets, share))
-        if links.isEmpty():
-            break
-        first = merged(first, links)
-    return members, merged(first, verified(across(rooted(lists, first), share), sets, share)).withColumnRenamed("node", "class")
-
-
-def rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """lists with each class's root (its own, if roots has none)."""
-    known = lists.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
-    return known.select("token", "class", "size", "place", F.coalesce("root", "class").alias("root"))
+    order = docs.sparkSession.sparkContext.broadcast(sketch_of(rows.filter("class IS NULL").select("chunk", "counts"), slots))
+    with Scratch(docs.sparkSession) as scratch:
+        every = scratch.written(shared_lists(prefixes(docs, n, share, order), share))
+        classes = every.groupBy("class").agg(F.count("*").alias("rows"), F.min("least").alias("least")).filter("rows >= least").select("class")
+        classes = scratch.written(classes)  # all others share too few prefix shingles for a link
+        sets = scratch.written(sets_of(docs, classes, n, share, order, filter_bytes))
+        every = every.join(classes, "class", "left_semi")
+        pairs = hubs(every.filter("named IS NOT NULL").select("class", "named", "size")).select(F.col("class").alias("a"), F.col("hub").alias("b"))
+        pairs = scratch.written(pairs.join(classes.withColumnRenamed("class", "b"), "b", "left_semi").select("a", "b"))
+        found = scratch.written(compared(pairs, sets, share, filter_bytes))
+        lists = scratch.written(with_hubs(every.drop("least", "named"), found))
+        long = scratch.written(long_lists(lists))
+        links, tested = found.filter("linked").select("a", "b"), found
+        roots = merged(docs.sparkSession.createDataFrame([], "node long, root long"), links)
+        while WORTH * links.count() > tested.count():  # to save work: pairs within a component need no look below
+            more = hubs(other_names(in_blocks(rooted(lists, roots), long, pairs=False), share)).select(F.col("class").alias("a"), F.col("hub").alias("b"))
+            tested = scratch.written(compared(scratch.written(more), sets, share, filter_bytes))
+            links = tested.filter("linked").select("a", "b")
+            roots = merged(roots, links)
+        left = scratch.written(across(in_blocks(rooted(lists, roots), long, pairs=True), share))
+        return members, merged(roots, compared(left, sets, share, filter_bytes).filter("linked").select("a", "b")).withColumnRenamed("node", "class")
 
 
 def merged(first: DataFrame, links: DataFrame) -> DataFrame:
@@ -420,9 +574,11 @@ def merged(first: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = WORDS, share: tuple[int, int] = SHARE, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
     members, roots = jaccard_links(docs, n, share, filter_bytes)
-    full = members.filter("size > 0").join(roots, "class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("root", "class").alias("root"))
-    least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = full.join(least, "root").select("doc_id", "n_shingles", "component_id")
+    full = members.filter("size > 0")
+    held = written(full.groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(roots, "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root")))
+    least = written(held.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    component = held.join(least, "root").select("class", "component_id")
+    found = full.join(component, "class").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     return found.union(members.filter("size = 0").select("doc_id", F.col("size"), F.col("doc_id")))
 
 

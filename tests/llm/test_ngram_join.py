@@ -64,3 +64,36 @@ def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_a_large_group_and_a_frequent_shingle(spark, monkeypatch):
+    """One text edited 1,500 times, some copies of copies, and five words that all documents hold: long lists are dealt and split."""
+    monkeypatch.setattr(m, "LIST_ROWS", 200)
+    monkeypatch.setattr(m, "HOT_HOLDERS", 300)
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(4000)]
+    text, often = [rng.choice(words) for _ in range(60)], "said by all of them"
+    docs, last = [], text
+    for d in range(1500):
+        held = list(last if d % 7 == 0 else text)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4])):
+            held[rng.randrange(60)] = rng.choice(words)
+        last = held
+        docs.append((d, " ".join(held) + " " + often))
+    docs += [(2000 + d, " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 9]))) + " " + often) for d in range(400)]
+    got = sorted(map(tuple, m.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()), key=repr)
+    assert got == brute(docs)
+
+
+def test_required_is_never_more_than_linked_prefixes_share():
+    rng = random.Random(8)
+    for _ in range(2000):
+        common = rng.randint(1, 40)
+        a = set(range(common)) | {100 + i for i in range(rng.randint(0, 12))}
+        b = set(range(common)) | {200 + i for i in range(rng.randint(0, 12))}
+        if 100 * len(a & b) < 75 * len(a | b):
+            continue
+        order = {x: rng.random() for x in a | b}
+        la, lb = (rng.randint(1, min(8, m.needed(len(x)))) for x in (a, b))
+        head = lambda x, l: set(sorted(x, key=order.get)[: len(x) - m.needed(len(x)) + l])  # noqa: B023, E731, E741
+        assert len(head(a, la) & head(b, lb)) >= m.required(len(a), la, len(b), lb, m.SHARE) >= min(la, lb)
