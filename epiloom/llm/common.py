@@ -56,6 +56,10 @@ class Scratch:
     def written(self, df: DataFrame) -> DataFrame:
         return _write(df, f"{self.path}/{uuid.uuid4().hex}")
 
+    def kept(self, df: DataFrame) -> DataFrame:
+        """df, written beside the folder, so that it outlasts the block."""
+        return written(df)
+
     def __enter__(self) -> Scratch:
         return self
 

@@ -15,7 +15,6 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
-    "op10_lm_scoring_order3": lm_scoring.op10_lm_scoring_order3,
 }
 SQL = {
     "op6_line_dedup": line_dedup.SQL,

@@ -39,7 +39,7 @@ def test_equals_brute_force(spark, order):
     docs = [(d, " ".join(rng.choice("abcdefghi") for _ in range(rng.randint(0, 60)))) for d in range(50)]
     docs += [(100, None), (2**60 + 1, ""), (None, "a b zz"), (3, docs[3][1]), (102, "Q " * 5000)]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "doc_id AS block")
-    got = m.lm_scores(df, order=order, block_chars=700, shard_ngrams=40).collect()
+    got = m.lm_scores(df, order=order, block_words=300, shard_ngrams=40).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_backoff, round(r.log_score, 6), None if r.mean_log_score is None else round(r.mean_log_score, 6)) for r in got), key=repr) == brute(docs, order)
 
 
@@ -64,8 +64,19 @@ def test_registered_query_has_trigram_evidence(spark, tmp_path):
     rng = random.Random(9)
     docs = [(d, " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 40)))) for d in range(40)] + [(100, None)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = QUERIES["op10_lm_scoring_order3"](spark, str(tmp_path)).collect()
+    got = QUERIES["op10_lm_scoring"](spark, str(tmp_path)).collect()
     want = {d: (n, back, log) for d, n, back, log, _ in brute(docs, 3)}
     assert {r.doc_id: (r.n_words, r.n_backoff) for r in got} == {d: w[:2] for d, w in want.items()}
     assert all(abs(r.log_score - want[r.doc_id][2]) < 1e-3 for r in got)
     assert any(want[d][1] != back for d, _, back, *_ in brute(docs, 2))
+
+
+def test_blocks_and_answers_stay_whole_in_large_shards(spark):
+    """One word that all hold, a document longer than a block, rows that repeat: as without blocks."""
+    rng = random.Random(3)
+    docs = [(d % 70, "the " * (d % 4) + " ".join(rng.choice(["x", "y", "z", "the"]) for _ in range(30))) for d in range(120)] + [(None, "the " * 900), (None, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    key = lambda r: repr((r.doc_id, r.n_words, r.n_backoff, round(r.log_score, 6)))
+    one = sorted(map(key, m.lm_scores(df.coalesce(1), shard_ngrams=10**9).collect()))
+    assert one == sorted(map(key, m.lm_scores(df.repartition(7), block_words=50, shard_ngrams=5).collect()))
+    assert [eval(x) for x in one] == [x[:4] for x in sorted(brute(docs, 3), key=lambda x: repr(x[:4]))]
