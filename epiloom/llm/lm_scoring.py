@@ -20,7 +20,7 @@ Plan, all in tables of the shared folder:
    Orders follow one another, so that one's shuffle is gone before the last's.
 3. the answers return to their blocks, and scores are summed per document.
 
-Blocks x shards rows are some PACKET n-grams each: beyond a terabyte of input
+Blocks times shards are rows of some 50 n-grams or more: beyond a terabyte of input
 blocks grow with its square root, so that rows stay in proportion to the input.
 
 n-grams are known by 64-bit hashes.  Words are [^\x20\x09-\x0D]+, A-Z lower-cased.
@@ -33,18 +33,16 @@ aren't read; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOT, U64, Scratch, batches_of, ngram_hashes, pack_sorted, table, unpack_sorted, words_hashed
+from .common import LOT, U64, Scratch, batches_of, ngram_hashes, pack_sorted, release, table, unpack_sorted, words_hashed
 
 ORDER, ALPHA = 3, 0.4
 #: Words of a block up to BLOCK_BYTES of input, about; n-grams that a shard counts, about.
-BLOCK_WORDS, BLOCK_BYTES, SHARD_NGRAMS = 1 << 19, 1e12, 500_000
+BLOCK_WORDS, BLOCK_BYTES, SHARD_NGRAMS = 1 << 20, 1e12, 500_000
 
 
 def pack_counts(c: np.ndarray) -> bytes:
@@ -80,9 +78,10 @@ def blocks_of(docs: DataFrame, block_words: int) -> DataFrame:
         import zstandard
 
         vocabulary, symbols = np.unique(np.concatenate(hashes), return_inverse=True)
-        kind = "<u2" if len(vocabulary) <= 1 << 16 else "<u4" if len(vocabulary) <= 1 << 32 else "<u8"
-        held = kind[2].encode() + zstandard.ZstdCompressor(level=1).compress(symbols.astype(kind).tobytes())
-        return block, np.concatenate(ids).astype("<i8").tobytes(), np.concatenate(known).astype(np.uint8).tobytes(), np.concatenate(lengths).astype("<i8").tobytes(), vocabulary.astype("<u8").tobytes(), held
+        width = max(1, (len(vocabulary).bit_length() + 7) // 8)
+        planes = symbols.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()  # all lowest bytes, then the next ones: they pack better
+        held = bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes)
+        return block, np.concatenate(ids).astype("<i8").tobytes(), np.concatenate(known).astype(np.uint8).tobytes(), np.concatenate(lengths).astype("<i8").tobytes(), pack_sorted(vocabulary), held
 
     def read(batches):
         import pyarrow as pa
@@ -112,7 +111,10 @@ def words_in(vocabulary: bytes, symbols: bytes, lengths: bytes) -> tuple[np.ndar
     """The words' hashes and the document, by its place in the block, that each belongs to."""
     import zstandard
 
-    h = np.frombuffer(vocabulary, "<u8")[np.frombuffer(zstandard.ZstdDecompressor().decompress(symbols[1:]), f"<u{symbols[:1].decode()}")] if vocabulary else np.empty(0, U64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(symbols[1:]), np.uint8).reshape(symbols[0], -1)
+    at = np.zeros((planes.shape[1], 8), np.uint8)
+    at[:, : symbols[0]] = planes.T
+    h = unpack_sorted(vocabulary)[at.view("<u8").reshape(-1).astype(np.int64)]
     lengths = np.frombuffer(lengths, "<i8")
     return h, np.repeat(np.arange(len(lengths)), lengths)
 
@@ -229,8 +231,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_w
         for ns in [[n for n in (1, 2) if n <= order], *[[n] for n in range(3, order + 1)]]:
             told = scratch.written(answered(asked(blocks, ns, shards)))
             answers = told if answers is None else answers.unionByName(told)
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()  # for Spark's cleaner: the shuffle of these orders goes before the next one's comes
+            release(spark)  # the shuffle of these orders goes before the next one's comes
         out = scratch.kept(scored(blocks, answers, order, words, alpha))
     return out
 
