@@ -9,6 +9,11 @@ Waterman over words); a pair's score is the best alignment's over that of the
 whole item with itself.  Pairs of at least `least` are returned, so copies with
 words replaced, dropped or put in are found as well as exact ones.
 
+A window reaches from the first to the last diagonal of its seeds and as many
+words beyond as gaps can cost an alignment that still scores `least`; windows
+that overlap are one.  So a pair's score is that of its best alignment in the
+whole document, if this one runs through a seed.
+
 Items are taken in blocks of at most BLOCK_WORDS words, one pass over the
 documents each, so that what is sent to every task stays bounded however large
 the benchmark is.  An upper bound (two for each word in common) spares most
@@ -135,15 +140,17 @@ class Items:
         out = []
         for k in np.unique(item):
             words = self.words[k]
-            size, slack = len(words), max(4, len(words) // 3)
+            size, best, top = len(words), (0.0, 0, 0), 0
+            # an alignment that scores `least` and runs through a seed leaves the seed's diagonal by no more words than it can pay for
+            slack = int((MATCH * size - least * MATCH * size) / -GAP)
             begin = np.unique(at[item == k] - place[item == k])
-            best, top = (0.0, 0, 0), 0
-            # seeds on nearby diagonals share a window
-            for group in np.split(begin, np.flatnonzero(np.diff(begin) > slack) + 1):
+            # windows that overlap are one, so that no alignment is cut
+            for group in np.split(begin, np.flatnonzero(np.diff(begin) > size + 2 * slack) + 1):
                 lo, hi = max(0, int(group[0]) - slack), min(len(h), int(group[-1]) + size + slack)
                 window = h[lo:hi]
                 pool, own = np.unique(words, return_counts=True)
-                seen = np.searchsorted(np.sort(window), pool, "right") - np.searchsorted(np.sort(window), pool, "left")
+                held = np.sort(window)
+                seen = np.searchsorted(held, pool, "right") - np.searchsorted(held, pool, "left")
                 if MATCH * np.minimum(own, seen).sum() < max(least * MATCH * size, top + 1):
                     continue
                 score, end, length = align(words, window)

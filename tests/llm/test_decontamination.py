@@ -64,3 +64,51 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert m.contaminated(none, items).count() == 0
     assert m.contaminated(spark.createDataFrame([(1, "a b c d")], none.schema), items).count() == 0
+
+
+def whole(items, docs, least):
+    """Pairs and scores of whole documents, for all pairs with a seed."""
+    out = {}
+    for d, text in docs:
+        h, _ = m.hashed([text])
+        _, found, _ = items.hits(h)
+        for k in np.unique(found):
+            score = m.align(items.words[k], h)[0] / (m.MATCH * len(items.words[k]))
+            if score >= least:
+                out[d, items.ids[k]] = round(score, 9)
+    return out
+
+
+def test_pairs_and_scores_equal_those_of_whole_documents():
+    rng = random.Random(12)
+    texts = [(k, [rng.choice(WORDS) for _ in range(rng.choice([8, 30, 60]))]) for k in range(12)]
+    docs = []
+    for d in range(150):
+        _, words = rng.choice(texts)
+        out = []
+        for cut in range(3):  # thirds of the item, apart by up to as many words as it has, one after another
+            out += words[cut * len(words) // 3 : (cut + 1) * len(words) // 3] + [rng.choice(WORDS) for _ in range(rng.randint(0, len(words) * 2 // 3))]
+        docs.append((d, " ".join([rng.choice(WORDS) for _ in range(rng.randint(0, 300))] + out)))
+    apart = [w for cut, n in ((0, 33), (1, 34), (2, 35)) for w in texts[0][1][cut * len(texts[0][1]) // 3 : (cut + 1) * len(texts[0][1]) // 3] + ["between"] * n]
+    docs.append((900, " ".join(apart)))
+    items = m.Items([(k, m.hashed([" ".join(w)])[0]) for k, w in texts], m.N)
+    got = {(d, items.ids[k]): round(score, 9) for d, text in docs for k, score, _, _ in items.matches(m.hashed([text])[0], m.LEAST)}
+    assert got == whole(items, docs, m.LEAST) and len(got) > 80
+
+
+def test_thirds_far_apart_are_found(spark):
+    rng = random.Random(2)
+    item = [rng.choice(WORDS) for _ in range(60)]
+    docs = []
+    for d, n in enumerate((22, 33, 34, 35)):
+        docs.append((d, " ".join(w for c in range(3) for w in item[c * 20 : c * 20 + 20] + [f"x{d}{i}" for i in range(n)])))
+    got = m.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id: round(r.score, 3) for r in got} == {0: 0.633, 1: 0.45, 2: 0.433, 3: 0.417}
+
+
+def test_long_texts_and_items_longer_than_a_block(spark):
+    rng = random.Random(3)
+    items = [(1, " ".join(rng.choice(WORDS) for _ in range(300))), (2, "x " * 400)]
+    docs = [(1, " ".join(rng.choice(WORDS) for _ in range(60_000)) + " " + items[0][1]), (2, "y " * 100_000), (3, items[0][1] * 3)]
+    got = m.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=100).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (3, 1)} and all(r.score >= 0.99 for r in got)
