@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
-TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|!\[CDATA\[.*?\]\]>|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPACE = re.compile(r"[ \t\n\r\f\v  -​　]+")
 # HTML's element kinds.
@@ -22,20 +24,28 @@ NAME = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])")
 
 @dataclass(slots=True)
 class Node:
+    """An element; what its blocks inherit is held by reference, so that deep trees cost no more than flat ones."""
+
     tag: str
-    names: tuple[str, ...] = ()  # words of id, class and role
-    hidden: bool = False
+    parent: Node | None
+    new: tuple[str, ...]  # in:tag and name:word features that no element around has
+    hidden: bool  # it or an element around
+    holder: str  # the innermost of HOLDERS, itself included
+
+
+HOLDERS = frozenset("article main aside nav header footer form section".split())
 
 
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[Node, ...]
+    node: Node | None
     linked: int = 0  # characters inside links
     marked: tuple[str, ...] = field(default=())  # inline tags in the block
 
 
-def node_of(tag: str, attributes: str) -> Node:
+def described(attributes: str) -> tuple[list[str], bool]:
+    """Words of id, class, role and itemprop; whether the element is hidden."""
     names, hidden = [], False
     if attributes and not attributes.isspace():
         for key, value in ATTRIBUTE.findall(attributes):
@@ -44,13 +54,42 @@ def node_of(tag: str, attributes: str) -> Node:
                 names += [w.lower() for w in NAME.findall(value)]
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 hidden = True
-    return Node(tag, tuple(names), hidden)
+    return names, hidden
+
+
+def tags_of(page: str):
+    """(begin, end, tag, whether it ends an element, attributes) of each tag; tag is "" for comments and the like.
+
+    Looks at no character more often than a fixed number of times: where quotes
+    don't close, they count as plain characters from there on.
+    """
+    at, last, quotes = 0, page.rfind(">"), True
+    cdata = page.rfind("]]>")
+    while (i := page.find("<", at)) >= 0:
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield i, at, "", False, ""
+        elif i > last:
+            return
+        elif page.startswith(("<!", "<?"), i):
+            at = (page.find("]]>", i) + 3) if i < cdata and page.startswith("<![CDATA[", i) else page.find(">", i) + 1
+            yield i, at, "", False, ""
+        elif m := TAG.match(page, i):
+            end = QUOTED.match(page, m.end()) if quotes else None
+            quotes = quotes and end is not None
+            at = end.end() if end else page.find(">", m.end()) + 1
+            yield i, at, m[2].lower(), bool(m[1]), page[m.end() : at - 1]
+        else:  # a bare <
+            at = i + 1
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """The page's blocks in order; markup that is broken or unended is read as browsers do, more or less."""
     blocks: list[Block] = []
     stack: list[Node] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag
+    held: Counter[str] = Counter()  # features of open elements
     pieces: list[str] = []
     linked = 0
     in_link = 0
@@ -62,11 +101,29 @@ def leaf_blocks(page: str) -> list[Block]:
         if pieces:
             text = SPACE.sub(" ", "".join(pieces)).strip()
             if text:
-                blocks.append(Block(text, tuple(stack), min(linked, len(text)), tuple(sorted(marked))))
+                blocks.append(Block(text, stack[-1] if stack else None, min(linked, len(text)), tuple(sorted(marked))))
             pieces.clear()
         linked = 0
         marked.clear()
 
+    def enter(tag: str, attributes: str) -> None:
+        nonlocal unseen
+        names, hidden = described(attributes)
+        around = stack[-1] if stack else None
+        new = tuple(x for x in dict.fromkeys([f"in:{tag}", *(f"name:{w}" for w in names)]) if not held[x])
+        held.update(new)
+        places[tag].append(len(stack))
+        stack.append(Node(tag, around, new, hidden or (around is not None and around.hidden), tag if tag in HOLDERS else around.holder if around else "none"))
+        unseen += tag in UNSEEN
+
+    def leave() -> None:
+        nonlocal unseen
+        node = stack.pop()
+        places[node.tag].pop()
+        for x in node.new:
+            del held[x]
+        unseen -= node.tag in UNSEEN
+
     def add(raw: str) -> None:
         nonlocal linked
         if raw and not unseen:
@@ -77,24 +134,21 @@ def leaf_blocks(page: str) -> list[Block]:
 
     def close(tags, scope) -> None:
         """Ends the innermost open element of the tags, unless one of the scope lies within."""
-        nonlocal unseen
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].tag in tags:
-                flush()
-                unseen -= sum(x.tag in UNSEEN for x in stack[k:])
-                del stack[k:]
-                return
-            if stack[k].tag in scope:
-                return
-
-    at, find = 0, TAG.search
-    while m := find(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[3] or m[6]
+        innermost = lambda kinds: max((places[t][-1] for t in kinds if places.get(t)), default=-1)
+        k = innermost(tags)
+        if k >= 0 and k >= innermost(scope):
+            flush()
+            while len(stack) > k:
+                leave()
+
+    at = 0
+    for begin, end, tag, ending, attributes in tags_of(page):
+        if begin < at:  # inside a script or the like
+            continue
+        add(page[at:begin])
+        at = end
         if not tag:
             continue
-        tag, ending, attributes = tag.lower(), m[2] or m[5], m[4] if m[3] else m[7]
         if ending:
             if tag in INLINE:
                 in_link -= tag == "a" and in_link > 0
@@ -107,8 +161,8 @@ def leaf_blocks(page: str) -> list[Block]:
                 close({tag}, frozenset())
             continue
         if tag in RAW:
-            end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
-            at = page.find(">", end.end()) + 1 or len(page) if end else len(page)
+            over = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
+            at = page.find(">", over.end()) + 1 or len(page) if over else len(page)
             continue
         if tag in INLINE:
             if tag == "a":
@@ -127,12 +181,11 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag == "body":
             close({"head"}, frozenset())
         if stack and stack[-1].tag == "p":
-            stack.pop()
+            leave()
         if tag in CLOSES:
             close(CLOSES[tag], SCOPES - {"td"} if tag == "tr" else SCOPES)
         if not attributes.endswith("/") or tag not in UNSEEN:
-            stack.append(node_of(tag, attributes))
-            unseen += tag in UNSEEN
+            enter(tag, attributes)
     add(page[at:])
     flush()
     return blocks

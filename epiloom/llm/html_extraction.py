@@ -18,12 +18,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import batches_of, table
-from .dom import Block, leaf_blocks
+from .dom import Block, Node, leaf_blocks
 from .page_samples import labelled_pages
 
 #: Pages that the model is trained on, and their seed.
@@ -36,22 +37,35 @@ def step(value: float, *edges: float) -> int:
     return sum(value >= e for e in edges)
 
 
+def path_features(node: Node | None) -> list[str]:
+    """The tags of the elements around and the words of their class, id and role, each once."""
+    out = []
+    while node:
+        out += node.new
+        node = node.parent
+    return out
+
+
 def block_features(blocks: list[Block]) -> list[list[str]]:
+    """All features of each block."""
+    return [f + path_features(b.node) for f, b in zip(text_features(blocks), blocks, strict=True)]
+
+
+def text_features(blocks: list[Block]) -> list[list[str]]:
+    """Those that aren't path_features."""
     out, n = [], len(blocks)
     for i, b in enumerate(blocks):
         words = b.text.split()
         m = max(len(words), 1)
         f = ["bias"]
-        tags = [x.tag for x in b.path]
-        f += {f"in:{t}" for t in tags}
-        f += {f"name:{w}" for x in b.path for w in x.names}
-        f.append(f"leaf:{tags[-1] if tags else ''}")
-        f.append(f"leaf2:{'/'.join(tags[-2:])}")
-        if any(x.hidden for x in b.path):
+        leaf, around = (b.node.tag, b.node.parent) if b.node else ("", None)
+        holder = b.node.holder if b.node else "none"
+        f.append(f"leaf:{leaf}")
+        f.append(f"leaf2:{around.tag + '/' if around else ''}{leaf}")
+        if b.node and b.node.hidden:
             f.append("hidden")
-        holder = next((t for t in reversed(tags) if t in ("article", "main", "aside", "nav", "header", "footer", "form", "section")), "none")
         f.append(f"holder:{holder}")
-        f.append(f"holder:{holder}/{tags[-1] if tags else ''}")
+        f.append(f"holder:{holder}/{leaf}")
         f.append(f"words:{step(m, 2, 4, 8, 15, 30, 60, 120)}")
         f.append(f"links:{step(b.linked / max(len(b.text), 1), 0.01, 0.2, 0.5, 0.9)}")
         f.append(f"ends:{'stop' if b.text[-1] in '.!?…»”' else 'other'}")
@@ -76,14 +90,27 @@ class Crf:
     moves: np.ndarray  # from label, to label
     ends: np.ndarray  # first row: of beginning with a label; second: of ending with it
 
-    def unary(self, features: list[list[str]]) -> np.ndarray:
+    def unary(self, blocks: list[Block]) -> np.ndarray:
+        """What each block's features weigh for either label; what an element's path weighs is added up once."""
         index, w = self.index, self.weights
-        return np.array([w[[index[x] for x in f if x in index]].sum(axis=0) for f in features]).reshape(-1, 2)
-
-    def viterbi(self, features: list[list[str]]) -> list[int]:
-        if not features:
+        weigh = lambda f: w[[index[x] for x in f if x in index]].sum(axis=0)
+        known: dict[int, np.ndarray] = {}
+        out = []
+        for f, b in zip(text_features(blocks), blocks, strict=True):
+            way, node = [], b.node
+            while node and id(node) not in known:
+                way.append(node)
+                node = node.parent
+            path = known[id(node)] if node else np.zeros(2)
+            for node in reversed(way):
+                path = known[id(node)] = path + weigh(node.new)
+            out.append(weigh(f) + path)
+        return np.array(out).reshape(-1, 2)
+
+    def viterbi(self, blocks: list[Block]) -> list[int]:
+        if not blocks:
             return []
-        u = self.unary(features).tolist()
+        u = self.unary(blocks).tolist()
         (m00, m01), (m10, m11) = self.moves.tolist()
         a, b = u[0][0] + self.ends[0, 0], u[0][1] + self.ends[0, 1]
         back = []
@@ -150,6 +177,7 @@ class Crf:
         return cls(index, theta[: 2 * k].reshape(k, 2).copy(), theta[2 * k : 2 * k + 4].reshape(2, 2).copy(), theta[2 * k + 4 :].reshape(2, 2).copy())
 
 
+@lru_cache(maxsize=2)
 def trained(pages: int = TRAINING_PAGES, seed: int = SEED) -> Crf:
     """A model of labelled sample pages; a label belongs to the text that the sample marks as main."""
     data = []
@@ -161,7 +189,7 @@ def trained(pages: int = TRAINING_PAGES, seed: int = SEED) -> Crf:
 
 def main_text(page: str, model: Crf) -> str:
     blocks = leaf_blocks(page)
-    return "\n\n".join(b.text for b, label in zip(blocks, model.viterbi(block_features(blocks)), strict=True) if label)
+    return "\n\n".join(b.text for b, label in zip(blocks, model.viterbi(blocks), strict=True) if label)
 
 
 def extract(pages: DataFrame, model: Crf) -> DataFrame:

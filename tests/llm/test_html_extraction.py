@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from epiloom.llm.dom import leaf_blocks
@@ -15,7 +17,7 @@ def test_held_out_pages(model):
     for page, main in labelled_pages(150, seed=987):
         blocks = leaf_blocks(page)
         assert main <= {b.text for b in blocks}
-        labels = model.viterbi(block_features(blocks))
+        labels = model.viterbi(blocks)
         right += sum(int(b.text in main) == y for b, y in zip(blocks, labels, strict=True))
         total += len(blocks)
     assert right / total > 0.985
@@ -47,3 +49,27 @@ def test_cues_of_the_whole_block():
     assert {"cue:cookies", "cue:privacy", "cue:©"} <= seen("word " * 60 + "cookies privacy ©")
     assert "late:cookies" in seen("word " * 300 + "cookies")
     assert not any(x.startswith(("cue:", "late:")) for x in seen("word " * 300))
+
+
+MILLION = {
+    "tags without end": "<a " * 350_000,
+    "quotes without end": "<a '>" * 200_000 + '<b "',
+    "ends in quotes only": '<a ">" ' * 150_000,
+    "open sections of text": "<![CDATA[" * 110_000 + ">",
+    "bare brackets": "<" * 1_000_000 + ">",
+    "nested": "<div><p>a word</p>" * 50_000,
+    "nested with names": "".join(f"<div class=n{i}a{i}><p>x</p>" for i in range(35_000)),
+    "ends of nothing": "<x>" * 100_000 + "</y>" * 100_000,
+    "items in depth": "<li><ul>" + "<x>" * 100_000 + "<li></li>" * 70_000,
+    "open scripts": "<script>" * 120_000,
+    "comments": "<!--" * 250_000,
+    "attributes": "<div " + "a=b " * 250_000 + ">x</div>",
+    "references": "&bogus" * 160_000,
+}
+
+
+@pytest.mark.parametrize("kind", MILLION)
+def test_a_million_characters_of_broken_markup_take_seconds(model, kind):
+    began = time.process_time()
+    assert isinstance(main_text(MILLION[kind], model), str)
+    assert time.process_time() - began < 5
