@@ -14,14 +14,14 @@ COMPONENTS = ["cdr3a", "trav", "traj", "cdr3b", "trbv", "trbj"]
 IDENTITY = ["receptor_id", *COMPONENTS, "peptide", "hla"]
 
 
-def normalized_panel(panel: DataFrame, order: str | None = None) -> DataFrame:
-    """Distinct upper-case peptides with canonical molecules, and hla_error where a name can't be read."""
+def normalized_panel(panel: DataFrame, species: str | None = None) -> DataFrame:
+    """Distinct upper-case peptides with canonical molecules; hla_error where a name can't be read or is of another species, hla_abstains where a model isn't given it."""
     panel = panel if "hla" in panel.columns else panel.withColumn("hla", F.lit(None).cast("string"))
     p = panel.select(F.upper(clean("peptide")).alias("peptide"), clean("hla").alias("_hla"))
     if p.filter(~F.coalesce(F.col("peptide").rlike(rf"\A[{AA20}]+\z"), F.lit(False))).limit(1).count():
         raise InputError("a peptide has letters beyond the twenty residues")
-    named = hla.normalized(p.distinct(), "_hla", "hla")
-    return named.select("peptide", "hla", "hla_error").distinct()
+    named = hla.normalized(p.distinct(), "_hla", "hla", species)
+    return named.select("peptide", "hla", "hla_error", "hla_abstains").distinct()
 
 
 def component_problem() -> Column:
@@ -39,7 +39,7 @@ def export_pairs(receptors: DataFrame, panel: DataFrame, donors: DataFrame | Non
     The panel is the stated set; both sides are counted first, and the product
     may not exceed max_pairs.
     """
-    wanted = normalized_panel(panel)
+    wanted = normalized_panel(panel, species)
     n, m = receptors.count(), wanted.count()
     if n * m > max_pairs:
         raise InputError(f"{n} receptors x {m} panel rows exceed {max_pairs} pairs")

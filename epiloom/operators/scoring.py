@@ -97,10 +97,10 @@ def score_pmhc(panel: DataFrame, scorer: Scorer, background: int = 1000, seed: i
     """Every row of the panel with status, score, percentile against a random background of its molecule and length, and reason."""
     named = hla.normalized(panel, "hla", "_mhc", species)
     reason = F.coalesce(
-        F.when(F.col("hla").isNull(), "the panel names no molecule"), F.col("_mhc_error"), F.when(~F.coalesce(F.col("peptide").rlike(rf"\A[{AA20}]+\z"), F.lit(False)), "the peptide has other letters than the twenty residues"),
+        F.when(F.col("hla").isNull(), "the panel names no molecule"), F.col("_mhc_error"), F.col("_mhc_abstains"), F.when(~F.coalesce(F.col("peptide").rlike(rf"\A[{AA20}]+\z"), F.lit(False)), "the peptide has other letters than the twenty residues"),
         F.when(~F.length("peptide").between(1, 50), "the peptide's length isn't 1 to 50"),
     )
-    rows = named.withColumns({"reason": reason, "hla_input": F.col("hla"), "hla": F.coalesce("_mhc", "hla"), "peptide_length": F.length("peptide")}).drop("_mhc", "_mhc_error")
+    rows = named.withColumns({"reason": reason, "hla_input": F.col("hla"), "hla": F.coalesce("_mhc", "hla"), "peptide_length": F.length("peptide")}).drop("_mhc", "_mhc_error", "_mhc_abstains")
     fit = rows.filter("reason IS NULL")
     drawn = random_panel(fit.select("hla", "peptide_length"), background, seed, max_rows)
     both = fit.select("hla", "peptide").distinct().withColumn("_bg", F.lit(False)).unionByName(drawn.select("hla", "peptide").withColumn("_bg", F.lit(True)))

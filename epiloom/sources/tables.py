@@ -49,8 +49,8 @@ def numbered(df: DataFrame, first: int = 2, name: str = "source_row") -> DataFra
         before[p], total = total, total + sizes[p]
     if not before:
         return ids.withColumn(name, F.lit(0).cast("long")).drop("_id")
-    start = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])
-    return ids.withColumn(name, start[part] + place + first).drop("_id")
+    start = df.sparkSession.createDataFrame(list(before.items()), "_part long, _before long")  # a row a partition
+    return ids.withColumn("_part", part.cast("long")).join(start, "_part").withColumn(name, F.col("_before") + place + first).drop("_id", "_part", "_before")
 
 
 def _validated(df: DataFrame, needed: tuple[str, ...], path: str) -> DataFrame:
@@ -65,10 +65,10 @@ def _validated(df: DataFrame, needed: tuple[str, ...], path: str) -> DataFrame:
         if bad := df.filter(~F.col("peptide").rlike(rf"\A[{AA20}]+\z")).select("source_row").limit(1).collect():
             raise InputError(f"{path}, row {bad[0][0]}: the peptide has other letters than the twenty residues")
     if "hla" in df.columns:
-        df = hla.normalized(df, "hla", "_name").cache()
+        df = hla.normalized(df, "hla", "_name")
         if bad := df.filter("_name_error IS NOT NULL").select("source_row", "_name_error").limit(1).collect():
             raise InputError(f"{path}, row {bad[0][0]}: {bad[0][1]}")
-        df = df.withColumn("hla", F.col("_name")).drop("_name", "_name_error")
+        df = df.withColumn("hla", F.col("_name")).drop("_name", "_name_error", "_name_abstains")
     return df.drop("source_row")
 
 

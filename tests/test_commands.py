@@ -15,7 +15,7 @@ def test_screen_of_the_example(spark, example, tmp_path):
     args = ["screen", "--input", f"{example}/receptors.csv", "--references", f"{example}/references.csv", "--panel", f"{example}/panel.csv", "--donors", f"{example}/donors.csv", "--out", str(out)]
     assert main(args) == 0
     rows = spark.read.parquet(f"{out}/evidence.parquet").collect()
-    assert sorted((r.status, r.evidence_type) for r in rows) == [("Candidate", "exact_paired"), ("Candidate", "exact_single_chain")]
+    assert sorted((r.status, r.evidence_type) for r in rows) == [("Candidate", "exact_paired"), ("Candidate", "exact_single_chain"), ("Candidate", "similar_paired")]
     before = sorted(p.name for p in out.iterdir())
     assert main(args) == 2 and sorted(p.name for p in out.iterdir()) == before
 
@@ -36,6 +36,6 @@ def test_evaluate_and_lookup(spark, example, tmp_path):
     (tmp_path / "l.csv").write_text("receptor_id,peptide,hla,label\nr1,P,A,1\nr2,P,A,0\n")
     assert main(["evaluate", "--scores", f"{tmp_path}/s.csv", "--labels", f"{tmp_path}/l.csv", "--out", str(tmp_path / "e")]) == 0
     assert spark.read.parquet(f"{tmp_path}/e/evaluation.parquet").first().auroc == 1.0
-    (tmp_path / "lib.csv").write_text("peptide,hla,score\nGILGFVFTL,HLA-A*02:01,3\n")
+    (tmp_path / "lib.csv").write_text("peptide,hla,score\nKLDVGNAEYV,HLA-B*35:01,3\n")
     assert main(["lookup", "--panel", f"{example}/panel.csv", "--library", f"{tmp_path}/lib.csv", "--out", str(tmp_path / "k")]) == 0
     assert main(["lookup", "--panel", f"{tmp_path}/none.csv", "--library", f"{tmp_path}/lib.csv", "--out", str(tmp_path / "n")]) == 2

@@ -52,12 +52,12 @@ RECEPTOR = "receptor_id string, donor_id string, cdr3a string, cdr3b string, tra
 REFERENCE = "reference_id string, cdr3a string, cdr3b string, trav string, traj string, trbv string, trbj string, peptide string, hla string, source string, evidence string"
 
 
-def receptor(rid="r1", donor="d1", a="CAVRDSNYQLIW", b="CASSLGQETQYF", v="TRBV19", status="paired"):
-    return (rid, donor, a, b, "TRAV1-2", "TRAJ33", v, "TRBJ2-7", status, "")
+def receptor(rid="r1", donor="d1", a="CALWDKNSGYTIEF", b="CASRHDPWQNVELFF", v="TRBV5-1", status="paired"):
+    return (rid, donor, a, b, "TRAV8-3", "TRAJ10", v, "TRBJ2-7", status, "")
 
 
-def reference(rid="ref1", a="CAVRDSNYQLIW", b="CASSLGQETQYF", peptide="GILGFVFTL", mhc="A*02:01", v="TRBV19", evidence="functional"):
-    return (rid, a, b, "TRAV1-2", "TRAJ33", v, "TRBJ2-7", peptide, mhc, "src", evidence)
+def reference(rid="ref1", a="CALWDKNSGYTIEF", b="CASRHDPWQNVELFF", peptide="GILGFVFTL", mhc="A*02:01", v="TRBV5-1", evidence="functional"):
+    return (rid, a, b, "TRAV8-3", "TRAJ10", v, "TRBJ2-7", peptide, mhc, "src", evidence)
 
 
 def screened(spark, receptors, references, panel=(("GILGFVFTL", "A*02:01"),), donors=(("d1", "A*02:01"),), k=1):
@@ -68,7 +68,7 @@ def screened(spark, receptors, references, panel=(("GILGFVFTL", "A*02:01"),), do
 def test_exact_and_similar_evidence(spark):
     rows = screened(
         spark,
-        [receptor(), receptor("r2", b="CASSLGQETQYW"), receptor("r3", a="CAVRDSNYQLLW", b="CASSLGQETQYW"), receptor("r4", a=None), receptor("r5", a=None, b=None, status="no_productive_chains"), receptor("r6", v="TRBV7-2"), receptor("r7", donor="d9")],
+        [receptor(), receptor("r2", b="CASRHDPWQNVELFW"), receptor("r3", a="CALWDKNSGYTIDF", b="CASRHDPWQNVELFW"), receptor("r4", a=None), receptor("r5", a=None, b=None, status="no_productive_chains"), receptor("r6", v="TRBV7-2"), receptor("r7", donor="d9")],
         [reference(), reference("far", a="CAAAAAAAAAAF"), reference("other", peptide="NLVPMVATV")],
     )
     told = {}
