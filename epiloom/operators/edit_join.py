@@ -1,11 +1,13 @@
 """Edit-distance joins of two sets of sequences.
 
 k = 0 is an equi-join.  For k > 0 a query of at least q * (k + 1) letters is cut
-into k + 1 parts: at most k edits leave one of them whole, so the q letters that
-part begins with occur in the other sequence.  Those grams are joined and the
-pairs verified; shorter queries join by length.  Both are equi-joins, so Spark
-shuffles by gram and splits skewed grams; nothing is a Cartesian product.  Every
-distinct sequence is looked at once, whoever has it.
+into k + 1 parts: at most k edits leave one of them whole, and each q letters of
+it stand in the other sequence, at most k places off.  Of each part the gram that
+the fewest references hold is joined - most junctions begin alike, so a fixed
+place would join all with all - and the pairs are verified; shorter queries join
+by length.  Both are equi-joins, so Spark shuffles by gram and splits skewed
+grams; nothing is a Cartesian product.  Every distinct sequence is looked at
+once, whoever has it.
 """
 
 from __future__ import annotations
@@ -25,12 +27,15 @@ def edit_pairs(left: DataFrame, right: DataFrame, k: int, left_seq: str = "seq",
     if k == 0:
         return a.join(b, a["a"] == b["b"]).select("a", "b", F.lit(0).alias("distance"))
     size = F.length("a")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.substr(F.col("a"), (F.floor(size * i / (k + 1)) + 1).cast("int"), F.lit(q)))
-    long = a.filter(size >= q * (k + 1)).select("a", F.explode(F.array_distinct(parts)).alias("gram"))
-    # only parts that a reference can hold; sequence() must not run backwards for short ones
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("b") - (q - 1), F.lit(1))), lambda i: F.substr(F.col("b"), i, F.lit(q)))
-    held = b.filter(F.length("b") >= q).select("b", F.explode(F.array_distinct(grams)).alias("gram"))
-    by_gram = long.join(held, "gram").filter(F.abs(F.length("a") - F.length("b")) <= k).select("a", "b").distinct()
+    every = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (q - 1), F.lit(1))), lambda i: F.struct(i.alias("place"), F.substr(F.col(c), i, F.lit(n)).alias("gram")))
+    held = b.filter(F.length("b") >= q).select("b", F.explode(every("b", q)).alias("g")).select("b", "g.*")
+    begins = lambda i: F.floor(size * i / (k + 1))
+    mine = a.filter(size >= q * (k + 1)).select("a", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("part"))
+    mine = mine.select("a", "part", F.explode(F.sequence((begins(F.col("part")) + 1).cast("int"), (begins(F.col("part") + 1) - q + 1).cast("int"))).alias("at")).withColumn("gram", F.substr("a", "at", F.lit(q)))
+    counts = held.groupBy("gram").agg(F.count("*").alias("holders"))
+    rarest = mine.join(counts, "gram", "left").groupBy("a", "part").agg(F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "at", "gram")).alias("g")).filter("g.holders > 0").select("a", "g.at", "g.gram")
+    near = (F.abs(F.col("at") - F.col("place")) <= k) & (F.abs(F.length("a") - F.length("b")) <= k)
+    by_gram = rarest.join(held, "gram").filter(near).select("a", "b").distinct()
     short = a.filter(size < q * (k + 1)).select("a", F.explode(F.sequence(F.greatest(size - k, F.lit(0)), size + k)).alias("n"))
     by_length = short.join(b.select("b", F.length("b").alias("n")), "n").select("a", "b")
     found = by_gram.union(by_length).withColumn("distance", F.levenshtein("a", "b", k))

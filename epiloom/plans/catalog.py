@@ -147,14 +147,20 @@ def info_content(spark, sf_dir):
 # ---- sequence joins and screening -------------------------------------------------------------------------------
 
 
+def _junction(key: str) -> str:
+    """SQL of a junction that begins like most: families of ten, told apart by one letter and their middles."""
+    family = f"({key} - {key} % 10)"
+    return f"concat('CASS', substr(translate(md5(cast({family} as string)), '{s.HEX}', '{s.LETTERS}'), 1, cast(6 + {family} % 7 as int)), substr('{s.LETTERS}', cast(1 + {key} % 10 as int), 1), 'EQYF')"
+
+
 def _edit(k: int):
     def run(spark, sf_dir):
-        left = table(spark, sf_dir, "customer").select(F.expr(cdr3("c_custkey * 5 + 1", 389)).alias("seq"))
-        right = table(spark, sf_dir, "part").select(F.expr(cdr3("p_partkey * 2 + 1", 389)).alias("seq"))
+        left = table(spark, sf_dir, "customer").select(F.expr(_junction("c_custkey")).alias("seq"))
+        right = table(spark, sf_dir, "part").select(F.expr(_junction("p_partkey")).alias("seq"))
         return edit_pairs(left, right, k)
 
     run.__name__ = f"edit_join_k{k}"
-    a, b = duck(cdr3("c_custkey * 5 + 1", 389)), duck(cdr3("p_partkey * 2 + 1", 389))
+    a, b = duck(_junction("c_custkey")), duck(_junction("p_partkey"))
     return query(f"WITH a AS (SELECT DISTINCT {a} AS a FROM customer), b AS (SELECT DISTINCT {b} AS b FROM part) SELECT a, b, levenshtein(a, b)::INT AS distance FROM a, b WHERE levenshtein(a, b) <= {k}")(run)
 
 
@@ -258,9 +264,13 @@ def receptors_collapsed(spark, sf_dir):
     return ingest.receptors_of(ingest.observed_pairs(chains))[0].select("donor_id", "cdr3a", "cdr3b", "cell_count")
 
 
-@query(duck(f"SELECT DISTINCT p_partkey, {cdr3('p_partkey')} AS seq, regexp_full_match({cdr3('p_partkey')}, 'C[ACDEFGHIKLMNPQRSTVWY]+[FW]') AS usable, false AS incomplete, false AS ambiguous FROM part"))
+_FLAWED = f"case p_partkey % 6 when 0 then null when 1 then concat('C', 'X', {cdr3('p_partkey')}) when 2 then substr({cdr3('p_partkey')}, 2, 9) when 3 then replace({cdr3('p_partkey')}, 'A', '*') when 4 then concat({cdr3('p_partkey')}, ' ') else {cdr3('p_partkey')} end"
+
+
+@query(duck(f"""WITH j AS (SELECT p_partkey, {_FLAWED} AS seq FROM part) SELECT *, coalesce(regexp_full_match(seq, 'C[ACDEFGHIKLMNPQRSTVWY]+[FW]'), false) AS usable, NOT coalesce(regexp_full_match(seq, 'C[A-Z*]*[FW]'), false) AS incomplete,
+  NOT coalesce(regexp_full_match(seq, '[ACDEFGHIKLMNPQRSTVWY]+'), true) AS ambiguous FROM j"""))
 def junction_flags(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(cdr3("p_partkey")).alias("seq"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(_FLAWED).alias("seq"))
     return p.select("*", t.usable_cdr3("seq").alias("usable"), t.junction_incomplete("seq").alias("incomplete"), t.sequence_ambiguous("seq").alias("ambiguous"))
 
 
@@ -270,13 +280,8 @@ def tristate_boolean(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", t.tristate(spelled).alias("flag"))
 
 
-@query(r"SELECT doc_id, nullif(regexp_replace(regexp_replace(substr(text, 1 + (n_chars % 5), 12 + n_chars % 9), '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), '') AS cleaned FROM documents")
-def clean_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", t.clean(F.expr("substr(text, cast(1 + (n_chars % 5) as int), cast(12 + n_chars % 9 as int))")).alias("cleaned"))
-
-
 @query(r"SELECT doc_id, nullif(regexp_replace(regexp_replace(chr(9) || ' ' || text || ' ' || chr(10), '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), '') AS cleaned FROM documents")
-def clean_text_whole(spark, sf_dir):
+def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.clean(F.concat(F.lit("\t "), "text", F.lit(" \n"))).alias("cleaned"))
 
 
@@ -297,9 +302,9 @@ def semi_join(spark, sf_dir):
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_join(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
 
 
@@ -349,13 +354,31 @@ def unit_norms(spark, sf_dir):
 # ---- molecules and genes ----------------------------------------------------------------------------------------
 
 
-@query(duck(f"WITH n AS (SELECT n_nationkey, {s.allele('n_nationkey')} AS a FROM nation) SELECT x.n_nationkey AS l, y.n_nationkey AS r, CASE WHEN x.a IS NULL OR y.a IS NULL THEN 'unresolved' WHEN x.a = y.a THEN 'compatible' ELSE 'incompatible' END AS status FROM n x, n y"))
+#: Names by the rules that they bring up, one a nation.
+_MOLECULES = "HLA-B*35:01 HLA-B*35:03 HLA-B*35:01:02 HLA-B*35:01N HLA-B*35:01S HLA-B*35:01Q HLA-B*35:01L HLA-B*35:01:01G HLA-B*35:01P HLA-B*35 HLA-B*44 HLA-B*3501 HLA-C*35:01 HLA-C*04:01C HLA-DRB1*15:01 HLA-DRB1*15:01:01 HLA-DPB1*02:01 HLA-DRA*01:01 H-2-Kb H-2-Kd H-2-IAb HLA-A*02:01 HLA-A*02 HLA-DRB1*11:01A".split()
+_NAMED = "case " + " ".join(f"when n_nationkey = {i} then '{m}'" for i, m in enumerate(_MOLECULES)) + " end"
+
+
+@query(f"""WITH n AS (SELECT n_nationkey, {_NAMED} AS a FROM nation),
+m AS (SELECT *, starts_with(a, 'H-2') AS mouse, regexp_extract(a, '^HLA-([A-Z0-9]+)[*]', 1) AS locus, string_split(regexp_extract(a, '[*]([0-9:]+)', 1), ':') AS f, regexp_extract(a, '[0-9]([A-Z])$', 1) AS mark FROM n),
+p AS (SELECT x.n_nationkey AS l, y.n_nationkey AS r, x.a AS xa, y.a AS ya, x.mouse AS xm, y.mouse AS ym, x.locus AS xl, y.locus AS yl, x.f AS xf, y.f AS yf, x.mark || y.mark AS marks, least(2, len(x.f), len(y.f)) AS depth FROM m x, m y)
+SELECT l, r, CASE WHEN xa IS NULL OR ya IS NULL THEN 'unresolved' WHEN xm <> ym THEN 'incompatible' WHEN xm THEN CASE WHEN xa = ya THEN 'compatible' ELSE 'incompatible' END
+  WHEN regexp_matches(marks, '[NSC]') THEN 'incompatible' WHEN xl <> yl THEN 'incompatible' WHEN regexp_matches(marks, '[GP]') THEN 'unresolved'
+  WHEN (len(xf) = 1 AND strlen(xf[1]) > 3) OR (len(yf) = 1 AND strlen(yf[1]) > 3) THEN 'unresolved' WHEN xf[1:depth] <> yf[1:depth] THEN 'incompatible' WHEN depth < 2 THEN 'unresolved'
+  WHEN marks <> '' THEN 'unresolved' WHEN xl IN ('DRA', 'DQA1', 'DQB1', 'DPA1', 'DPB1') THEN 'unresolved' ELSE 'compatible' END AS status FROM p""")
 def hla_compare(spark, sf_dir):
-    n = derived(spark, sf_dir, f"SELECT n_nationkey, {s.allele('n_nationkey')} AS a FROM nation", "nation")
+    n = derived(spark, sf_dir, f"SELECT n_nationkey, {_NAMED} AS a FROM nation", "nation")
     both = n.select(F.col("n_nationkey").alias("l"), F.col("a").alias("la")).crossJoin(F.broadcast(n.select(F.col("n_nationkey").alias("r"), F.col("a").alias("ra"))))  # 25 rows each
     return hla.compared(both, "la", "ra", "status", "reason").select("l", "r", "status")
 
 
+@query(f"""WITH n AS (SELECT n_nationkey, {_NAMED} AS a FROM nation), m AS (SELECT *, regexp_extract(a, '^HLA-([A-Z0-9]+)[*]', 1) AS locus, string_split(regexp_extract(a, '[*]([0-9:]+)', 1), ':') AS f FROM n)
+SELECT n_nationkey, a AS name, a IS NOT NULL AND (starts_with(a, 'H-2') OR (NOT regexp_matches(a, '[A-Z]$') AND len(f) = 2 AND strlen(f[1]) = 2 AND locus IN ('A', 'B', 'C'))) AS given FROM m""")
+def model_molecules(spark, sf_dir):
+    n = derived(spark, sf_dir, f"SELECT n_nationkey, {_NAMED} AS a FROM nation", "nation")
+    return hla.normalized(n, "a", "name").select("n_nationkey", "name", (F.col("name").isNotNull() & F.col("name_abstains").isNull()).alias("given"))
+
+
 @query(duck(f"WITH g AS (SELECT p_partkey, {s.gene('TRBV', 'p_partkey', 5)} AS a, {s.gene('TRBV', 'p_size', 5)} AS b FROM part) SELECT p_partkey, CASE WHEN a IS NULL OR b IS NULL THEN 'unresolved' WHEN a = b THEN 'compatible' ELSE 'conflict' END AS status FROM g"))
 def gene_call_status(spark, sf_dir):
     g = derived(spark, sf_dir, f"SELECT p_partkey, {s.gene('TRBV', 'p_partkey', 5)} AS a, {s.gene('TRBV', 'p_size', 5)} AS b FROM part", "part")
