@@ -155,7 +155,7 @@ def filters_of(keys: DataFrame) -> DataFrame:
 
 @dataclass
 class LineIndex:
-    """counts: shard, a, b, n, last; filters: shard, tags; refs: a, b, doc_id.  All in the shared folder."""
+    """counts: shard, a, b, n, last; filters: shard, tags; refs: a, b, doc_id.  Counts and refs are in the shared folder."""
 
     counts: DataFrame
     filters: DataFrame
@@ -164,10 +164,13 @@ class LineIndex:
     min_chars: int = MIN_CHARS
 
     @classmethod
-    def of(cls, docs: DataFrame, shards: int = 64, min_chars: int = MIN_CHARS) -> LineIndex:
+    def of(cls, docs: DataFrame, shards: int | None = None, min_chars: int = MIN_CHARS) -> LineIndex:
+        """shards: None for one to some KEYS_A_SHARD keys."""
         refs = written(references(docs, min_chars))
-        counts = written(sharded(refs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")), shards).select("shard", "a", "b", "n", "last"))
-        return cls(counts, written(filters_of(counts)), refs, shards, min_chars)
+        counts = written(refs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")))
+        shards = shards or max(1, -(-counts.count() // KEYS_A_SHARD))
+        counts = sharded(counts, shards).select("shard", "a", "b", "n", "last")
+        return cls(counts, filters_of(counts), refs, shards, min_chars)  # filters are built when a change asks for them
 
     def _changed(self, change: DataFrame, refs: DataFrame) -> LineIndex:
         """change: a, b, n (more or fewer), last."""
@@ -252,7 +255,7 @@ class LineIndex:
         return hits.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("keys"))
 
 
-def dedupe_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bytes: int = FILTER_BYTES, shards: int = 64) -> DataFrame:
+def dedupe_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bytes: int = FILTER_BYTES, shards: int | None = None) -> DataFrame:
     """docs (doc_id, text, ...) with the kept text, n_lines and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
     lost = LineIndex.of(docs, shards, min_chars).dropped(min_docs, filter_bytes).select(F.col("doc_id").alias("_lost_id"), F.col("keys").alias("_lost_keys"))

@@ -6,7 +6,7 @@ bound from below how many sequences its pieces need; a partition that uses no
 more is certified.  One with a gap gives up the pieces of its loosest
 sequences: the partitions of a group exchange them, they are packed anew
 together, and the new packing is kept where it saves a sequence.  Rounds go on,
-the groups growing, until no gap is left or nothing more is to be exchanged.
+the groups growing eightfold, until no gap is left or all partitions have met.
 A partition gives up at most a `released` share of its pieces, so that no task
 holds more pieces however many partitions exchange.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, table, written
 
-CAPACITY, END, PART_PIECES, GROUP, RELEASED, ROUNDS = 2048, 0, 10_000, 8, 1 / 8, 3
+CAPACITY, END, PART_PIECES, GROUP, RELEASED = 2048, 0, 10_000, 8, 1 / 8
 FAR = re.compile("[ɐ-\U0010ffff]")
 
 
@@ -137,7 +137,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets
 
 
-SCHEMA = "doc_id string, piece int, start long, length long, ids_crc32 long, part long, sequence_id long, offset long, loose boolean"
+SCHEMA = "doc_id string, piece int, start long, length long, ids_crc32 long, part long, sequence_id long, offset long, bins_used long, bins_bound long, loose boolean"
 
 
 def _packer(round_: int, capacity: int, released: float):
@@ -150,32 +150,37 @@ def _packer(round_: int, capacity: int, released: float):
             names, offsets = pdf["sequence_id"].to_numpy(), pdf["offset"].to_numpy()
             _, bins = np.unique(names, return_inverse=True)
             used = int(bins.max()) + 1
-        loose = np.zeros(len(lengths), bool)
-        if used > lower_bound(lengths, capacity):
+        loose, bound = np.zeros(len(lengths), bool), lower_bound(lengths, capacity)
+        if used > bound:
             fill, held = np.bincount(bins, lengths, used), np.bincount(bins, minlength=used)
             order = np.lexsort((np.arange(used), fill))
             order = order[fill[order] < capacity]
             most = max(released * len(lengths), held[order[:2]].sum()) if len(order) else 0
             loose = np.isin(bins, order[np.cumsum(held[order]) <= most])
-        return pdf.assign(part=key[0], sequence_id=names, offset=offsets, loose=loose)
+        return pdf.assign(part=key[0], sequence_id=names, offset=offsets, bins_used=used, bins_bound=bound, loose=loose)
 
     return pack
 
 
-def packed(cut: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES, rounds: int = ROUNDS, released: float = RELEASED) -> DataFrame:
-    """cut (doc_id, piece, start, length, ids_crc32) with part, sequence_id and offset."""
+def packed(cut: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES, rounds: int | None = None, released: float = RELEASED) -> DataFrame:
+    """cut (doc_id, piece, start, length, ids_crc32) with sequence_id, offset and the certificate: part, bins_used, bins_bound.
+
+    These tell of the partition that packed the piece last, how many sequences it
+    used and how many it needs at least; rounds: None for as many as find partners.
+    """
     # doc_id travels as text, as pandas reads whole numbers beside nulls as fractions
     cut = written(cut.withColumn("doc_id", F.col("doc_id").cast("string")))
     parts = max(1, -(-cut.count() // part_pieces))
-    state = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
-    empty = [F.lit(None).cast(t).alias(c) for c, t in (("sequence_id", "long"), ("offset", "long"), ("loose", "boolean"))]
+    state = cut.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)))
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("sequence_id", "long"), ("offset", "long"), ("bins_used", "long"), ("bins_bound", "long"), ("loose", "boolean"))]
     state = written(state.select("*", *empty).groupBy("part").applyInPandas(_packer(0, capacity, released), SCHEMA))
     kept = state.filter("NOT loose")
-    for r in range(1, rounds + 1):
+    r = 0
+    while parts > 1 and (rounds is None or r < rounds):
         loose = state.filter("loose")
-        if parts == 1 or loose.isEmpty():
+        if loose.isEmpty():
             break
-        parts = -(-parts // GROUP)
+        r, parts = r + 1, -(-parts // GROUP)
         loose = loose.withColumn("part", F.floor(F.col("part") / GROUP).cast("long"))
         # a group's pieces stay about as many: each of GROUP partitions gave up at most its share
         state = written(loose.groupBy("part").applyInPandas(_packer(r, capacity, released), SCHEMA))
@@ -185,4 +190,4 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIE
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packed(pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packed(pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part", "bins_used", "bins_bound")

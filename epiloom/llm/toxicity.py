@@ -14,7 +14,7 @@ features and the best terms reach the driver.  Every document is scored.
 
 Defined results: null text counts as empty and is scored like any other text;
 labels that are null, whose doc_id is null or unknown, or that lie in the held
-out third teach nothing; with fewer than 8 texts of either label in the sample
+out third teach nothing, nor do equal texts whose labels differ; with fewer than 8 texts of either label in the sample
 every score is the share of toxic ones (0 if there are none); repeated rows score alike; extra
 columns pass through in `toxicity`, where score and predicted replace columns
 of those names; a null doc_id isn't held out.
@@ -234,7 +234,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     stands = np.array([there[y] / max(drawn[y], 1) for y in (0, 1)])
     stands /= max(stands.max(), 1)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = written(texts.withColumn("same", F.xxhash64("text")).dropDuplicates(["same"]).withColumn("part", F.pmod(F.xxhash64("same", F.lit(4)), F.lit(8))))
+    # equal texts teach once, and nothing where their labels contradict each other
+    once = texts.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("same")).agg(F.first("text").alias("text"), F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
+    rows = written(once.withColumn("part", F.pmod(F.xxhash64("same", F.lit(4)), F.lit(8))))
     n = {(r.half, r.toxic): r["count"] for r in rows.groupBy((F.col("part") % 2).alias("half"), "toxic").count().collect()}
     negative, positive = (sum(v for (_, y), v in n.items() if y == t) for t in (0, 1))
     share = float(positive * stands[1] / ((positive * stands[1] + negative * stands[0]) or 1))
@@ -248,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             c: Counter = Counter()
             for text, y, part in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 words = set(WORD.findall(text.lower()))
-                c.update((t, y, part % 2) for t in {t for w in words for t in terms_of(w)} if len(t) <= 40)
+                c.update((t, y, part % 2) for t in {t for w in words for t in terms_of(w)})
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in c], pa.string()), pa.array([k[1] for k in c], pa.int32()), pa.array([k[2] for k in c], pa.int64()), pa.array(list(c.values()), pa.int64())], ["term", "toxic", "half", "n"]
             )
@@ -258,8 +260,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     sums = written(sums.filter("all1 >= 4"))
 
     def learned(name: str, texts: tuple[int, int]) -> Lexicon:
-        p, q = F.col(f"{name}1"), F.col(f"{name}0")
-        best = sums.filter(p >= 4).orderBy(F.desc(p / (q + 3.0)), F.desc(p), "term").limit(20 * TERMS).select("term", p.alias("p"), q.alias("q")).collect()
+        p, q = F.col(f"{name}1").cast("double"), F.col(f"{name}0").cast("double")
+        negative, positive = map(float, texts)
+        # the likelihood ratio of every term, as learn_terms has it; the best of those that speak for toxic texts go to the driver
+        of = lambda k, n: F.when(k > 0, k * F.log(k / n)).otherwise(0.0)
+        apart = of(p, positive) + of(positive - p, positive) + of(q, negative) + of(negative - q, negative)
+        g2 = 2 * (apart - of(p + q, positive + negative) - of(positive + negative - p - q, positive + negative))
+        odds = F.log((p + 0.5) / (positive - p + 0.5)) - F.log((q + 0.5) / (negative - q + 0.5))
+        best = sums.filter((p >= 4) & (odds > 1)).orderBy(F.desc(F.round(g2, 6)), "term").limit(2 * TERMS).select("term", p.cast("long").alias("p"), q.cast("long").alias("q")).collect()
         return learn_terms(Counter({(r.term, 1): r.p for r in best}) | Counter({(r.term, 0): r.q for r in best}), texts)
 
     # trees and calibration see documents that their lexicon wasn't learned from; scoring uses all that the sample teaches

@@ -15,6 +15,11 @@ null; labels of pages that don't exist, null labels and labels whose page_id
 is null are no outcomes; several labels of one page are several outcomes;
 repeated pages are repeated rows and count as often; with no outcomes at all
 the prior is `unlabelled` and verdicts follow from it.  Extra columns aren't read.
+
+Reputation goes by the site: the host without user and port.  A suffix is the
+site's last label, or the last two where `suffixes` lists them (a parameter; the
+default holds some common ones); a registered domain is one label more.  A site
+of digits and dots is an address, its own domain and suffix.
 """
 
 from __future__ import annotations
@@ -22,16 +27,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: (action, host, path): rules of production.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 Z, LEAST, UNLABELLED, WEAKEST, STRONGEST = 1.645, 0.75, 0.5, 2.0, 1000.0
+#: Suffixes of two labels under which domains are registered.
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "ac.jp", "co.kr", "com.br", "com.cn", "com.mx", "com.tr", "co.in", "co.za")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def parts(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, domain, suffix."""
+def parts(pages: DataFrame, suffixes=SUFFIXES) -> DataFrame:
+    """page_id, host, path, site, domain, suffix."""
     at = F.instr("url", "://")
     rest = F.when(at > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
     cut = pages.select(F.col("page_id"), F.coalesce(rest, F.lit("")).alias("rest"))
@@ -40,7 +47,10 @@ def parts(pages: DataFrame) -> DataFrame:
         F.translate(F.regexp_extract("rest", r"\A[^/?#]*", 0), UPPER, LOWER).alias("host"),
         F.regexp_extract("rest", r"\A[^/?#]*([^?#]*)", 1).alias("path"),
     )
-    return cut.select("page_id", "host", "path", F.substring_index("host", ".", -2).alias("domain"), F.substring_index("host", ".", -1).alias("suffix"))
+    cut = cut.withColumn("site", F.regexp_replace(F.regexp_replace("host", r"\A.*@", ""), r":[0-9]*\z", ""))
+    labels = F.when(F.col("site").rlike(r"\A[0-9.]+\z"), 99).when(F.substring_index("site", ".", -2).isin(*suffixes), 2).otherwise(1)
+    last = lambda n: F.array_join(F.slice(F.split("site", r"\."), F.greatest(F.lit(1), F.size(F.split("site", r"\.")) - n + 1), n), ".")
+    return cut.withColumn("labels", labels).select("page_id", "host", "path", "site", last(F.col("labels") + 1).alias("domain"), last(F.col("labels")).alias("suffix"))
 
 
 def rule_of(rules=RULES) -> tuple[Column, Column]:
@@ -71,26 +81,27 @@ def _level(below: DataFrame, key: list[str], parent: DataFrame | None, parent_ke
 
 
 def reputations(cut: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """host, domain, suffix, n, k, mean, bound of every host in cut (page_id, host, domain, suffix); outcomes: page_id, good."""
+    """site, domain, suffix, n, k, mean, bound of every site in cut (page_id, site, domain, suffix); outcomes: page_id, good."""
     seen = outcomes.filter(F.col("page_id").isNotNull() & F.col("good").isNotNull()).groupBy("page_id").agg(F.count("*").alias("n"), F.sum("good").alias("k"))
-    of_page = cut.select("page_id", "host", "domain", "suffix").join(seen, "page_id", "left")
-    hosts = of_page.groupBy("host", "domain", "suffix").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
+    of_page = cut.select("page_id", "site", "domain", "suffix").join(seen, "page_id", "left")
+    # written, as the levels below read them several times
+    hosts = written(of_page.groupBy("site", "domain", "suffix").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     s = _level(suffixes, ["suffix"], None, [])
     d = _level(domains, ["domain", "suffix"], s, ["suffix"])
-    h = _level(hosts, ["host", "domain", "suffix"], d, ["domain", "suffix"])
+    h = _level(hosts, ["site", "domain", "suffix"], d, ["domain", "suffix"])
     a, b = F.col("alpha"), F.col("beta")
     deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return h.select("host", "domain", "suffix", "n", "k", "mean", (F.col("mean") - Z * deviation).alias("bound"))
+    return h.select("site", "domain", "suffix", "n", "k", "mean", (F.col("mean") - Z * deviation).alias("bound"))
 
 
-def url_filter(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float = LEAST) -> DataFrame:
+def url_filter(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float = LEAST, suffixes=SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, bound of each row of pages (page_id, url); outcomes: page_id, good (1 or 0)."""
-    cut = parts(pages)
-    known = reputations(cut, outcomes).select("host", "bound")
+    cut = parts(pages, suffixes)
+    known = reputations(cut, outcomes).select("site", "bound")
     text, action = rule_of(rules)
-    told = cut.join(known, "host")  # one row a host; a hot host's pages are split by the skew join
+    told = cut.join(known, "site")  # one row a site; a hot site's pages are split by the skew join
     verdict = F.coalesce(action, F.when(F.col("bound") >= least, F.lit("allow")).otherwise(F.lit("block")))
     return told.select("page_id", "host", "path", text.alias("rule"), verdict.alias("verdict"), F.round("bound", 6).alias("bound"))
 
@@ -117,17 +128,19 @@ _RULE_CASES = [(f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}
 SQL = f"""
 WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM a),
-c AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM b),
+b2 AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site FROM b),
+b3 AS (SELECT *, string_split(site, '.') AS ls, CASE WHEN regexp_full_match(site, '[0-9.]+') THEN 99 WHEN array_to_string(string_split(site, '.')[-2:], '.') IN ('{"', '".join(SUFFIXES)}') THEN 2 ELSE 1 END AS m FROM b2),
+c AS (SELECT *, array_to_string(ls[-least(len(ls), m + 1):], '.') AS domain, array_to_string(ls[-least(len(ls), m):], '.') AS suffix FROM b3),
 o AS (SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS k FROM labels
   WHERE doc_id IS NOT NULL AND ((quality = 1 AND toxic = 0) OR quality = 0 OR toxic = 1) GROUP BY 1),
-hs AS (SELECT host, domain, suffix, coalesce(sum(o.n), 0)::DOUBLE AS n, coalesce(sum(o.k), 0)::DOUBLE AS k FROM c LEFT JOIN o USING (page_id) GROUP BY ALL),
+hs AS (SELECT site, domain, suffix, coalesce(sum(o.n), 0)::DOUBLE AS n, coalesce(sum(o.k), 0)::DOUBLE AS k FROM c LEFT JOIN o USING (page_id) GROUP BY ALL),
 ds AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hs GROUP BY ALL),
 ss AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM ds GROUP BY ALL),
 {_sql_level("s", "ss", "suffix", None, "")},
 {_sql_level("d", "ds", "domain, suffix", "s", "suffix")},
-{_sql_level("h", "hs", "host", "d", "domain, suffix")},
-e AS (SELECT host, round(mean - {Z} * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))), 6) AS bound FROM h)
+{_sql_level("h", "hs", "site", "d", "domain, suffix")},
+e AS (SELECT site, round(mean - {Z} * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))), 6) AS bound FROM h)
 SELECT page_id, host, path, CASE {" ".join(f"WHEN {w} THEN '{r}'" for w, r, _ in _RULE_CASES)} END AS rule,
   CASE {" ".join(f"WHEN {w} THEN '{a}'" for w, _, a in _RULE_CASES)} WHEN bound >= {LEAST} THEN 'allow' ELSE 'block' END AS verdict, bound
-FROM c JOIN e USING (host)
+FROM c JOIN e USING (site)
 """

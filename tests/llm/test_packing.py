@@ -101,3 +101,15 @@ def test_very_long_white_space(spark):
         mine = sorted((r.start, r.length, r.ids_crc32) for r in got if r.doc_id == d)
         assert sum(n for _, n, _ in mine) == len(ids)
         assert all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in mine)
+
+
+def test_certificates_hold(spark):
+    rng = np.random.default_rng(8)
+    rows = [(None if i % 9 == 0 else i // 2, 0, 0, int(n), 7) for i, n in enumerate(rng.integers(1, 2048, 900))] + [(None, 0, 0, 900, 7)] * 300
+    cut = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = m.packed(cut, part_pieces=60).toPandas()
+    assert len(got) == len(rows) and got.groupby("sequence_id")["length"].sum().max() <= 2048
+    assert (got["bins_used"] >= got["bins_bound"]).all()
+    bound = m.lower_bound(got["length"].to_numpy())
+    apart = m.packed(cut, part_pieces=60, rounds=0).toPandas()["sequence_id"].nunique()
+    assert bound <= got["sequence_id"].nunique() <= apart  # partitions of 60 pieces leave gaps that exchange closes in part

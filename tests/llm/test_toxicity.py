@@ -81,3 +81,17 @@ def test_quotas():
     assert m.quotas({0: 9_995_000, 1: 5_000}, 16_000) == {0: 15_000, 1: 1_000}
     assert m.quotas({0: 5, 1: 10**6}, 16_000) == {0: 5, 1: 15_995}
     assert m.quotas({0: 0, 1: 0}, 16_000) == {0: 0, 1: 0}
+
+
+def test_equal_texts_with_other_labels_teach_nothing(spark):
+    rng = random.Random(4)
+    docs = [(d, " ".join(rng.choice(["sun", "tree", "river", "hill", "stone"]) for _ in range(12)) + (" vile scum" if d % 5 == 0 else "")) for d in range(400)]
+    docs += [(1000 + d, "said twice over") for d in range(40)]
+    labels = [(d, int(d % 5 == 0)) for d in range(400)] + [(1000 + d, d % 2) for d in range(40)]
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    runs = []
+    for n in (1, 7):
+        got = m.toxicity(d.repartition(n), m.train(d.repartition(n), y.repartition(n + 1))).collect()
+        runs.append({r.doc_id: round(r.score, 9) for r in got})
+    assert runs[0] == runs[1]
+    assert all((s >= 0.7) == (d % 5 == 0) for d, s in runs[0].items() if d < 400) and runs[0][1000] < 0.7

@@ -35,3 +35,21 @@ def test_shrinkage(spark):
 def test_empty(spark):
     p = spark.createDataFrame([], "page_id long, url string")
     assert url_filter(p, spark.createDataFrame([], "page_id long, good int")).count() == 0
+
+
+def test_sites_domains_and_suffixes(spark):
+    from epiloom.llm.url_reputation import parts
+
+    urls = ["http://me@A.b.Example.CO.uk:8080/x", "http://example.com:80", "http://10.0.0.7:99/", "http://co.uk/", "http://single/", "http://", "http://a..b/"]
+    got = parts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
+    assert [(r.host, r.site, r.domain, r.suffix) for r in got] == [
+        ("me@a.b.example.co.uk:8080", "a.b.example.co.uk", "example.co.uk", "co.uk"), ("example.com:80", "example.com", "example.com", "com"), ("10.0.0.7:99", "10.0.0.7", "10.0.0.7", "10.0.0.7"),
+        ("co.uk", "co.uk", "co.uk", "co.uk"), ("single", "single", "single", "single"), ("", "", "", ""), ("a..b", "a..b", ".b", "b"),
+    ]
+
+
+def test_clashing_columns_repeated_pages_and_long_urls(spark):
+    p = spark.createDataFrame([(1, "http://a.org/" + "x" * 200_000, "h"), (1, "http://a.org/" + "x" * 200_000, "h"), (None, "http://a.net", "h"), (None, None, None)], "page_id long, url string, host string")
+    o = spark.createDataFrame([(1, 1, "s"), (1, 0, "s"), (None, 1, "s")], "page_id long, good int, site string")
+    got = url_filter(p, o).collect()
+    assert len(got) == 4 and sum(r.page_id == 1 and len(r.path) == 200_001 for r in got) == 2
