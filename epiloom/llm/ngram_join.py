@@ -12,9 +12,9 @@ shingles as the smaller of their l.
 
 1. one pass: each document's size and class; the sketch.
 2. each class's prefix, at its own l, goes to its shingles; lists of one class end there.
-3. of a list, every class names the one whose rare shingles give out first: the
-   text that edited copies come from has no rare shingles of its own.  The class
-   named most often is its hub; hubs are compared whole, and links joined into
+3. of a list, every class names the one whose lists are the longest in all: edited
+   copies have shingles of their own in their prefixes, the text that they come
+   from has none.  The class named most often is its hub; hubs are compared whole, and links joined into
    components.  Classes without a link name another, while that finds links.
 4. in each list, pairs of classes of different components are counted.  Two
    classes of one hub h, with o shingles of h each and s shingles beyond the
@@ -22,6 +22,8 @@ shingles as the smaller of their l.
    prefix shingles that aren't h's.  Where this needs such shingles, only they
    count; so members of a large group that miss its hub don't meet in all its
    lists, and no link is lost.
+   Of other pairs a few more shared shingles than the smaller l are counted, at
+   places that the least overlap leaves them.
 5. pairs with enough shared prefix shingles are compared whole: only now do sets travel.
 6. components of all links; a document gets the smallest doc_id of its own.
 
@@ -60,8 +62,8 @@ WORDS, SHARE, MOST_MATCHES, FILTER_BYTES = 5, (75, 100), 8, 64 << 20
 SKETCH_BYTES, FEWEST_SLOTS, MOST_SLOTS, CHUNK = 128, 20, 24, 1 << 14
 #: Estimated holders of a shingle beyond which its list is dealt by class as well; classes of a list that are compared in one task.
 HOT_HOLDERS, LIST_ROWS = 1 << 16, 1 << 13
-#: Those of a list, first by place, among which each class names one; a round of naming another follows while one in so many finds a link.
-NAMED, WORTH = 8, 4
+#: Those of a list among which each class names one; a round of naming another follows while one in so many finds a link; shared shingles counted beyond the smaller l.
+NAMED, WORTH, MORE = 8, 4, 2
 
 
 def shingles(texts: list[str], n: int = WORDS) -> list[np.ndarray]:
@@ -261,9 +263,15 @@ def required(n1, l1, n2, l2, share):
     return np.maximum(overlap(n1, n2, share) - rest, np.minimum(l1, l2))
 
 
-def named_in(c, n, p, share, apart=lambda i: True) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of a list the class that it names, and whether there is one: the first by place of those that fit and are apart from it."""
-    first = np.lexsort((c, p))[:NAMED]
+def counted(n1, l1, n2, l2, share):
+    """How many shared shingles are counted for a pair: some more than the smaller l, if both prefixes reach that far.  The first k that a linked pair shares leave room for all but k - 1 of its overlap."""
+    over = overlap(n1, n2, share)
+    return np.minimum(np.minimum(l1, l2) + MORE, np.minimum(over - needed(n1, share) + l1, over - needed(n2, share) + l2))
+
+
+def named_in(c, n, reach, share, apart) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a list the class that it names, and whether there is one: of those that fit and are apart from it, the one whose lists are the longest in all."""
+    first = np.lexsort((c, -reach))[:NAMED]
     found, some = np.zeros(len(c), np.int64), np.zeros(len(c), bool)
     for i in first[::-1]:
         ok = (c != c[i]) & sizes_fit(n, n[i], share) & apart(i)
@@ -271,11 +279,11 @@ def named_in(c, n, p, share, apart=lambda i: True) -> tuple[np.ndarray, np.ndarr
     return found, some
 
 
-LISTS = "token long, class long, size int, place int, matches int, least int, named long"
+LISTS = "token long, class long, size int, place int, matches int, least int, held int"
 
 
 def shared_lists(prefix_rows: DataFrame, share) -> DataFrame:
-    """The rows whose shingle is in the prefixes of several classes; least: how many prefix shingles a link with any of them needs, if sizes and places allow one here; named: the class that each names."""
+    """The rows whose shingle is in the prefixes of several classes; least: how many prefix shingles a link with any of them needs, if sizes and places allow one here; held: how many classes."""
 
     def keep(batches):
         import pyarrow as pa
@@ -308,20 +316,14 @@ def shared_lists(prefix_rows: DataFrame, share) -> DataFrame:
 
             for i, j in couples(starts, split):
                 meet(i, j)
-            found, some = np.zeros(len(c), np.int64), np.zeros(len(c), bool)
-            two = starts[:-1][np.diff(starts) == 2]
-            fit = sizes_fit(n[two], n[two + 1], share)
-            found[two], found[two + 1], some[two], some[two + 1] = c[two + 1], c[two], fit, fit
-            for r in np.flatnonzero(np.diff(starts) > 2).tolist():
-                x = slice(starts[r], starts[r + 1])
-                found[x], some[x] = named_in(c[x], n[x], p[x], share)
             least[salt >= 0] = np.minimum(least[salt >= 0], 1)
+            held = np.repeat(np.diff(starts), np.diff(starts))
             for at in range(0, len(c), 50_000):
                 x = slice(at, at + 50_000)
                 small = lambda y: pa.array(y[x].astype(np.int32))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[x]), pa.array(c[x]), small(n), small(p), small(m), pa.array(least[x].astype(np.int32), mask=least[x] == 1 << 30), pa.array(found[x], mask=~some[x])],
-                    ["token", "class", "size", "place", "matches", "least", "named"],
+                    [pa.array(token[x]), pa.array(c[x]), small(n), small(p), small(m), pa.array(least[x].astype(np.int32), mask=least[x] == 1 << 30), small(held)],
+                    ["token", "class", "size", "place", "matches", "least", "held"],
                 )
 
     return prefix_rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "class").mapInArrow(keep, LISTS)
@@ -333,13 +335,13 @@ def hubs(votes: DataFrame) -> DataFrame:
     return counted.groupBy("class").agg(F.min(F.struct(-F.col("times"), "hub"))["hub"].alias("hub"))
 
 
-def other_names(lists: DataFrame, share) -> DataFrame:
+def naming(lists: DataFrame, share) -> DataFrame:
     """class, named, size: what the classes without a link (column root equal to class) name, besides their hub, in lists."""
 
     def emit(batches):
         import pyarrow as pa
 
-        for _, (c, n, p, root, hub), starts in runs(batches, ["token", "block"], ["class", "size", "place", "root", "hub"]):
+        for _, (c, n, reach, root, hub), starts in runs(batches, ["token", "block"], ["class", "size", "reach", "root", "hub"]):
             n, alone, length = n.astype(np.int64), root == c, np.diff(starts)
             begin = starts[:-1]
             some = np.logical_or.reduceat(alone, begin) & (np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin))
@@ -350,7 +352,7 @@ def other_names(lists: DataFrame, share) -> DataFrame:
             for r in np.flatnonzero(some & (length > 2)).tolist():
                 x = slice(starts[r], starts[r + 1])
                 k, z, h = c[x], root[x], hub[x]
-                name, ok = named_in(k, n[x], p[x], share, lambda i: (z != z[i]) & (h != k[i]) & (h[i] != k))  # noqa: B023
+                name, ok = named_in(k, n[x], reach[x], share, lambda i: (z != z[i]) & (h != k[i]) & (h[i] != k))  # noqa: B023
                 ok &= alone[x]
                 held.append((k[ok], name[ok], n[x][ok]))
             k, name, size = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -390,9 +392,9 @@ def across(lists: DataFrame, share) -> DataFrame:
                 i, j = i[ok], j[ok]
                 short = overlap(n[i], n[j], share) - np.minimum(o[i], o[j]) - np.maximum(s[i], s[j])
                 apart = (hub[j] == hub[i]) & (o[i] >= 0) & (o[j] >= 0) & (short > 0)  # only shingles that aren't their hub's can link them
-                least = np.where(apart, short, required(n[i], m[i], n[j], m[j], share))
+                least = np.where(apart, short, counted(n[i], m[i], n[j], m[j], share))
                 first = apart | allowed(n[i], p[i], n[j], p[j], 0, share)
-                ok = ~(apart & (of_hub[i] | of_hub[j]))
+                ok = np.where(apart, ~(of_hub[i] | of_hub[j]), allowed(n[i], p[i], n[j], p[j], least - 1, share))
                 if ok.any():
                     held.append((c[i[ok]], c[j[ok]], least[ok], first[ok]))
                     rows += int(ok.sum())
@@ -541,19 +543,19 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, share: tuple[int, int] = SHAR
     order = docs.sparkSession.sparkContext.broadcast(sketch_of(rows.filter("class IS NULL").select("chunk", "counts"), slots))
     with Scratch(docs.sparkSession) as scratch:
         every = scratch.written(shared_lists(prefixes(docs, n, share, order), share))
-        classes = every.groupBy("class").agg(F.count("*").alias("rows"), F.min("least").alias("least")).filter("rows >= least").select("class")
+        classes = every.groupBy("class").agg(F.count("*").alias("rows"), F.min("least").alias("least"), F.sum("held").alias("reach")).filter("rows >= least").select("class", "reach")
         classes = scratch.written(classes)  # all others share too few prefix shingles for a link
-        sets = scratch.written(sets_of(docs, classes, n, share, order, filter_bytes))
-        every = every.join(classes, "class", "left_semi")
-        pairs = hubs(every.filter("named IS NOT NULL").select("class", "named", "size")).select(F.col("class").alias("a"), F.col("hub").alias("b"))
-        pairs = scratch.written(pairs.join(classes.withColumnRenamed("class", "b"), "b", "left_semi").select("a", "b"))
+        sets = scratch.written(sets_of(docs, classes.select("class"), n, share, order, filter_bytes))
+        every = scratch.written(every.drop("least", "held").join(classes, "class"))
+        long = scratch.written(long_lists(every))
+        alone = every.withColumns({"root": F.col("class"), "hub": F.col("class")})
+        pairs = scratch.written(hubs(naming(in_blocks(alone, long, pairs=False), share)).select(F.col("class").alias("a"), F.col("hub").alias("b")))
         found = scratch.written(compared(pairs, sets, share, filter_bytes))
-        lists = scratch.written(with_hubs(every.drop("least", "named"), found))
-        long = scratch.written(long_lists(lists))
+        lists = scratch.written(with_hubs(every, found))
         links, tested = found.filter("linked").select("a", "b"), found
         roots = merged(docs.sparkSession.createDataFrame([], "node long, root long"), links)
         while WORTH * links.count() > tested.count():  # to save work: pairs within a component need no look below
-            more = hubs(other_names(in_blocks(rooted(lists, roots), long, pairs=False), share)).select(F.col("class").alias("a"), F.col("hub").alias("b"))
+            more = hubs(naming(in_blocks(rooted(lists, roots), long, pairs=False), share)).select(F.col("class").alias("a"), F.col("hub").alias("b"))
             tested = scratch.written(compared(scratch.written(more), sets, share, filter_bytes))
             links = tested.filter("linked").select("a", "b")
             roots = merged(roots, links)

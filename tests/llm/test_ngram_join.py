@@ -97,3 +97,7 @@ def test_required_is_never_more_than_linked_prefixes_share():
         la, lb = (rng.randint(1, min(8, m.needed(len(x)))) for x in (a, b))
         head = lambda x, l: set(sorted(x, key=order.get)[: len(x) - m.needed(len(x)) + l])  # noqa: B023, E731, E741
         assert len(head(a, la) & head(b, lb)) >= m.required(len(a), la, len(b), lb, m.SHARE) >= min(la, lb)
+        k = int(m.counted(len(a), la, len(b), lb, m.SHARE))
+        pa, pb = ({x: i for i, x in enumerate(sorted(y, key=order.get))} for y in (a, b))
+        met = [x for x in head(a, la) & head(b, lb) if m.allowed(len(a), pa[x], len(b), pb[x], k - 1, m.SHARE)]
+        assert len(met) >= k >= min(la, lb) and any(m.allowed(len(a), pa[x], len(b), pb[x], 0, m.SHARE) for x in met)
