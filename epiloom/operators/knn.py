@@ -24,19 +24,19 @@ def cosine(a: str, b: str) -> Column:
 
 
 def cosine_top_k(queries: DataFrame, references: DataFrame, k: int = 10, query_id: str = "query_id", ref_id: str = "ref_id", vector: str = "vector", block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, ref_id, similarity, rank: each query's k nearest references; ties go to the smaller ref_id."""
+    """query_id (of its own type), ref_id, similarity, rank: each query's k nearest references; ties go to the smaller ref_id."""
     if isinstance(k, bool) or not 1 <= k <= 1000:
         raise ValueError("k is a whole number from 1 to 1000")
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("v"))
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
     r = references.select(F.col(ref_id).cast("long").alias("ref_id"), F.col(vector).alias("v"))
-    out, lot = None, []
+    kind, out, lot = q.schema["query_id"].dataType.simpleString(), None, []
     for row in q.toLocalIterator():
         lot.append(row)
         if len(lot) == block:
-            part = _block(r, lot, k)
+            part = _block(r, lot, k, kind)
             out, lot = part if out is None else out.unionByName(part), []
     if lot or out is None:
-        part = _block(r, lot, k)
+        part = _block(r, lot, k, kind)
         out = part if out is None else out.unionByName(part)
     best = W.partitionBy("query_id").orderBy(F.desc("similarity"), "ref_id")
     return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
@@ -47,8 +47,8 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
-def _block(references: DataFrame, rows: list, k: int) -> DataFrame:
-    schema = "query_id long, ref_id long, similarity double"
+def _block(references: DataFrame, rows: list, k: int, kind: str) -> DataFrame:
+    schema = f"query_id {kind}, ref_id long, similarity double"
     if not rows:
         return references.sparkSession.createDataFrame([], schema)
     ids, m = np.array([x.query_id for x in rows]), _unit(np.array([x.v for x in rows], float))

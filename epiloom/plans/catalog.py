@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genes, hla
 from ..functions import text as t
-from ..operators import background, evaluate, ingest, knn, pairs, profile, ranking, scoring
+from ..operators import background, embedding, evaluate, ingest, knn, pairs, profile, ranking, scoring
 from ..operators.edit_join import edit_pairs
 from ..operators.screen import screen
 from ..sources.tables import numbered
@@ -351,6 +351,29 @@ def unit_norms(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", knn.unit_norm("embedding").alias("unit"))
 
 
+_EVEN = "array_cat(list_transform(e[1:32], lambda v: v / sqrt(2 * list_dot_product(e[1:32], e[1:32]))), list_transform(e[33:64], lambda v: v / sqrt(2 * list_dot_product(e[33:64], e[33:64]))))"
+#: Each vector's reference, and for every third a second one of the same receptor; some name a molecule that isn't expressed.
+_EMBEDDED = f"""SELECT vec_id, concat('f', cast(vec_id as string)) AS reference_id, {peptide('vec_id')} AS peptide, case when vec_id % 7 = 3 then 'HLA-A*02:01N' else {s.allele('vec_id')} end AS hla FROM embeddings
+UNION ALL SELECT vec_id, concat('g', cast(vec_id as string)), {peptide('vec_id + 1')}, {s.allele('vec_id + 2')} FROM embeddings WHERE vec_id % 3 = 0"""
+
+
+@query(duck(f"""WITH v AS (SELECT vec_id, {_EVEN} AS u FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)), r AS ({_EMBEDDED}), p AS ({s.PANEL}), d AS ({s.DONORS}),
+c AS (SELECT r.*, p.hla AS panel_hla, CASE WHEN r.hla = p.hla THEN 'compatible' ELSE 'unresolved' END AS panel_hla_status FROM r JOIN p USING (peptide) WHERE coalesce(r.hla, '') <> 'HLA-A*02:01N' AND coalesce(r.hla = p.hla, true)),
+n AS (SELECT q.vec_id AS q, g.vec_id AS g, list_dot_product(q.u, g.u) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.u, g.u) DESC, sha256(cast(g.vec_id as string))) AS k
+  FROM v q JOIN v g ON q.vec_id % 100 = 0 AND g.vec_id IN (SELECT vec_id FROM c) QUALIFY k <= 10)
+SELECT concat('q', cast(q as string)) AS receptor_id, reference_id, peptide, hla, panel_hla, panel_hla_status, k AS neighbor_rank, round(s, 6) AS cosine_similarity,
+CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.donor_id = concat('d', cast(q // 100 % 25 as string)) AND d.hla = c.hla) THEN 'compatible' ELSE 'unresolved' END AS donor_hla_status FROM n JOIN c ON c.vec_id = n.g""").replace(" as string)", " as varchar)"))
+def embedding_evidence(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    half = lambda start: F.slice("e", start, 32)
+    even = lambda h: F.transform(h, lambda v: v / F.sqrt(2 * F.aggregate(h, F.lit(0.0), lambda a, x: a + x * x)))
+    v = e.select("vec_id", F.concat(even(half(1)), even(half(33))).alias("vector"))
+    queries = v.filter("vec_id % 100 = 0").select(F.expr("concat('q', vec_id)").alias("receptor_id"), F.expr("concat('d', vec_id div 100 % 25)").alias("donor_id"), "vector")
+    told = derived(spark, sf_dir, _EMBEDDED, "embeddings").join(v, "vec_id").withColumns({"identity": F.sha2(F.col("vec_id").cast("string").cast("binary"), 256), "source": F.lit("x"), "evidence": F.lit("curated")})
+    out = embedding.embedding_evidence(queries, told, s.panel(spark, sf_dir), s.donors(spark, sf_dir))
+    return rounded(out.select("receptor_id", "reference_id", "peptide", "hla", "panel_hla", "panel_hla_status", "neighbor_rank", "cosine_similarity", "donor_hla_status"), "cosine_similarity")
+
+
 # ---- molecules and genes ----------------------------------------------------------------------------------------
 
 
