@@ -3,7 +3,7 @@ import hashlib
 import pytest
 
 from epiloom.functions.text import InputError
-from epiloom.operators.embedding import OUTPUT, embedding_evidence
+from epiloom.operators.embedding import OUTPUT, eligible_problem, embedding_evidence
 
 R = 0.5**0.5
 V = {"x": [R, 0.0, R, 0.0], "y": [R, 0.0, 0.0, R], "z": [0.0, R, 0.0, R], "-x": [-R, 0.0, -R, 0.0]}
@@ -49,3 +49,9 @@ def test_unsound_vectors_are_refused(spark):
     for bad in (lone, q.union(q)):
         with pytest.raises(InputError):
             embedding_evidence(bad, r, p, d)
+
+
+def test_only_unambiguous_pairs_of_the_species_are_eligible(spark):
+    rows = [("human", "paired", ""), ("human", "paired", None), ("mouse", "paired", ""), (None, "paired", ""), ("human", "single_beta", ""), ("human", None, ""), ("human", "paired", "a second alpha")]
+    df = spark.createDataFrame(rows, "species string, pairing_status string, unusable_chain_context string").coalesce(1)
+    assert [r.p is None for r in df.select(eligible_problem().alias("p")).collect()] == [True, True, False, False, False, False, False]
