@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, filter_audit, fingerprints, html_extraction, line_dedup, lm_scoring, ngram_join, packing, periodic_runs, token_counts, toxicity, url_reputation
+from . import decontamination, filter_audit, fingerprints, html_extraction, line_dedup, lm_scoring, ngram_join, packing, periodic_runs, token_counts, toxicity, url_reputation, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_warc": warc.op13_warc,
 }
 SQL = {
     "op6_line_dedup": line_dedup.SQL,
@@ -25,4 +26,5 @@ SQL = {
     "op10_lm_scoring": lm_scoring.SQL,
     "op11_filter_audit": filter_audit.SQL,
     "op12_periodic_runs": periodic_runs.SQL,
+    "op13_warc": warc.SQL,
 }
