@@ -1,13 +1,16 @@
 """Edit-distance joins of two sets of sequences.
 
-k = 0 is an equi-join.  For k > 0 a query of at least q * (k + 1) letters is cut
-into k + 1 parts: at most k edits leave one of them whole, and each q letters of
-it stand in the other sequence, at most k places off.  Of each part the gram that
-the fewest references hold is joined - most junctions begin alike, so a fixed
-place would join all with all - and the pairs are verified; shorter queries join
-by length.  Both are equi-joins, so Spark shuffles by gram and splits skewed
-grams; nothing is a Cartesian product.  Every distinct sequence is looked at
-once, whoever has it.
+k = 0 is an equi-join.  For k > 0 each sequence of the left is cut in two halves.
+k edits can't spoil both: with e + f = k - 1 either the first half is within e
+edits of a beginning of the other sequence, or the second within f of an end.
+For k up to 3 both are at most 1, and strings are within one edit only if they
+share a string that each becomes by losing at most one letter.  So halves go into
+an index with their one-letter deletions, the right side offers the beginnings
+and ends that a left sequence of each fitting length could have as halves, and an
+equi-join on deletions finds the candidates, which are verified before anything
+is shuffled.  Halves hold half of what tells sequences apart even where all begin
+and end alike; a sequence gives a number of rows that its length and k bound.
+Every distinct sequence is looked at once, whoever has it.
 """
 
 from __future__ import annotations
@@ -15,10 +18,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q = 4
+#: For each k the edits that the first and the second half may have.
+SPLIT = {1: (0, 0), 2: (0, 1), 3: (1, 1)}
 
 
-def edit_pairs(left: DataFrame, right: DataFrame, k: int, left_seq: str = "seq", right_seq: str = "seq", q: int = Q) -> DataFrame:
+def _half(side: int, s: str, n: str) -> str:
+    """SQL: the first or the last n letters of s, or all where it has fewer."""
+    return f"substring({s}, 1, greatest({n}, 0))" if side == 0 else f"if({n} <= 0, '', substring({s}, -least({n}, length({s}))))"
+
+
+def _forms(df: DataFrame, column: str, side: int, edits: int, sizes: str, longer: str) -> DataFrame:
+    """column, half, lost (a letter's place; 0: none), key: halves of each size that are `longer` by each of these, as they are and less one letter each.
+
+    As long as asked: either side may have lost the letter; longer: this one has; shorter: the other has.
+    """
+    of = df.select(column, F.expr(f"explode({sizes})").alias("size")).select("*", F.expr(f"explode({longer})").alias("longer"))
+    of = of.withColumn("half", F.expr(_half(side, column, "size + longer")))
+    if not edits:
+        return of.select(column, "half", F.lit(0).alias("lost"), F.xxhash64("size", "half").alias("key"))
+    of = of.withColumn("lost", F.expr("explode(sequence(if(longer > 0, 1, 0), if(longer < 0, 0, greatest(length(half), if(longer > 0, 1, 0)))))"))
+    of = of.filter("lost < 2 OR substring(half, lost, 1) <> substring(half, lost - 1, 1)")  # of equal letters in a row the first stands for all
+    form = F.expr("if(lost = 0, half, concat(substring(half, 1, lost - 1), substring(half, lost + 1)))")
+    return of.select(column, "half", "lost", F.xxhash64("size", form).alias("key"))
+
+
+def edit_candidates(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) of the distinct sequences of left (a) and right (b) that half of one can't rule out; a pair may come several times."""
+    out = None
+    for side, edits in enumerate(SPLIT[k]):
+        size = lambda n, s=side: f"int({n} div 2)" if s == 0 else f"int({n} - {n} div 2)"
+        mine = _forms(left, "a", side, edits, f"array({size('length(a)')})", "array(0)")
+        # a left sequence has up to k letters more or less than this one
+        sizes = f"array_distinct(transform(sequence(greatest(length(b) - {k}, 0), length(b) + {k}), n -> {size('n')}))"
+        theirs = _forms(right, "b", side, edits, sizes, f"sequence(-{edits}, {edits})")
+        mine, theirs = mine.withColumnsRenamed({"half": "x", "lost": "i"}), theirs.withColumnsRenamed({"half": "y", "lost": "j"})
+        fits = (F.abs(F.length("a") - F.length("b")) <= k) & ((F.col("i") == 0) | (F.col("j") == 0) | (F.col("x") != F.col("y")))  # equal halves meet as they are
+        # by shuffles whatever the inputs' sizes: the optimizer doesn't know how many rows come of each, and would broadcast them
+        found = mine.join(theirs.hint("merge"), "key").filter(fits).select("a", "b")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def edit_pairs(left: DataFrame, right: DataFrame, k: int, left_seq: str = "seq", right_seq: str = "seq") -> DataFrame:
     """Distinct (left_seq, right_seq, distance) with Levenshtein distance at most k (0 to 3)."""
     if isinstance(k, bool) or not isinstance(k, int) or not 0 <= k <= 3:
         raise ValueError("the distance is a whole number from 0 to 3")
@@ -26,20 +67,8 @@ def edit_pairs(left: DataFrame, right: DataFrame, k: int, left_seq: str = "seq",
     b = right.select(F.col(right_seq).alias("b")).filter("b IS NOT NULL").distinct()
     if k == 0:
         return a.join(b, a["a"] == b["b"]).select("a", "b", F.lit(0).alias("distance"))
-    size = F.length("a")
-    every = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (q - 1), F.lit(1))), lambda i: F.struct(i.alias("place"), F.substr(F.col(c), i, F.lit(n)).alias("gram")))
-    held = b.filter(F.length("b") >= q).select("b", F.explode(every("b", q)).alias("g")).select("b", "g.*")
-    begins = lambda i: F.floor(size * i / (k + 1))
-    mine = a.filter(size >= q * (k + 1)).select("a", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("part"))
-    mine = mine.select("a", "part", F.explode(F.sequence((begins(F.col("part")) + 1).cast("int"), (begins(F.col("part") + 1) - q + 1).cast("int"))).alias("at")).withColumn("gram", F.substr("a", "at", F.lit(q)))
-    counts = held.groupBy("gram").agg(F.count("*").alias("holders"))
-    rarest = mine.join(counts, "gram", "left").groupBy("a", "part").agg(F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "at", "gram")).alias("g")).filter("g.holders > 0").select("a", "g.at", "g.gram")
-    near = (F.abs(F.col("at") - F.col("place")) <= k) & (F.abs(F.length("a") - F.length("b")) <= k)
-    by_gram = rarest.join(held, "gram").filter(near).select("a", "b").distinct()
-    short = a.filter(size < q * (k + 1)).select("a", F.explode(F.sequence(F.greatest(size - k, F.lit(0)), size + k)).alias("n"))
-    by_length = short.join(b.select("b", F.length("b").alias("n")), "n").select("a", "b")
-    found = by_gram.union(by_length).withColumn("distance", F.levenshtein("a", "b", k))
-    return found.filter("distance >= 0").select("a", "b", "distance")
+    found = edit_candidates(a, b, k).withColumn("distance", F.levenshtein("a", "b", k)).filter("distance >= 0")
+    return found.distinct()
 
 
 def edit_join(left: DataFrame, right: DataFrame, left_seq: str, right_seq: str, k: int) -> DataFrame:

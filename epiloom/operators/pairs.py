@@ -25,8 +25,13 @@ def normalized_panel(panel: DataFrame, species: str | None = None) -> DataFrame:
 
 
 def component_problem() -> Column:
-    """Why a receptor can't be given to a scorer, or null: both chains, one plain call for each gene."""
-    call = lambda c, prefix: F.coalesce(F.col(c).rlike(rf"\A{prefix}[0-9]+[0-9A-Z-]*(/DV[0-9]+)?(\*[0-9]+)?\z"), F.lit(False))
+    """Why a receptor can't be given to a scorer, or empty: both chains, one plain call for each gene.
+
+    A slash belongs to one gene only where an alpha V gene serves in delta as well; paralogs have a D after either number.
+    """
+    dual = r"[0-9]+D?(-[0-9]+)?/DV[0-9]+D?(-[0-9]+)?"
+    number = lambda prefix: rf"({dual}|[0-9]+[0-9A-Z-]*)" if prefix == "TRAV" else "[0-9]+[0-9A-Z-]*"
+    call = lambda c, prefix: F.coalesce(F.col(c).rlike(rf"\A{prefix}{number(prefix)}(\*[0-9]+)?\z"), F.lit(False))
     return F.concat_ws(
         "; ", F.when(~F.col("pairing_status").isin("paired", "single_pair"), F.concat(F.lit("pairing is "), F.col("pairing_status"))), F.when(~usable_cdr3("cdr3a"), "no usable alpha junction"),
         F.when(~usable_cdr3("cdr3b"), "no usable beta junction"), *[F.when(~call(c, c.upper()), f"{c} isn't one {c.upper()} call") for c in ("trav", "traj", "trbv", "trbj")],
@@ -36,6 +41,9 @@ def component_problem() -> Column:
 def export_pairs(receptors: DataFrame, panel: DataFrame, donors: DataFrame | None = None, max_pairs: int = 1_000_000, species: str = "human") -> DataFrame:
     """Every receptor with every distinct panel row: pair_id, the identity columns, and skip_reason (null: to be scored).
 
+    Molecules that aren't one expressed protein, named to two fields and with both
+    chains where there are two, are no model's input: they are skipped with the rule's reason.
+
     The panel is the stated set; both sides are counted first, and the product
     may not exceed max_pairs.
     """
@@ -43,7 +51,7 @@ def export_pairs(receptors: DataFrame, panel: DataFrame, donors: DataFrame | Non
     n, m = receptors.count(), wanted.count()
     if n * m > max_pairs:
         raise InputError(f"{n} receptors x {m} panel rows exceed {max_pairs} pairs")
-    small = wanted.withColumn("_panel_problem", F.when(F.col("hla_error").isNotNull(), F.col("hla_error")).when(F.col("hla").isNull(), "the panel names no molecule")).drop("hla_error")
+    small = wanted.withColumn("_panel_problem", F.when(F.col("hla_error").isNotNull(), F.col("hla_error")).when(F.col("hla").isNull(), "the panel names no molecule").otherwise(F.col("hla_abstains"))).drop("hla_error", "hla_abstains")
     full = receptors.select("receptor_id", "donor_id", *COMPONENTS, "pairing_status").crossJoin(F.broadcast(small))  # at most max_pairs rows, counted above
     full = full.withColumn("_problem", F.nullif(component_problem(), F.lit("")))
     typing_problem = F.lit(None).cast("string")

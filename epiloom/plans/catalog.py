@@ -414,9 +414,17 @@ _READY = f"r.cdr3a IS NOT NULL AND r.cdr3b IS NOT NULL AND r.pairing_status = 'p
 _TEN_PEPTIDES = f"SELECT DISTINCT {peptide('r_regionkey')} AS peptide, {s.allele('r_regionkey')} AS hla FROM region"
 
 
-@query(duck(f"WITH r AS ({s.RECEPTORS}), p AS ({_TEN_PEPTIDES}) SELECT receptor_id, peptide, hla, hla IS NOT NULL AND {_READY} AS exported FROM r, p"))
+#: Molecules of the panel, one a nation: those that a model takes come first.
+_GIVEN = "HLA-A*02:01 HLA-B*07:02 HLA-C*07:01 HLA-DQA1*05:01/HLA-DQB1*02:01 HLA-DRA*01:01/HLA-DRB1*15:01".split()
+_HELD_BACK = "HLA-A*02:01N HLA-A*02 HLA-A*02:01:01 HLA-A*02:01:01G HLA-A*02:01|HLA-A*02:02 HLA-DQA1*05:01 HLA-DRB1*15:01 HLA-B*07:02Q HLA-B*07:02P H-2-Kb nonsense".split()
+_PANEL_NAMES = "case " + " ".join(f"when n_nationkey = {i} then '{m}'" for i, m in enumerate([*_GIVEN, *_HELD_BACK])) + " end"
+_MIXED_PANEL = f"SELECT {peptide('n_nationkey')} AS peptide, {_PANEL_NAMES} AS hla FROM nation"
+
+
+@query(duck(f"""WITH r AS ({s.RECEPTORS}), p AS (SELECT DISTINCT * FROM ({_MIXED_PANEL}))
+SELECT receptor_id, peptide, CASE WHEN hla NOT IN ('H-2-Kb', 'nonsense') THEN hla END AS hla, coalesce(hla IN ({', '.join(f"'{m}'" for m in _GIVEN)}), false) AND {_READY} AS exported FROM r, p"""))
 def cross_pairs(spark, sf_dir):
-    out = pairs.export_pairs(s.receptors(spark, sf_dir), derived(spark, sf_dir, _TEN_PEPTIDES, "region"), max_pairs=10_000_000)
+    out = pairs.export_pairs(s.receptors(spark, sf_dir), derived(spark, sf_dir, _MIXED_PANEL, "nation"), max_pairs=10_000_000)
     return out.select("receptor_id", "peptide", "hla", F.col("skip_reason").isNull().alias("exported"))
 
 
@@ -433,15 +441,28 @@ def _background(spark, sf_dir):
     return contexts
 
 
-@query()
+#: A context's text and its digest, as background.py has them; receptors are null here.
+_DIGEST = lambda sampler, seed: f"sha256('{sampler}:{seed}:-1:' || strlen(hla) || ':' || hla || strlen(peptide_length::VARCHAR) || ':' || peptide_length)"
+_DRAWS = "unnest(range(200)) AS n(number), unnest(range(1, peptide_length + 1)) AS q(position)"
+_U32 = "('0x' || substr(md5(d || ':' || number || ':' || position), 1, 8))::BIGINT"
+
+
+@query(duck(f"""WITH c AS (SELECT DISTINCT {s.allele('s_suppkey')} AS hla, cast(8 + s_suppkey % 3 as int) AS peptide_length FROM supplier WHERE s_suppkey % 5 <> 4), k AS (SELECT *, {_DIGEST('uniform', 7)} AS d FROM c),
+x AS (SELECT *, substr('ACDEFGHIKLMNPQRSTVWY', 1 + {_U32} % 20, 1) AS residue FROM k, {_DRAWS})
+SELECT NULL::VARCHAR AS receptor_id, hla, peptide_length::INT AS peptide_length, string_agg(residue, '' ORDER BY position) AS peptide, 'background_' || substr(d, 1, 24) || '_' || number AS background_id FROM x GROUP BY hla, peptide_length, d, number"""))
 def uniform_background(spark, sf_dir):
     return background.random_panel(_background(spark, sf_dir), 200, seed=7)
 
 
-@query()
+@query(f"""{_EMPIRICAL}, f AS (SELECT hla, length AS peptide_length, position, amino_acid, frequency AS p FROM e WHERE hla IS NOT NULL),
+k AS (SELECT *, {_DIGEST('profile', 7)} AS d FROM (SELECT DISTINCT hla, peptide_length FROM f)),
+w AS (SELECT hla, peptide_length, position, list(p ORDER BY amino_acid) AS ps FROM f GROUP BY ALL),
+x AS (SELECT k.*, number, position, {_U32} / 4294967296.0 AS u FROM k, {_DRAWS}),
+y AS (SELECT x.*, 1 + len(list_filter(range(1, 20), lambda i: u >= list_sum(ps[1:i]) / list_sum(ps))) AS spot FROM x JOIN w USING (hla, peptide_length, position))
+SELECT NULL::VARCHAR AS receptor_id, hla, peptide_length::INT AS peptide_length, string_agg(substr('ACDEFGHIKLMNPQRSTVWY', spot, 1), '' ORDER BY position) AS peptide, 'background_' || substr(d, 1, 24) || '_' || number AS background_id FROM y GROUP BY hla, peptide_length, d, number""")
 def profile_background(spark, sf_dir):
-    contexts = _background(spark, sf_dir)
-    return background.profile_panel(contexts, scoring.profiles(contexts, scoring.StubScorer(), ["hla"]), 200, seed=7)
+    given = _empirical(spark, sf_dir).filter("hla IS NOT NULL").select("hla", F.col("length").alias("peptide_length"), "position", "amino_acid", F.col("frequency").alias("probability"))
+    return background.profile_panel(given.select("hla", "peptide_length"), given, 200, seed=7, max_rows=1_000_000)
 
 
 @query()

@@ -33,5 +33,5 @@ def test_entry(spark):
 def test_whole_texts_are_cleaned(spark, tmp_path):
     docs = [(1, " \v" + "word \n" * 50, None), (2, None, 3), (3, " \r\n", 3), (4, "a" + " " * 200_000 + "b \u2028", 5)]
     spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.cleaned for r in QUERIES["clean_text_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.cleaned for r in QUERIES["clean_text"](spark, str(tmp_path)).collect()}
     assert got == {d: t and (t.strip(" \t\n\v\f\r") or None) for d, t, _ in docs}

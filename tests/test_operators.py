@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from epiloom.functions.text import InputError
 from epiloom.operators import background, evaluate, ingest, knn, pairs, profile, ranking, scoring
-from epiloom.operators.edit_join import edit_join, edit_pairs
+from epiloom.operators.edit_join import edit_candidates, edit_join, edit_pairs
 from epiloom.operators.screen import OUTPUT, screen
 from epiloom.sources.tables import numbered
 
@@ -39,6 +39,41 @@ def test_edit_join_equals_brute_force(spark, k):
     assert got == want
 
 
+def alike(rng, n):
+    """Junctions that begin and end alike, in families of near ones."""
+    out = []
+    while len(out) < n:
+        middle = rng.choices(AA, k=rng.randint(5, 11))
+        for _ in range(3):
+            x = list(middle)
+            for _ in range(rng.randint(0, 3)):
+                i = rng.randrange(len(x) + 1)
+                x[i : i + rng.randint(0, 1)] = rng.choice([[], [rng.choice(AA)]])
+            out.append(f"CASS{''.join(x)}EQYF")
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_edit_join_of_junctions_that_begin_and_end_alike(spark, k):
+    rng = random.Random(10 + k)
+    words = alike(rng, 360)
+    rng.shuffle(words)
+    # halves that are empty, one letter, or longer than the other sequence
+    words += ["", "C", "CF", "CAF", "CASS", "CASSEQYF", "CCCC", "FFFF", "CFCFCF", "FCFCFC", "CASSS", "CASSSS"]
+    left, right = words[::2], [*words[1::2], "", "CF", "CASS", "CFCFCF"]
+    df = lambda x: spark.createDataFrame([(w,) for w in x], "seq string")
+    got = {(r.a, r.b): r.distance for r in edit_pairs(df(left), df(right), k).collect()}
+    assert got == {(a, b): d for a in set(left) for b in set(right) if (d := levenshtein(a, b)) <= k}
+
+
+def test_edit_candidates_are_a_small_share_of_all_pairs(spark):
+    words = alike(random.Random(3), 6000)
+    df = lambda x, c: spark.createDataFrame([(w,) for w in sorted(set(x))], f"{c} string")
+    a, b = df(words[::2], "a"), df(words[1::2], "b")
+    got = [edit_candidates(a, b, k).count() / 9_000_000 for k in (1, 2, 3)]
+    assert got[0] < 0.001 and got[1] < 0.01 and got[2] < 0.05, got
+
+
 def test_edit_join_keeps_rows_and_checks_k(spark):
     a = spark.createDataFrame([(1, "CASSF"), (2, "CASSF")], "id int, s string")
     b = spark.createDataFrame([(9, "CATSF"), (8, "CATSF")], "rid int, r string")
@@ -222,6 +257,32 @@ def test_pairs_scores_and_lookup(spark):
     assert found == {"P": ("PrecomputedScore", 13.2), "Q": ("Unresolved", None), "R": ("Unresolved", None)}
 
 
+def test_export_holds_back_what_no_model_takes(spark):
+    r = spark.createDataFrame([receptor(), receptor("r2", v="TRBV5-1/TRBV5-4"), ("r3", "d1", "CALWDKNSGYTIEF", "CASRHDPWQNVELFF", "TRAV15D-1/DV6D-1", "TRAJ10", "TRBV5-1", "TRBJ2-7", "paired", ""), ("r4", "d1", "CALWDKNSGYTIEF", "CASRHDPWQNVELFF", "TRAV1/TRAV2", "TRAJ10", "TRBV5-1/DV4", "TRBJ2-7", "paired", "")], RECEPTOR)
+    names = ["A*02:01", "HLA-A*02:01N", "HLA-A*02", "HLA-A*02:01:01G", "HLA-A*02:01|HLA-A*02:02", "HLA-DQA1*05:01", "HLA-DQA1*05:01/HLA-DQB1*02:01", "H-2-Kb", "HLA-DRB1*15:01", None]
+    panel = spark.createDataFrame([("GILGFVFTL", n) for n in names], "peptide string, hla string")
+    rows = pairs.export_pairs(r, panel).collect()
+    assert {x.hla for x in rows if x.receptor_id == "r1" and x.skip_reason is None} == {"HLA-A*02:01", "HLA-DQA1*05:01/HLA-DQB1*02:01"}
+    assert {x.receptor_id for x in rows if x.skip_reason is None} == {"r1", "r3"} and len(rows) == 4 * len(names)
+    mouse = pairs.export_pairs(r, panel.filter("hla IN ('H-2-Kb', 'A*02:01')"), species="mouse").filter("skip_reason IS NULL").collect()
+    assert {(x.receptor_id, x.hla) for x in mouse} == {("r1", "H-2-Kb"), ("r3", "H-2-Kb")}
+
+
+@pytest.mark.parametrize("block, salts", [(5, 3), (1000, 1), (1, 8)])
+def test_neighbours_do_not_depend_on_blocks(spark, block, salts):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(90, 6)).round(1)
+    v[10:20] = v[0]  # ties
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(999, None)], "ref_id long, vector array<double>")
+    q = df.selectExpr("concat('q', ref_id) AS query_id", "vector")
+    got = {(r.query_id, r["rank"]): r.ref_id for r in knn.cosine_top_k(q, df, 4, block=block, salts=salts).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for i in range(90):
+        order = sorted(range(90), key=lambda j: (-round(float(u[i] @ u[j]), 9), j))[:4]
+        assert [round(float(u[i] @ u[got[f"q{i}", k + 1]]), 9) for k in range(4)] == [round(float(u[i] @ u[j]), 9) for j in order]
+    assert [got["q0", k] for k in (1, 2, 3, 4)] == [0, 10, 11, 12] and knn.cosine_top_k(q.limit(0), df, 4).count() == 0
+
+
 def test_backgrounds_are_reproducible(spark):
     c = spark.createDataFrame([("HLA-A*02:01", 9), ("HLA-B*07:02", 10)], "hla string, peptide_length int")
     key = lambda df: sorted((r.hla, r.peptide, r.background_id) for r in df.collect())
