@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import InputError
 from .operators import background, evaluate, ingest, pairs, profile, scoring
+from .operators.bridge import one_provenance
 from .operators.screen import screen
 from .sources import tables
 from .sources.bundle import bundle, write_frame
@@ -90,7 +91,9 @@ def results(spark: SparkSession, a: argparse.Namespace) -> dict:
     keys = ["receptor_id", "peptide", "hla"]
     scores = tables.read_table(spark, a.scores, "comma").withColumn("score", pairs.numeric_score("score"))
     labels = tables.read_table(spark, a.labels, "comma").withColumn("label", F.col("label").cast("int"))
-    return {"evaluation": evaluate.evaluate(scores.select(*keys, "score"), labels.select(*keys, "label"), keys, keys[1:], not a.lower_is_better)}
+    one_provenance(scores, ["model", "metric"])
+    scores, labels = evaluate.normalized_keys(scores.select(*keys, "score")), evaluate.normalized_keys(labels.select(*keys, "label"))
+    return {"evaluation": evaluate.evaluate(scores, labels, keys, keys[1:], not a.lower_is_better)}
 
 
 def main(argv: list[str] | None = None) -> int:

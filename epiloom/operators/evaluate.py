@@ -6,8 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import hla
+from ..functions.text import AA20, InputError, clean
 from .ranking import finite
 
+KEYS = ["receptor_id", "peptide", "hla"]
+
+
+def normalized_keys(df: DataFrame) -> DataFrame:
+    """df with receptor_id and molecule trimmed, the peptide in upper case and the molecule's canonical name, so that spellings don't part a score from its label.
+
+    A missing identity, a peptide of other letters and a name that can't be read are errors, told by one job.
+    """
+    if missing := [c for c in KEYS if c not in df.columns]:
+        raise InputError(f"evaluation needs the columns {', '.join(missing)}")
+    if odd := [c for c in KEYS if dict(df.dtypes)[c] != "string"]:
+        raise InputError(f"{', '.join(odd)} must be text")
+    named = hla.normalized(df.withColumns({"receptor_id": clean("receptor_id"), "peptide": F.upper(clean("peptide")), "hla": clean("hla")}), "hla", "_name")
+    letters = F.coalesce(F.col("peptide").rlike(rf"\A[{AA20}]+\z"), F.lit(False))
+    problem = F.coalesce(F.when(F.col("receptor_id").isNull() | F.col("peptide").isNull() | F.col("hla").isNull(), "an identity is missing"), F.when(~letters, "a peptide has other letters than the twenty residues"), F.col("_name_error"))
+    if bad := named.select(problem.alias("p")).filter("p IS NOT NULL").limit(1).collect():
+        raise InputError(bad[0][0])
+    return named.withColumn("hla", F.col("_name")).drop("_name", "_name_error", "_name_abstains")
+
 
 def fold_labels(labels: DataFrame, keys: list[str]) -> DataFrame:
     """keys, label, n_labels: one label a key if all agree; contradicting ones leave none."""

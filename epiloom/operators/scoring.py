@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import hla
@@ -15,6 +16,9 @@ from ..functions.text import AA20, InputError
 from .background import random_panel
 from .ranking import background_percentile, rank_in_context
 
+#: Letters of a batch, parts of a context, and letters of the longest peptide that is scored.
+TOKEN_BUDGET, SALTS, LONGEST = 4096, 16, 50
+
 
 class Scorer(Protocol):
     """Loaded once a Python worker; logits are per position over the twenty residues."""
@@ -49,10 +53,34 @@ def pseudo_log_likelihood(scorer: Scorer, context: str, peptide: str) -> float:
     return float(np.mean([lp[i, AA20.index(a)] for i, a in enumerate(peptide)]))
 
 
-def scored(pairs: DataFrame, scorer: Scorer, context: list[str], peptide: str = "peptide") -> DataFrame:
-    """pairs with score and ok; rows of one context and length share the model's pass, distinct peptides are scored once."""
-    name = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in context])
-    work = pairs.select(name.alias("_context"), F.col(peptide).alias("_peptide")).distinct()
+def context_name(context: list[str]) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in context])
+
+
+def batched(rows: DataFrame, context: list[str], item: str, budget: int = TOKEN_BUDGET, salts: int = SALTS, longest: int = LONGEST) -> DataFrame:
+    """rows with `batch`: rows of one context, and at most `budget` letters of items of up to `longest` letters.
+
+    A context's rows are dealt into `salts` parts by a hash of the item, and each
+    part is cut where its running sum of letters passes another width; a batch
+    begins at most one width after the one before, and its last row adds less than
+    `longest`.  So a context that has nearly all rows is spread, no window holds
+    more than a part of it, and neither order nor number of tasks changes a batch.
+    Items are distinct within a context; of equal ones any may come first.
+    """
+    if budget < 2 * longest:
+        raise InputError("a batch takes two of the longest items at least")
+    width = budget - longest + 1
+    salt = F.conv(F.substring(F.md5(F.coalesce(F.col(item), F.lit("")).cast("binary")), 1, 4), 16, 10).cast("int") % salts
+    letters = F.least(F.coalesce(F.length(item), F.lit(0)), F.lit(longest))
+    before = W.partitionBy(*context, "_salt").orderBy(F.length(item), item).rowsBetween(W.unboundedPreceding, -1)
+    cut = rows.withColumn("_salt", salt).withColumn("_before", F.coalesce(F.sum(letters).over(before), F.lit(0)))
+    return cut.withColumn("batch", F.concat_ws("-", "_salt", F.floor(F.col("_before") / width).cast("string"))).drop("_salt", "_before")
+
+
+def scored(pairs: DataFrame, scorer: Scorer, context: list[str], peptide: str = "peptide", budget: int = TOKEN_BUDGET) -> DataFrame:
+    """pairs with score and ok; rows of one context and length in a batch share the model's pass, distinct peptides are scored once."""
+    name = context_name(context)
+    work = batched(pairs.select(name.alias("_context"), F.col(peptide).alias("_peptide")).distinct(), ["_context"], "_peptide", budget)
 
     def run(frames: Iterator):
         import pandas as pd
@@ -67,7 +95,7 @@ def scored(pairs: DataFrame, scorer: Scorer, context: list[str], peptide: str =
                 out.append(float(np.mean([held[1][i, AA20.index(a)] for i, a in enumerate(p)])) if good else None)
             yield pd.DataFrame({"_context": pdf["_context"], "_peptide": pdf["_peptide"], "score": out}).astype({"score": "float64"})
 
-    ready = work.repartition("_context").sortWithinPartitions("_context", F.length("_peptide"))
+    ready = work.repartition("_context", "batch").sortWithinPartitions("_context", "batch", F.length("_peptide")).select("_context", "_peptide")
     found = ready.mapInPandas(run, "_context string, _peptide string, score double").withColumn("score", F.when(~F.isnan("score"), F.col("score")))
     joined = pairs.withColumn("_name", name).join(found, (F.col("_name") == found["_context"]) & F.col(peptide).eqNullSafe(found["_peptide"]), "left")
     return joined.withColumn("ok", F.col("score").isNotNull()).drop("_name", "_context", "_peptide")
@@ -118,7 +146,3 @@ def score_repertoire(exported: DataFrame, scorer: Scorer) -> DataFrame:
     full = ready.unionByName(skipped).withColumns({"peptide_length": F.length("peptide"), "status": F.when(F.col("score").isNotNull(), "ModelHypothesis").otherwise("Unresolved"), "reason": F.col("skip_reason")})
     return rank_in_context(full.drop("skip_reason"), ["receptor_id", "hla", "peptide_length"])
 
-
-def require_same(a: str, b: str) -> None:
-    if a != b:
-        raise InputError("background and scores come from different models")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import genes, hla
 from ..functions import text as t
-from ..operators import background, embedding, evaluate, ingest, knn, pairs, profile, ranking, scoring
+from ..operators import background, bridge, contracts, embedding, evaluate, ingest, knn, pairs, profile, ranking, score_store, scoring, sink
 from ..operators.edit_join import edit_pairs
 from ..operators.screen import screen
+from ..sources.staging import staging_dir
 from ..sources.tables import numbered
 from . import synthetic as s
 from .synthetic import cdr3, derived, duck, peptide, table
@@ -475,3 +478,116 @@ def pmhc_scores(spark, sf_dir):
 def repertoire_scores(spark, sf_dir):
     out = pairs.export_pairs(s.receptors(spark, sf_dir), derived(spark, sf_dir, _TEN_PEPTIDES, "region"), max_pairs=10_000_000)
     return rounded(scoring.score_repertoire(out, scoring.StubScorer()), "score")
+
+
+# ---- contracts, store, bridge, sinks ----------------------------------------------------------------------------
+
+#: What a scorer hands back for events, with every fault, and what it was asked for.
+_RETURNED = f"""SELECT concat('e', cast(event_id as string)) AS name, case when event_id % 97 = 0 then null else {peptide('event_id')} end AS peptide, coalesce({s.allele('event_id')}, 'none') AS hla,
+  case when event_id % 11 = 0 then 'maybe' when event_id % 2 = 0 then ' True' else '0' end AS ok, case when event_id % 13 = 0 then 'x' when event_id % 5 = 0 then null when event_id % 7 = 0 then 'NaN' when event_id % 17 = 0 then '0.5' else cast(-(event_id % 9) as string) end AS score, event_id FROM events"""
+_ASKED = "event_id % 10 <> 3"
+_GOT = "event_id % 10 <> 4"
+
+
+@query(duck(f"""WITH r AS ({_RETURNED}), g AS (SELECT *, lower(trim(ok)) AS f, TRY_CAST(score AS DOUBLE) AS v FROM r WHERE {_GOT} UNION ALL SELECT *, lower(trim(ok)), TRY_CAST(score AS DOUBLE) FROM r WHERE {_GOT} AND event_id % 1000 = 5)
+SELECT 'name is missing' AS rule, count(*) FILTER (WHERE name IS NULL) AS n FROM g UNION ALL SELECT 'peptide is missing', count(*) FILTER (WHERE peptide IS NULL) FROM g UNION ALL SELECT 'hla is missing', count(*) FILTER (WHERE hla IS NULL) FROM g
+UNION ALL SELECT 'the flag is neither true nor false', count(*) FILTER (WHERE f NOT IN ('true', '0')) FROM g UNION ALL SELECT 'the score isn''t a number', count(*) FILTER (WHERE score = 'x') FROM g
+UNION ALL SELECT 'success without a log probability', count(*) FILTER (WHERE f = 'true' AND NOT coalesce(v <= 0 AND NOT isnan(v), false)) FROM g UNION ALL SELECT 'failure with a score', count(*) FILTER (WHERE f = '0' AND v IS NOT NULL AND NOT isnan(v)) FROM g
+UNION ALL SELECT 'a row is missing', count(*) FROM r WHERE {_ASKED} AND NOT {_GOT} UNION ALL SELECT 'a row wasn''t asked for', count(*) FROM r WHERE {_GOT} AND NOT {_ASKED}
+UNION ALL SELECT 'a row is repeated', count(*) FROM r WHERE {_GOT} AND {_ASKED} AND event_id % 1000 = 5"""))
+def contract_audit(spark, sf_dir):
+    r = derived(spark, sf_dir, _RETURNED, "events")
+    got = r.filter(_GOT)
+    return contracts.audit(got.union(got.filter("event_id % 1000 = 5")), contracts.score_contract(), r.filter(_ASKED))
+
+
+_STORED = f"SELECT p_partkey, {peptide('p_partkey', 997)} AS peptide, {s.allele('p_partkey')} AS hla FROM part"
+
+
+@query(duck(f"""WITH a AS (SELECT DISTINCT peptide, coalesce(hla, '') AS hla, p_partkey % 2 = 0 AS half FROM ({_STORED})), n AS (SELECT count(DISTINCT (peptide, hla)) FILTER (WHERE half) AS h, count(DISTINCT (peptide, hla)) AS w FROM a)
+SELECT unnest([1, 2, 3, 4]) AS run, unnest([h, w, w, w]) AS asked, unnest([h, w - h, 0, w]) AS scored FROM n"""))
+def score_reuse(spark, sf_dir):
+    """Half of the pairs, all of them, all again, and all under another seed, each against the store of the runs before."""
+    store = score_store.ScoreStore(spark, f"{staging_dir(spark)}/epiloom-{uuid.uuid4().hex}")
+    rows = derived(spark, sf_dir, _STORED, "part")
+    runs = [(rows.filter("p_partkey % 2 = 0"), 0), (rows, 0), (rows, 0), (rows, 1)]
+    told = [store.score(df, scoring.StubScorer(seed), ["hla"], "stub", renew=True)[1] for df, seed in runs]
+    return spark.createDataFrame([(i + 1, x["asked"], x["scored"]) for i, x in enumerate(told)], "run int, asked long, scored long")
+
+
+_CELLS = "SELECT case when c_custkey % 61 = 0 then null when c_custkey % 50 = 7 then c_custkey - 1 else c_custkey end AS cell, c_nationkey % 2 AS donor, c_acctbal AS balance FROM customer"
+_CELL_LABELS = "SELECT case when c_custkey % 40 = 3 then c_custkey + 1 when c_custkey % 9 = 5 then c_custkey + 100000000 else c_custkey end AS cell, c_nationkey % 2 AS donor, c_mktsegment AS label FROM customer WHERE c_custkey % 9 <> 2"
+
+
+@query(f"""WITH a AS (SELECT cell, donor, count(*) AS n, min(balance) AS b FROM ({_CELLS}) GROUP BY ALL), z AS (SELECT cell, donor, count(*) AS m, min(label) AS l FROM ({_CELL_LABELS}) GROUP BY ALL)
+SELECT coalesce(a.cell, z.cell) AS cell, coalesce(a.donor, z.donor) AS donor, coalesce(n, 0) AS n_left, coalesce(m, 0) AS n_right, CASE WHEN n = 1 THEN b END AS balance, CASE WHEN m = 1 THEN l END AS label,
+  CASE WHEN coalesce(a.cell, z.cell) IS NULL THEN 'no identity' WHEN n > 1 OR m > 1 THEN 'multiple' WHEN m IS NULL THEN 'left only' WHEN n IS NULL THEN 'right only' ELSE 'matched' END AS match
+FROM a FULL JOIN z ON a.cell IS NOT DISTINCT FROM z.cell AND a.donor IS NOT DISTINCT FROM z.donor""")
+def dataset_bridge(spark, sf_dir):
+    met = bridge.conserved(derived(spark, sf_dir, _CELLS, "customer"), derived(spark, sf_dir, _CELL_LABELS, "customer"), ["cell", "donor"])
+    return met.select("cell", "donor", "match", "n_left", "n_right", F.col("left.balance").alias("balance"), F.col("right.label").alias("label"))
+
+
+@query("""WITH v AS (SELECT 'model' AS "column", 'm1' AS v FROM orders UNION ALL SELECT 'metric', CASE WHEN o_orderkey % 1000 <> 3 THEN 'pll' END FROM orders UNION ALL SELECT 'status', o_orderstatus FROM orders)
+SELECT "column", CASE WHEN count(DISTINCT v) = 1 AND count(v) = count(*) THEN min(v) END AS value, CASE WHEN count(DISTINCT v) > 1 THEN 'conflict' WHEN count(v) < count(*) THEN 'missing' ELSE 'one' END AS status FROM v GROUP BY 1""")
+def provenance_fold(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.lit("m1").alias("model"), F.expr("CASE WHEN o_orderkey % 1000 <> 3 THEN 'pll' END").alias("metric"), F.col("o_orderstatus").alias("status"))
+    return bridge.provenance(o, ["model", "metric", "status"])
+
+
+#: Nine rows of ten belong to one context.
+_LOADED = f"SELECT DISTINCT case when p_partkey % 10 = 0 then 'cold' else 'hot' end AS context, {peptide('p_partkey', 100003)} AS peptide FROM part"
+
+
+@query(duck(f"""WITH r AS ({_LOADED}), k AS (SELECT *, ('0x' || substr(md5(peptide), 1, 4))::BIGINT % 16 AS salt FROM r),
+c AS (SELECT *, coalesce(sum(length(peptide)) OVER (PARTITION BY context, salt ORDER BY length(peptide), peptide ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+SELECT context, peptide, salt || '-' || (before // 151)::BIGINT AS batch FROM c"""))
+def score_batches(spark, sf_dir):
+    return scoring.batched(derived(spark, sf_dir, _LOADED, "part"), ["context"], "peptide", budget=200)
+
+
+def _calls(prefix: str, key: str) -> str:
+    """Reported and used calls: as they are, padded, with another allele, another gene, or untold."""
+    base = f"concat('{prefix}', cast(1 + {key} % 9 as string), '-', cast(1 + {key} % 3 as string))"
+    reported = f"case when {key} % 4 = 0 then concat({base}, '*01') when {key} % 7 = 0 then concat('{prefix}0', cast(1 + {key} % 9 as string), '-0', cast(1 + {key} % 3 as string)) when {key} % 31 = 0 then null else {base} end"
+    used = f"case when {key} % 29 = 0 then ' ' when {key} % 37 = 0 then null when {key} % 12 = 0 then concat({base}, '*02') when {key} % 5 = 0 then {base} when {key} % 23 = 0 then '{prefix}99*01' else concat({base}, '*01') end"
+    return f"{reported} AS {prefix.lower()}, {used} AS recon_{prefix.lower()}"
+
+
+_RECON = f"SELECT {_calls('TRAV', 'p_partkey')}, {_calls('TRAJ', '(p_partkey + 5)')}, {_calls('TRBV', '(p_partkey * 3)')}, {_calls('TRBJ', '(p_partkey * 7 + 1)')} FROM part"
+_PLAIN = lambda c: f"regexp_replace(regexp_replace({c}, '^(TR[AB][VJ])0+([0-9])', '\\1\\2'), '-0+([0-9])', '-\\1', 'g')"
+_ALL_GENES = ["trav", "traj", "trbv", "trbj"]
+_RESOLVED = "CASE WHEN differs THEN 'inferred_gene_choice' WHEN untold THEN 'unreported' WHEN bare THEN 'alleles_unspecified' WHEN spelled THEN 'nomenclature_normalized' ELSE 'reported_match' END"
+
+
+@query(duck(f"""WITH r AS (SELECT row_number() OVER () AS id, * FROM ({_RECON})),
+e AS ({' UNION ALL '.join(f"SELECT id, '{g}' AS gene, {g} AS call, recon_{g} AS used FROM r" for g in _ALL_GENES)}),
+f AS (SELECT *, trim(coalesce(used, '')) = '' AS untold, NOT coalesce(contains(call, '*'), false) AS bare,
+  trim(coalesce(used, '')) <> '' AND coalesce({_PLAIN('call')} <> CASE WHEN contains(call, '*') THEN {_PLAIN('used')} ELSE string_split({_PLAIN('used')}, '*')[1] END, false) AS differs FROM e),
+g AS (SELECT *, NOT untold AND NOT differs AND coalesce(call <> used, false) AS spelled FROM f),
+w AS (SELECT bool_or(differs) AS differs, bool_or(untold) AS untold, bool_or(bare) AS bare, bool_or(spelled) AS spelled FROM g GROUP BY id)
+SELECT gene, {_RESOLVED} AS status, count(*) AS n FROM g GROUP BY ALL UNION ALL SELECT 'all', {_RESOLVED}, count(*) FROM w GROUP BY ALL"""))
+def gene_resolution_audit(spark, sf_dir):
+    return genes.resolution_audit(derived(spark, sf_dir, _RECON, "part"))
+
+
+_EVIDENCE = """SELECT o_custkey AS receptor_id, case when o_orderstatus = 'F' then 'Candidate' else 'Unresolved' end AS status, case when o_orderstatus = 'P' then 'none' else 'exact_paired' end AS evidence_type,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY case when o_orderstatus = 'F' then 0 else 1 end, o_orderkey) AS evidence_rank FROM orders"""
+
+
+@query(f"""WITH e AS ({_EVIDENCE}), c AS (SELECT count(*) AS evidence_rows, count(*) FILTER (WHERE status = 'Candidate') AS candidate_rows, count(*) FILTER (WHERE status <> 'Candidate') AS unresolved_rows, count(DISTINCT receptor_id) AS receptors,
+  count(DISTINCT receptor_id) FILTER (WHERE status = 'Candidate') AS receptors_with_candidates, count(*) FILTER (WHERE evidence_rank = 1 AND evidence_type = 'none') AS receptors_without_evidence FROM e)
+SELECT counter, n FROM (UNPIVOT c ON COLUMNS(*) INTO NAME counter VALUE n)""")
+def sink_summary(spark, sf_dir):
+    return sink.summary(derived(spark, sf_dir, _EVIDENCE, "orders"), sink.evidence_counters())
+
+
+_ROUTED = f"SELECT {peptide('p_partkey', 997)} AS peptide, case p_partkey % 6 when 0 then 'HLA-A*02:01' when 1 then 'HLA-B*07:02' when 2 then 'HLA-DQA1*05:01/HLA-DQB1*02:01' when 3 then 'HLA-A*02' when 4 then 'HLA-C*07:01N' end AS hla, case when p_partkey % 8 = 0 then null else 1.0 / (1 + p_partkey % 8) end AS score FROM part"
+
+
+@query(duck(f"""WITH r AS (SELECT *, CASE WHEN hla IN ('HLA-A*02:01', 'HLA-B*07:02') THEN 'class_i' WHEN contains(hla, '/') THEN 'class_ii' END AS predictor FROM ({_ROUTED})),
+q AS (SELECT predictor, CASE WHEN predictor IS NULL THEN 'unrouted' WHEN NOT length(peptide) BETWEEN CASE predictor WHEN 'class_i' THEN 9 ELSE 10 END AND 15 THEN 'unsupported_length' WHEN hla = 'HLA-B*07:02' THEN 'no_model' WHEN score IS NULL THEN 'failed_score' ELSE 'predicted' END AS route FROM r)
+SELECT predictor, count(predictor) AS routed, {', '.join(f"count(*) FILTER (WHERE route = '{x}') AS {x}" for x in sink.ROUTES)} FROM q GROUP BY 1"""))
+def routing_counters(spark, sf_dir):
+    models = spark.createDataFrame([("class_i", "HLA-A*02:01"), ("class_ii", "HLA-DQA1*05:01/HLA-DQB1*02:01")], "predictor string, hla string")
+    return sink.routing_counters(sink.routes(derived(spark, sf_dir, _ROUTED, "part"), models, {"class_i": (9, 15), "class_ii": (10, 15)}))
