@@ -62,7 +62,9 @@ WORDS, SHARE, MOST_MATCHES, FILTER_BYTES = 5, (75, 100), 8, 64 << 20
 SKETCH_BYTES, FEWEST_SLOTS, MOST_SLOTS, CHUNK = 128, 20, 24, 1 << 14
 #: Estimated holders of a shingle beyond which its list is dealt by class as well; classes of a list that are compared in one task.
 HOT_HOLDERS, LIST_ROWS = 1 << 16, 1 << 13
-#: Those of a list among which each class names one; a round of naming another follows while one in so many finds a link; shared shingles counted beyond the smaller l.
+#: Parts, by hash, of a hub's shingles of which each member's are counted.
+PARTS = 256
+#: Those of a list (and band of sizes) among which each class names one; a round of naming another follows while one in so many finds a link; shared shingles counted beyond the smaller l.
 NAMED, WORTH, MORE = 8, 4, 2
 
 
@@ -270,10 +272,17 @@ def counted(n1, l1, n2, l2, share):
 
 
 def named_in(c, n, reach, share, apart) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of a list the class that it names, and whether there is one: of those that fit and are apart from it, the one whose lists are the longest in all."""
-    first = np.lexsort((c, -reach))[:NAMED]
+    """For each row of a list the class that it names, and whether there is one: of those that fit and are apart from it, the one whose lists are the longest in all.
+
+    Asked are the first NAMED of every band of sizes that fit each other, so that small sets find theirs in lists that larger ones fill.
+    """
     found, some = np.zeros(len(c), np.int64), np.zeros(len(c), bool)
-    for i in first[::-1]:
+    at = np.lexsort((c, -reach))
+    band = np.floor(np.log(n[at]) / np.log(share[1] / share[0])).astype(np.int64)
+    by_band = np.argsort(band, kind="stable")
+    new = np.append(True, np.diff(band[by_band]) != 0)
+    place = np.arange(len(c)) - np.maximum.accumulate(np.where(new, np.arange(len(c)), 0))
+    for i in at[np.sort(by_band[place < NAMED])][::-1]:
         ok = (c != c[i]) & sizes_fit(n, n[i], share) & apart(i)
         found[ok], some[ok] = c[i], True
     return found, some
@@ -377,8 +386,10 @@ def across(lists: DataFrame, share) -> DataFrame:
             cut = np.flatnonzero(np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
             return pa.RecordBatch.from_arrays([pa.array(lo[cut]), pa.array(hi[cut]), pa.array(np.diff(np.append(cut, len(lo)))), pa.array(least[cut]), pa.array(np.logical_or.reduceat(first, cut))], ["a", "b", "times", "least", "first"])
 
-        for (_, block, other), (c, n, p, m, root, hub, o, s, of_hub, mine), starts in runs(batches, ["token", "block", "other"], ["class", "size", "place", "matches", "root", "hub", "over", "beyond", "of_hub", "mine"]):
+        for (_, block, other), (c, n, p, m, root, hub, o, s, of_hub, mine, parts), starts in runs(batches, ["token", "block", "other"], ["class", "size", "place", "matches", "root", "hub", "over", "beyond", "of_hub", "mine", "parts"]):
             n, p, m, o, s = (x.astype(np.int64) for x in (n, p, m, o, s))
+            known = np.array([x is not None for x in parts])
+            held_of = np.frombuffer(b"".join(x or bytes(PARTS) for x in parts), np.uint8).reshape(-1, PARTS)
 
             def split(a, b):
                 kinds, kind, count = np.unique(root[a:b], return_inverse=True, return_counts=True)  # noqa: B023
@@ -390,7 +401,12 @@ def across(lists: DataFrame, share) -> DataFrame:
             for i, j in couples(starts, split):
                 ok = (root[i] != root[j]) & sizes_fit(n[i], n[j], share) & ((block[i] == other[i]) | (mine[i] != mine[j]))
                 i, j = i[ok], j[ok]
-                short = overlap(n[i], n[j], share) - np.minimum(o[i], o[j]) - np.maximum(s[i], s[j])
+                of_both = np.minimum(o[i], o[j])
+                told = np.flatnonzero((hub[i] == hub[j]) & known[i] & known[j])
+                for at in range(0, len(told), 50_000):
+                    k = told[at : at + 50_000]
+                    of_both[k] = np.minimum(held_of[i[k]], held_of[j[k]]).sum(axis=1, dtype=np.int64)
+                short = overlap(n[i], n[j], share) - of_both - np.maximum(s[i], s[j])
                 apart = (hub[j] == hub[i]) & (o[i] >= 0) & (o[j] >= 0) & (short > 0)  # only shingles that aren't their hub's can link them
                 least = np.where(apart, short, counted(n[i], m[i], n[j], m[j], share))
                 first = apart | allowed(n[i], p[i], n[j], p[j], 0, share)
@@ -498,7 +514,7 @@ def only(sets: DataFrame, classes: DataFrame, filter_bytes: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, share, filter_bytes: int) -> DataFrame:
-    """a, b, linked, over (how many shingles they share), beyond (how many of a's come after its prefix and aren't b's) of pairs (a, b)."""
+    """a, b, linked, over (how many shingles they share), beyond (how many of a's come after its prefix and aren't b's) and parts (how many of the shared ones are in each of PARTS, a byte each; null beyond a byte) of pairs (a, b)."""
     p, q = share
     sets = only(sets, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), filter_bytes)
     first = pairs.join(sets.select(F.col("class").alias("a"), "prefix", F.col("tokens").alias("x")), "a")
@@ -508,7 +524,7 @@ def compared(pairs: DataFrame, sets: DataFrame, share, filter_bytes: int) -> Dat
         import pyarrow as pa
 
         for batch in batches:
-            linked, over, beyond = [], [], []
+            linked, over, beyond, parts = [], [], [], []
             for head, a, b in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 x, y = np.frombuffer(a, "<u8"), np.sort(np.frombuffer(b, "<u8"))
                 common = y[np.searchsorted(y, x).clip(max=len(y) - 1)] == x
@@ -516,9 +532,12 @@ def compared(pairs: DataFrame, sets: DataFrame, share, filter_bytes: int) -> Dat
                 linked.append(q * o >= p * (len(x) + len(y) - o))
                 over.append(o)
                 beyond.append(len(x) - head - int(common[head:].sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(over, pa.int32()), pa.array(beyond, pa.int32())], ["a", "b", "linked", "over", "beyond"])
+                of = np.bincount((x[common] >> U64(56)).astype(np.int64), minlength=PARTS)
+                parts.append(None if of.max() > 255 else of.astype(np.uint8).tobytes())
+            columns = [pa.array(linked, pa.bool_()), pa.array(over, pa.int32()), pa.array(beyond, pa.int32()), pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", "linked", "over", "beyond", "parts"])
 
-    return both.mapInArrow(read, "a long, b long, linked boolean, over int, beyond int")
+    return both.mapInArrow(read, "a long, b long, linked boolean, over int, beyond int, parts binary")
 
 
 def rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
@@ -527,8 +546,11 @@ def rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def with_hubs(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """lists with hub, over and beyond (-1 where there is none) and whether the hub's prefix holds the shingle."""
-    told = found.select(F.col("a").alias("class"), F.col("b").alias("hub"), "over", "beyond")
+    """lists with hub, over and beyond (-1 where there is none), parts, and whether the hub's prefix holds the shingle."""
+    # where all members are linked to their hub, no pair of them is looked at
+    missed = found.filter("NOT linked").select(F.col("b").alias("hub")).distinct().withColumn("missed", F.lit(True))
+    told = found.select(F.col("a").alias("class"), F.col("b").alias("hub"), "over", "beyond", "parts").join(missed, "hub", "left")
+    told = told.select("class", "hub", "over", "beyond", F.when(F.col("missed"), F.col("parts")).alias("parts"))
     rows = lists.join(told, "class", "left").withColumn("hub", F.coalesce("hub", "class")).withColumn("over", F.coalesce("over", F.lit(-1))).withColumn("beyond", F.coalesce("beyond", F.lit(-1)))
     theirs = rows.filter("over >= 0").select("token", "hub").distinct().join(lists.select("token", F.col("class").alias("hub")), ["token", "hub"]).withColumn("of_hub", F.lit(True))
     return rows.join(theirs, ["token", "hub"], "left").withColumn("of_hub", F.coalesce("of_hub", F.lit(False)))
@@ -555,7 +577,7 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, share: tuple[int, int] = SHAR
         links, tested = found.filter("linked").select("a", "b"), found
         roots = merged(docs.sparkSession.createDataFrame([], "node long, root long"), links)
         while WORTH * links.count() > tested.count():  # to save work: pairs within a component need no look below
-            more = hubs(naming(in_blocks(rooted(lists, roots), long, pairs=False), share)).select(F.col("class").alias("a"), F.col("hub").alias("b"))
+            more = hubs(naming(in_blocks(rooted(lists.drop("parts"), roots), long, pairs=False), share)).select(F.col("class").alias("a"), F.col("hub").alias("b"))
             tested = scratch.written(compared(scratch.written(more), sets, share, filter_bytes))
             links = tested.filter("linked").select("a", "b")
             roots = merged(roots, links)
