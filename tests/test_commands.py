@@ -32,10 +32,12 @@ def test_panel_commands(spark, example, tmp_path, command):
 
 
 def test_evaluate_and_lookup(spark, example, tmp_path):
-    (tmp_path / "s.csv").write_text("receptor_id,peptide,hla,score\nr1,P,A,2\nr2,P,A,1\n")
-    (tmp_path / "l.csv").write_text("receptor_id,peptide,hla,label\nr1,P,A,1\nr2,P,A,0\n")
+    (tmp_path / "s.csv").write_text("receptor_id,peptide,hla,score\nr1,P,A*02:01,2\nr2, p,HLA-A*02:01,1\n")
+    (tmp_path / "l.csv").write_text("receptor_id,peptide,hla,label\nr1,P,HLA-A*02:01,1\nr2,P,A*02:01,0\n")
     assert main(["evaluate", "--scores", f"{tmp_path}/s.csv", "--labels", f"{tmp_path}/l.csv", "--out", str(tmp_path / "e")]) == 0
     assert spark.read.parquet(f"{tmp_path}/e/evaluation.parquet").first().auroc == 1.0
+    (tmp_path / "bad.csv").write_text("receptor_id,peptide,hla,label\nr1,P,A,1\n")
+    assert main(["evaluate", "--scores", f"{tmp_path}/s.csv", "--labels", f"{tmp_path}/bad.csv", "--out", str(tmp_path / "x")]) == 2
     (tmp_path / "lib.csv").write_text("peptide,hla,score\nKLDVGNAEYV,HLA-B*35:01,3\n")
     assert main(["lookup", "--panel", f"{example}/panel.csv", "--library", f"{tmp_path}/lib.csv", "--out", str(tmp_path / "k")]) == 0
     assert main(["lookup", "--panel", f"{tmp_path}/none.csv", "--library", f"{tmp_path}/lib.csv", "--out", str(tmp_path / "n")]) == 2
