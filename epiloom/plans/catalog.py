@@ -515,16 +515,16 @@ def score_reuse(spark, sf_dir):
     return spark.createDataFrame([(i + 1, x["asked"], x["scored"]) for i, x in enumerate(told)], "run int, asked long, scored long")
 
 
-_CELLS = "SELECT case when c_custkey % 61 = 0 then null when c_custkey % 50 = 7 then c_custkey - 1 else c_custkey end AS cell, c_nationkey % 2 AS donor, c_acctbal AS balance FROM customer"
+_BALANCES = "SELECT case when c_custkey % 61 = 0 then null when c_custkey % 50 = 7 then c_custkey - 1 else c_custkey end AS cell, c_nationkey % 2 AS donor, c_acctbal AS balance FROM customer"
 _CELL_LABELS = "SELECT case when c_custkey % 40 = 3 then c_custkey + 1 when c_custkey % 9 = 5 then c_custkey + 100000000 else c_custkey end AS cell, c_nationkey % 2 AS donor, c_mktsegment AS label FROM customer WHERE c_custkey % 9 <> 2"
 
 
-@query(f"""WITH a AS (SELECT cell, donor, count(*) AS n, min(balance) AS b FROM ({_CELLS}) GROUP BY ALL), z AS (SELECT cell, donor, count(*) AS m, min(label) AS l FROM ({_CELL_LABELS}) GROUP BY ALL)
+@query(f"""WITH a AS (SELECT cell, donor, count(*) AS n, min(balance) AS b FROM ({_BALANCES}) GROUP BY ALL), z AS (SELECT cell, donor, count(*) AS m, min(label) AS l FROM ({_CELL_LABELS}) GROUP BY ALL)
 SELECT coalesce(a.cell, z.cell) AS cell, coalesce(a.donor, z.donor) AS donor, coalesce(n, 0) AS n_left, coalesce(m, 0) AS n_right, CASE WHEN n = 1 THEN b END AS balance, CASE WHEN m = 1 THEN l END AS label,
   CASE WHEN coalesce(a.cell, z.cell) IS NULL THEN 'no identity' WHEN n > 1 OR m > 1 THEN 'multiple' WHEN m IS NULL THEN 'left only' WHEN n IS NULL THEN 'right only' ELSE 'matched' END AS match
 FROM a FULL JOIN z ON a.cell IS NOT DISTINCT FROM z.cell AND a.donor IS NOT DISTINCT FROM z.donor""")
 def dataset_bridge(spark, sf_dir):
-    met = bridge.conserved(derived(spark, sf_dir, _CELLS, "customer"), derived(spark, sf_dir, _CELL_LABELS, "customer"), ["cell", "donor"])
+    met = bridge.conserved(derived(spark, sf_dir, _BALANCES, "customer"), derived(spark, sf_dir, _CELL_LABELS, "customer"), ["cell", "donor"])
     return met.select("cell", "donor", "match", "n_left", "n_right", F.col("left.balance").alias("balance"), F.col("right.label").alias("label"))
 
 
