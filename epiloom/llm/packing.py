@@ -137,7 +137,11 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets
 
 
-SCHEMA = "doc_id string, piece int, start long, length long, ids_crc32 long, part long, sequence_id long, offset long, bins_used long, bins_bound long, loose boolean"
+#: What a packing round returns; stay_used and stay_bound certify what is left of a partition once its loose pieces are gone.
+SCHEMA = (
+    "doc_id string, piece int, start long, length long, ids_crc32 long, round int, part long, sequence_id long, offset long, "
+    "bins_used long, bins_bound long, stay_used long, stay_bound long, loose boolean"
+)
 
 
 def _packer(round_: int, capacity: int, released: float):
@@ -157,37 +161,41 @@ def _packer(round_: int, capacity: int, released: float):
             order = order[fill[order] < capacity]
             most = max(released * len(lengths), held[order[:2]].sum()) if len(order) else 0
             loose = np.isin(bins, order[np.cumsum(held[order]) <= most])
-        return pdf.assign(part=key[0], sequence_id=names, offset=offsets, bins_used=used, bins_bound=bound, loose=loose)
+        stay_used, stay_bound = (len(np.unique(bins[~loose])), lower_bound(lengths[~loose], capacity)) if loose.any() else (used, bound)
+        return pdf.assign(round=round_, part=key[0], sequence_id=names, offset=offsets, bins_used=used, bins_bound=bound, stay_used=stay_used, stay_bound=stay_bound, loose=loose)
 
     return pack
 
 
 def packed(cut: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES, rounds: int | None = None, released: float = RELEASED) -> DataFrame:
-    """cut (doc_id, piece, start, length, ids_crc32) with sequence_id, offset and the certificate: part, bins_used, bins_bound.
+    """cut (doc_id, piece, start, length, ids_crc32) with sequence_id, offset and the certificate: round, part, bins_used, bins_bound.
 
-    These tell of the partition that packed the piece last, how many sequences it
-    used and how many it needs at least; rounds: None for as many as find partners.
+    Round and part name the pieces that were packed together last and came to stay:
+    bins_used is the number of sequences that hold them, bins_bound the number that
+    they need at least.  No sequence holds pieces of two such sets, so the sets'
+    bins_used add up to all sequences.  rounds: None for as many as find partners.
     """
     # doc_id travels as text, as pandas reads whole numbers beside nulls as fractions
     cut = written(cut.withColumn("doc_id", F.col("doc_id").cast("string")))
     parts = max(1, -(-cut.count() // part_pieces))
     state = cut.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)))
-    empty = [F.lit(None).cast(t).alias(c) for c, t in (("sequence_id", "long"), ("offset", "long"), ("bins_used", "long"), ("bins_bound", "long"), ("loose", "boolean"))]
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("sequence_id", "long"), ("offset", "long"))]
     state = written(state.select("*", *empty).groupBy("part").applyInPandas(_packer(0, capacity, released), SCHEMA))
-    kept = state.filter("NOT loose")
-    r = 0
+    kept, r = None, 0
     while parts > 1 and (rounds is None or r < rounds):
         loose = state.filter("loose")
         if loose.isEmpty():
             break
+        left = state.filter("NOT loose").withColumns({"bins_used": F.col("stay_used"), "bins_bound": F.col("stay_bound")})
+        kept = left if kept is None else kept.unionByName(left)
         r, parts = r + 1, -(-parts // GROUP)
         loose = loose.withColumn("part", F.floor(F.col("part") / GROUP).cast("long"))
         # a group's pieces stay about as many: each of GROUP partitions gave up at most its share
         state = written(loose.groupBy("part").applyInPandas(_packer(r, capacity, released), SCHEMA))
-        kept = kept.unionByName(state.filter("NOT loose"))
-    return kept.unionByName(state.filter("loose")).drop("loose").withColumn("doc_id", F.col("doc_id").cast("long"))
+    every = state if kept is None else kept.unionByName(state)
+    return every.drop("loose", "stay_used", "stay_bound").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packed(pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part", "bins_used", "bins_bound")
+    return packed(pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "round", "part", "bins_used", "bins_bound")

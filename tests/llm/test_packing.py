@@ -109,7 +109,11 @@ def test_certificates_hold(spark):
     cut = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
     got = m.packed(cut, part_pieces=60).toPandas()
     assert len(got) == len(rows) and got.groupby("sequence_id")["length"].sum().max() <= 2048
-    assert (got["bins_used"] >= got["bins_bound"]).all()
+    sets = got.groupby(["round", "part"])
+    for _, own in sets:  # each certificate is that of the packing returned
+        assert set(own["bins_used"]) == {own["sequence_id"].nunique()}
+        assert set(own["bins_bound"]) == {m.lower_bound(own["length"].to_numpy())}
+    assert sets["bins_used"].first().sum() == got["sequence_id"].nunique() and got["round"].max() > 0
     bound = m.lower_bound(got["length"].to_numpy())
     apart = m.packed(cut, part_pieces=60, rounds=0).toPandas()["sequence_id"].nunique()
     assert bound <= got["sequence_id"].nunique() <= apart  # partitions of 60 pieces leave gaps that exchange closes in part
