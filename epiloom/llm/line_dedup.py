@@ -9,7 +9,10 @@ a key whose count falls to 0 leaves both table and filter, so an insertion and
 a later deletion leave the index as it was.  Keys are 128-bit hashes.
 
 To drop lines, the keys of at least `min_docs` documents go into one cuckoo
-filter a shard.  Filters of at most `filter_bytes` in all are sent to every
+filter a shard.  What a document loses is gathered by its doc_id and a hash of its
+text, each key once, so that many rows of one doc_id, or without any, are spread
+by their texts and no row gathers more keys than its own text holds (short of
+texts with equal hashes, whose keys one doc_id loses or keeps alike).  Filters of at most `filter_bytes` in all are sent to every
 task and spare the others' references a shuffle; beyond that size no filter is
 sent and all references go to the exact join, which decides in either case.
 
@@ -120,7 +123,7 @@ def long_enough(key: bytes, least: int) -> bool:
 
 
 def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """a, b (a key's 128 bits), doc_id: each document's distinct keys."""
+    """a, b (a key's 128 bits), doc_id, salt (a hash of the text): each document's distinct keys."""
 
     def split(batches):
         import pyarrow as pa
@@ -133,9 +136,10 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     keys += own
                     rows += [row] * len(own)
                 h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), part.column(0).take(pa.array(rows, pa.int64()))], ["a", "b", "doc_id"])
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), part.column(0).take(at), part.column(2).take(at)], ["a", "b", "doc_id", "salt"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(split, "a long, b long, doc_id long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text"), F.hash("text").alias("salt")).mapInArrow(split, "a long, b long, doc_id long, salt int")
 
 
 def sharded(df: DataFrame, shards: int) -> DataFrame:
@@ -155,7 +159,7 @@ def filters_of(keys: DataFrame) -> DataFrame:
 
 @dataclass
 class LineIndex:
-    """counts: shard, a, b, n, last; filters: shard, tags; refs: a, b, doc_id.  Counts and refs are in the shared folder."""
+    """counts: shard, a, b, n, last; filters: shard, tags; refs: a, b, doc_id, salt.  Counts and refs are in the shared folder."""
 
     counts: DataFrame
     filters: DataFrame
@@ -228,7 +232,7 @@ class LineIndex:
         return self._changed(lost.join(last, ["a", "b"], "left"), rest)
 
     def dropped(self, min_docs: int = MIN_DOCS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-        """doc_id, keys: the 16-byte keys that each document loses."""
+        """doc_id, salt, keys: the 16-byte keys that each document loses."""
         repeated = written(self.counts.filter(F.col("n") >= min_docs))
         filters = written(filters_of(repeated))
         size = filters.agg(F.coalesce(F.sum(F.length("tags")), F.lit(0))).first()[0]
@@ -252,14 +256,15 @@ class LineIndex:
 
             refs = refs.mapInArrow(maybe, refs.schema)
         hits = refs.join(repeated.select("a", "b", "last"), ["a", "b"]).filter(~F.col("doc_id").eqNullSafe(F.col("last")))
-        return hits.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("keys"))
+        return hits.groupBy("doc_id", "salt").agg(F.collect_set(F.struct("a", "b")).alias("keys"))
 
 
 def dedupe_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bytes: int = FILTER_BYTES, shards: int | None = None) -> DataFrame:
     """docs (doc_id, text, ...) with the kept text, n_lines and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
-    lost = LineIndex.of(docs, shards, min_chars).dropped(min_docs, filter_bytes).select(F.col("doc_id").alias("_lost_id"), F.col("keys").alias("_lost_keys"))
-    joined = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost["_lost_id"]), "left").drop("_lost_id")
+    lost = LineIndex.of(docs, shards, min_chars).dropped(min_docs, filter_bytes).select(F.col("doc_id").alias("_lost_id"), F.col("salt").alias("_lost_salt"), F.col("keys").alias("_lost_keys"))
+    same = docs["doc_id"].cast("long").eqNullSafe(lost["_lost_id"]) & (F.hash(docs["text"]) == lost["_lost_salt"])
+    joined = docs.join(lost, same, "left").drop("_lost_id", "_lost_salt")
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 

@@ -49,6 +49,17 @@ def test_equals_brute_force_with_and_without_filters(spark):
     assert m.dedupe_lines(df).columns == ["doc_id", "text", "last", "n_lines", "n_dropped"]
 
 
+def test_a_hot_doc_id_is_spread_by_its_texts(spark):
+    """Half of all rows have no doc_id: none gathers more keys than its own text holds."""
+    rng = random.Random(5)
+    shared = [f"shared line {i} that is long enough to count among the repeated ones" for i in range(60)]
+    docs = [(None if i % 2 else i % 40, "\n".join(rng.sample(shared, 3))) for i in range(240)] + [(None, "\n".join(shared[:3]))] * 50
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert digest(m.dedupe_lines(df, shards=4)) == brute(docs)
+    lost = m.LineIndex.of(df, 4).dropped()
+    assert max(len(r["keys"]) for r in lost.collect()) == 3
+
+
 def test_insertions_and_deletions_are_reversible(spark):
     docs = [x for x in corpus(random.Random(3)) if x[0] is not None and x[0] != 7]
     part = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
