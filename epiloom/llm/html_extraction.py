@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +32,9 @@ TRAINING_PAGES, SEED = 900, 11
 #: Words that notices, adverts and forms carry, in any language's interface.
 CUES = frozenset("cookie cookies copyright subscribe newsletter share login advertisement sponsored comment comments reply rights reserved privacy terms menu related".split())
 
+#: Cues are dense where there is one in so many words of the block.
+CUE_WORDS = 40
+
 
 def step(value: float, *edges: float) -> int:
     return sum(value >= e for e in edges)
@@ -74,9 +77,9 @@ def text_features(blocks: list[Block]) -> list[list[str]]:
         f.append(f"place:{step(i / max(n - 1, 1), 0.1, 0.3, 0.7, 0.9)}")
         told = [w.strip(".,:!?()").lower() for w in words]
         cues = [w for w in told if w in CUES]
-        # a long text may hold a cue by chance: late ones count in full only where cues are dense
-        early = set(cues) if 40 * len(cues) >= m else {w for w in told[:40] if w in CUES}
-        f += {f"cue:{w}" if w in early else f"late:{w}" for w in cues}
+        # a long text may hold a cue by chance: cues count in full where they are dense, wherever they stand
+        weight = "cue" if CUE_WORDS * len(cues) >= m else "rare"
+        f += {f"{weight}:{w}" for w in cues}
         if "©" in b.text:
             f.append("cue:©")
         out.append(f)
@@ -90,27 +93,40 @@ class Crf:
     moves: np.ndarray  # from label, to label
     ends: np.ndarray  # first row: of beginning with a label; second: of ending with it
 
-    def unary(self, blocks: list[Block]) -> np.ndarray:
+    @cached_property
+    def by_name(self) -> dict[str, list[float]]:
+        """Each feature's two weights."""
+        w = self.weights.tolist()
+        return {x: w[i] for x, i in self.index.items()}
+
+    def unary(self, blocks: list[Block]) -> list[tuple[float, float]]:
         """What each block's features weigh for either label; what an element's path weighs is added up once."""
-        index, w = self.index, self.weights
-        weigh = lambda f: w[[index[x] for x in f if x in index]].sum(axis=0)
-        known: dict[int, np.ndarray] = {}
+        weights = self.by_name
+
+        def weigh(features: list[str], a: float = 0.0, b: float = 0.0) -> tuple[float, float]:
+            for x in features:
+                if x in weights:
+                    p, q = weights[x]
+                    a, b = a + p, b + q
+            return a, b
+
+        known: dict[int, tuple[float, float]] = {}
         out = []
         for f, b in zip(text_features(blocks), blocks, strict=True):
             way, node = [], b.node
             while node and id(node) not in known:
                 way.append(node)
                 node = node.parent
-            path = known[id(node)] if node else np.zeros(2)
+            path = known[id(node)] if node else (0.0, 0.0)
             for node in reversed(way):
-                path = known[id(node)] = path + weigh(node.new)
-            out.append(weigh(f) + path)
-        return np.array(out).reshape(-1, 2)
+                path = known[id(node)] = weigh(node.new, *path)
+            out.append(weigh(f, *path))
+        return out
 
     def viterbi(self, blocks: list[Block]) -> list[int]:
         if not blocks:
             return []
-        u = self.unary(blocks).tolist()
+        u = self.unary(blocks)
         (m00, m01), (m10, m11) = self.moves.tolist()
         a, b = u[0][0] + self.ends[0, 0], u[0][1] + self.ends[0, 1]
         back = []

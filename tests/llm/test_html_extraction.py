@@ -47,8 +47,9 @@ def test_broken_markup_and_rows(spark, model):
 def test_cues_of_the_whole_block():
     seen = lambda text: set(block_features(leaf_blocks(f"<div><p>{text}</p></div>"))[0])
     assert {"cue:cookies", "cue:privacy", "cue:©"} <= seen("word " * 60 + "cookies privacy ©")
-    assert "late:cookies" in seen("word " * 300 + "cookies")
-    assert not any(x.startswith(("cue:", "late:")) for x in seen("word " * 300))
+    assert "rare:cookies" in seen("word " * 300 + "cookies")
+    assert seen("cookies " + "word " * 300) == seen("word " * 150 + "cookies " + "word " * 150)  # no place in the block weighs more
+    assert not any(x.startswith(("cue:", "rare:")) for x in seen("word " * 300))
 
 
 MILLION = {
