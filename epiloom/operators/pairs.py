@@ -10,6 +10,8 @@ from ..functions.genes import resolution_status
 from ..functions.text import AA20, InputError, clean, pair_id, usable_cdr3
 from .ranking import finite
 
+#: Panels up to this many rows are sent to every task of a product; larger ones meet the receptors part by part.
+SENT_PANEL = 100_000
 COMPONENTS = ["cdr3a", "trav", "traj", "cdr3b", "trbv", "trbj"]
 IDENTITY = ["receptor_id", *COMPONENTS, "peptide", "hla"]
 
@@ -38,22 +40,23 @@ def component_problem() -> Column:
     )
 
 
-def export_pairs(receptors: DataFrame, panel: DataFrame, donors: DataFrame | None = None, max_pairs: int = 1_000_000, species: str = "human") -> DataFrame:
+def export_pairs(receptors: DataFrame, panel: DataFrame, donors: DataFrame | None = None, max_pairs: int | None = 1_000_000, species: str = "human") -> DataFrame:
     """Every receptor with every distinct panel row: pair_id, the identity columns, and skip_reason (null: to be scored).
 
     Molecules that aren't one expressed protein, named to two fields and with both
     chains where there are two, are no model's input: they are skipped with the rule's reason.
 
     The panel is the stated set; both sides are counted first, and the product
-    may not exceed max_pairs.
+    may not exceed max_pairs.  None: no bound; pairs are made as they are read, so
+    that their number costs time and room of the output only.
     """
     wanted = normalized_panel(panel, species)
-    n, m = receptors.count(), wanted.count()
-    if n * m > max_pairs:
+    m = wanted.count()
+    if max_pairs is not None and (n := receptors.count()) * m > max_pairs:
         raise InputError(f"{n} receptors x {m} panel rows exceed {max_pairs} pairs")
     small = wanted.withColumn("_panel_problem", F.when(F.col("hla_error").isNotNull(), F.col("hla_error")).when(F.col("hla").isNull(), "the panel names no molecule").otherwise(F.col("hla_abstains"))).drop("hla_error", "hla_abstains")
-    full = receptors.select("receptor_id", "donor_id", *COMPONENTS, "pairing_status").crossJoin(F.broadcast(small))  # at most max_pairs rows, counted above
-    full = full.withColumn("_problem", F.nullif(component_problem(), F.lit("")))
+    mine = receptors.select("receptor_id", "donor_id", *COMPONENTS, "pairing_status").withColumn("_problem", F.nullif(component_problem(), F.lit("")))
+    full = mine.crossJoin(F.broadcast(small) if m <= SENT_PANEL else small)
     typing_problem = F.lit(None).cast("string")
     if donors is not None:
         typing = donors.groupBy("donor_id").agg(F.sort_array(F.collect_set("hla")).alias("_typing"))

@@ -257,6 +257,23 @@ def test_pairs_scores_and_lookup(spark):
     assert found == {"P": ("PrecomputedScore", 13.2), "Q": ("Unresolved", None), "R": ("Unresolved", None)}
 
 
+def test_export_without_a_bound_makes_every_pair(spark):
+    r = spark.range(1_000_001).selectExpr("concat('r', id) AS receptor_id", "'d1' AS donor_id", *[f"cast(null AS string) AS {c}" for c in pairs.COMPONENTS], "'paired' AS pairing_status")
+    panel = spark.createDataFrame([("GILGFVFTL", "A*02:01"), ("NLVPMVATV", None)], "peptide string, hla string")
+    out = pairs.export_pairs(r, panel, max_pairs=None)
+    assert out.count() == 2_000_002 and out.filter("skip_reason IS NULL").count() == 0
+    with pytest.raises(InputError):
+        pairs.export_pairs(r, panel)
+
+
+def test_cross_pairs_has_no_bound(spark, tmp_path):
+    from epiloom.plans import catalog
+
+    spark.range(400_001).selectExpr("id AS c_custkey", "cast(id % 25 AS int) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(25).selectExpr("cast(id AS int) AS n_nationkey", "cast(id % 5 AS int) AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    assert catalog.QUERIES["cross_pairs"](spark, str(tmp_path)).count() == 25 * 400_001
+
+
 def test_export_holds_back_what_no_model_takes(spark):
     r = spark.createDataFrame([receptor(), receptor("r2", v="TRBV5-1/TRBV5-4"), ("r3", "d1", "CALWDKNSGYTIEF", "CASRHDPWQNVELFF", "TRAV15D-1/DV6D-1", "TRAJ10", "TRBV5-1", "TRBJ2-7", "paired", ""), ("r4", "d1", "CALWDKNSGYTIEF", "CASRHDPWQNVELFF", "TRAV1/TRAV2", "TRAJ10", "TRBV5-1/DV4", "TRBJ2-7", "paired", "")], RECEPTOR)
     names = ["A*02:01", "HLA-A*02:01N", "HLA-A*02", "HLA-A*02:01:01G", "HLA-A*02:01|HLA-A*02:02", "HLA-DQA1*05:01", "HLA-DQA1*05:01/HLA-DQB1*02:01", "H-2-Kb", "HLA-DRB1*15:01", None]
