@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from epiloom.functions.text import InputError
 from epiloom.operators import background, evaluate, ingest, knn, pairs, profile, ranking, scoring
 from epiloom.operators.edit_join import edit_candidates, edit_join, edit_pairs
-from epiloom.operators.screen import OUTPUT, screen
+from epiloom.operators.screen import OUTPUT, Screening, screen, unmatched
 from epiloom.sources.tables import numbered
 
 AA = "ACDEFGHIKLMNPQRSTVWY"
@@ -126,6 +126,28 @@ def test_drops_are_counted_and_every_receptor_stays(spark):
     assert screened(spark, [], [reference()]) == []
 
 
+def test_receptors_without_evidence_are_told_without_their_pairs(spark):
+    # 30,000 x 30,000 rows of one alpha chain: 900 million comparisons, all ruled out
+    r = spark.range(30_000).selectExpr("concat('r', id) AS receptor_id", "'d1' AS donor_id", "'CALWDKNSGYTIEF' AS cdr3a", "cast(null AS string) AS cdr3b", "'single_alpha' AS pairing_status", "'' AS unusable_chain_context")
+    f = spark.range(30_000).selectExpr("concat('f', id) AS reference_id", "'CALWDKNSGYTIEF' AS cdr3a", "'GILGFVFTL' AS peptide", "'A*02:01' AS hla", "'src' AS source", "'functional' AS evidence")
+    panel, donors = spark.createDataFrame([("GILGFVFTL", "B*07:02"), ("GILGFVFTL", "C*07:01")], "peptide string, hla string"), spark.createDataFrame([("d1", "A*02:01")], "donor_id string, hla string")
+    told = unmatched(r, f, panel, donors).groupBy("reason", "evidence_rank").count().collect()
+    assert [(x["count"], x.evidence_rank) for x in told] == [(30_000, 1)] and "; 60000 comparisons" in told[0].reason
+
+
+def test_pairs_are_made_only_where_the_shared_chains_are_near(spark):
+    # one alpha chain for all, beta chains that differ: 4 million pairs share a chain, 2,001 are evidence
+    beta = "concat('CAS', substr(translate(md5(cast({} AS string)), '0123456789abcdef', 'ACDEFGHIKLMNPQRS'), 1, 12), 'F')"
+    both = lambda n: spark.range(2000).selectExpr(f"concat('{n}', id) AS id", "'CALWDKNSGYTIEF' AS cdr3a", f"{beta.format('id')} AS cdr3b")
+    r = both("r").withColumnRenamed("id", "receptor_id").selectExpr("*", "'d1' AS donor_id", "'paired' AS pairing_status", "'' AS unusable_chain_context")
+    r = r.unionByName(r.limit(1).selectExpr("'one' AS receptor_id", "cdr3a", "concat(substr(cdr3b, 1, 15), 'W') AS cdr3b", "donor_id", "pairing_status", "unusable_chain_context"))
+    f = both("f").withColumnRenamed("id", "reference_id").selectExpr("*", "'GILGFVFTL' AS peptide", "'A*02:01' AS hla", "'src' AS source", "'functional' AS evidence")
+    panel, donors = spark.createDataFrame([("GILGFVFTL", "A*02:01")], "peptide string, hla string"), spark.createDataFrame([("d1", "A*02:01")], "donor_id string, hla string")
+    held = Screening(r, f, panel, donors, 1)
+    assert held._joined(*held._sides(held.base, held.refs, "ab"), "ab").count() == 2001
+    assert sorted(map(tuple, held.evidence().groupBy("evidence_type", "distance").count().collect())) == [("exact_paired", 0, 2000), ("similar_paired", 1, 1)]
+
+
 def contigs(rows):
     return [(*r, None) if len(r) == 6 else r for r in rows]
 
