@@ -74,6 +74,14 @@ def test_edit_candidates_are_a_small_share_of_all_pairs(spark):
     assert got[0] < 0.001 and got[1] < 0.01 and got[2] < 0.05, got
 
 
+def test_edit_candidates_of_short_sequences_are_few(spark):
+    # seven letters of sixteen between equal ends: few pairs are within two edits, many share a half
+    rng = random.Random(8)
+    words = sorted({f"CASS{''.join(rng.choices(AA[:16], k=7))}EQYF" for _ in range(6000)})
+    df = lambda x, c: spark.createDataFrame([(w,) for w in x], f"{c} string")
+    assert edit_candidates(df(words[::2], "a"), df(words[1::2], "b"), 2).count() < 4000
+
+
 def test_edit_join_keeps_rows_and_checks_k(spark):
     a = spark.createDataFrame([(1, "CASSF"), (2, "CASSF")], "id int, s string")
     b = spark.createDataFrame([(9, "CATSF"), (8, "CATSF")], "rid int, r string")
