@@ -53,11 +53,20 @@ class Scratch:
     """A folder in the shared one for tables that nothing reads after the block: it goes with it."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/epiloom-{uuid.uuid4().hex}"
+        self.spark, self.path, self.tables = spark, f"{shared_dir(spark)}/epiloom-{uuid.uuid4().hex}", []
 
     def written(self, df: DataFrame) -> DataFrame:
         return _write(df, f"{self.path}/{uuid.uuid4().hex}")
 
+    def dealt(self, df: DataFrame, column: str) -> DataFrame:
+        """df as a table with a bucket of the column for each shuffle partition: joins by the column needn't shuffle it again."""
+        name = uuid.uuid4().hex
+        self.tables.append(f"spark_catalog.default.epiloom_{name}")
+        buckets = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+        writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}")
+        writer.bucketBy(buckets, column).saveAsTable(self.tables[-1])
+        return self.spark.table(self.tables[-1])
+
     def kept(self, df: DataFrame) -> DataFrame:
         """df, written beside the folder, so that it outlasts the block."""
         return written(df)
@@ -66,6 +75,8 @@ class Scratch:
         return self
 
     def __exit__(self, *_) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

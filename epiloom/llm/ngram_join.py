@@ -14,7 +14,9 @@ shingles as the smaller of their l.
 2. each class's prefix, at its own l, goes to its shingles; lists of one class end there.
 3. of a list, every class names the one whose lists are the longest in all: edited
    copies have shingles of their own in their prefixes, the text that they come
-   from has none.  The class named most often is its hub; hubs are compared whole, and links joined into
+   from has none.  The class named most often is its hub.  Signatures, which count a set's shingles in PARTS
+   by hash, bound what two sets share; pairs that they leave room for a link, and all pairs of a hub
+   that CROWD classes name, are compared whole, and links joined into
    components.  Classes without a link name another, while that finds links.
 4. in each list, pairs of classes of different components are counted.  Two
    classes of one hub h, with o shingles of h each and s shingles beyond the
@@ -24,13 +26,17 @@ shingles as the smaller of their l.
    lists, and no link is lost.
    Of other pairs a few more shared shingles than the smaller l are counted, at
    places that the least overlap leaves them.
-5. pairs with enough shared prefix shingles are compared whole: only now do sets travel.
+5. pairs with enough shared prefix shingles, and signatures that fit, are compared whole: only now do sets travel.
 6. components of all links; a document gets the smallest doc_id of its own.
 
 What is bounded: the sketch has a slot for SKETCH_BYTES of input, 2^20 to 2^24
 of them; a task sends a class once.  A shingle that the sketch takes for very
 frequent is dealt by class as well, and a list of over LIST_ROWS classes is
-split into blocks that meet two at a time.  Sets are made only for classes that
+split into blocks that meet two at a time.  What belongs to a class (root,
+hub, counts) is joined to its list rows where they are read, and not stored
+with them; parts of a hub go along only where it is crowded and some of its
+classes missed it.  Shuffles end, with their files, where a table is written.
+Sets are made only for classes that
 the bounds on size and place allow a link: a cuckoo filter of at most
 `filter_bytes` spares the others the way; beyond that size all sets are sent, and
 the join decides in either case.
@@ -50,10 +56,10 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOT, U64, Scratch, batches_of, mix, ngram_hashes, table, words_hashed, written
+from .common import LOT, U64, Scratch, batches_of, mix, ngram_hashes, release, table, words_hashed, written
 from .components import connected_components
 from .line_dedup import CuckooFilter
 
@@ -62,8 +68,8 @@ WORDS, SHARE, MOST_MATCHES, FILTER_BYTES = 5, (75, 100), 8, 64 << 20
 SKETCH_BYTES, FEWEST_SLOTS, MOST_SLOTS, CHUNK = 128, 20, 24, 1 << 14
 #: Estimated holders of a shingle beyond which its list is dealt by class as well; classes of a list that are compared in one task.
 HOT_HOLDERS, LIST_ROWS = 1 << 16, 1 << 13
-#: Parts, by hash, of a hub's shingles of which each member's are counted.
-PARTS = 256
+#: Parts, by hash, in which a set's shingles are counted; classes that name a hub from which on all of them are compared with it, whatever their signatures, since what they share with it bounds what they share.
+PARTS, CROWD = 256, 8
 #: Those of a list (and band of sizes) among which each class names one; a round of naming another follows while one in so many finds a link; shared shingles counted beyond the smaller l.
 NAMED, WORTH, MORE = 8, 4, 2
 
@@ -183,17 +189,28 @@ def sketch_of(rows: DataFrame, slots: int) -> np.ndarray:
     return out
 
 
+def in_one(size, place, matches) -> np.ndarray:
+    """A shingle's place, its set's size and l as one value: no text has 2^30 words, and l is at most MOST_MATCHES."""
+    return (np.asarray(place).astype(U64) | np.asarray(size).astype(U64) << U64(30) | np.asarray(matches).astype(U64) << U64(60)).view(np.int64)
+
+
+def out_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, place and l of in_one()."""
+    at, low = at.view(U64), U64((1 << 30) - 1)
+    return (at >> U64(30) & low).astype(np.int64), (at & low).astype(np.int64), (at >> U64(60)).astype(np.int64)
+
+
 def prefixes(docs: DataFrame, n: int, share, order) -> DataFrame:
-    """token, salt, class, size, place, matches: the shingles of each class's prefix for its own l.  salt: -1, or a part of a very frequent shingle's holders."""
+    """token, at (in_one), class, salt: the shingles of each class's prefix for its own l.  salt: -1, or a part of a very frequent shingle's holders."""
 
     def read(batches):
         import pyarrow as pa
 
         told, o = set(), Order(order.value)
-        kinds = (np.int64, np.int32, np.int64, np.int32, np.int32, np.int32)
+        kinds = (np.int64, np.int64, np.int64, np.int32)
         for batch in batches:
             for part in batches_of(batch, LOT):
-                out = ([], [], [], [], [], [])
+                out = ([], [], [], [])
                 for s in shingles([t or "" for t in part.column(1).to_pylist()], n):
                     if not len(s) or (c := class_of(s)) in told:
                         continue
@@ -202,12 +219,12 @@ def prefixes(docs: DataFrame, n: int, share, order) -> DataFrame:
                     tokens, df, m, p = o.prefix(s, share)
                     parts = (df[:p] // HOT_HOLDERS).astype(np.int64)
                     salt = np.where(parts > 0, c % np.maximum(parts, 1), -1)
-                    for column, value, kind in zip(out, (tokens[:p].view(np.int64), salt, np.full(p, c, np.int64), np.full(p, len(s)), np.arange(p), np.full(p, m)), kinds, strict=True):
+                    for column, value, kind in zip(out, (tokens[:p].view(np.int64), in_one(np.full(p, len(s)), np.arange(p), np.full(p, m)), np.full(p, c, np.int64), salt), kinds, strict=True):
                         column.append(value.astype(kind))
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "salt", "class", "size", "place", "matches"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "at", "class", "salt"])
 
-    return docs.select("doc_id", "text").mapInArrow(read, "token long, salt int, class long, size int, place int, matches int")
+    return docs.select("doc_id", "text").mapInArrow(read, "token long, at long, class long, salt int")
 
 
 def runs(batches, keys: list[str], columns: list[str]):
@@ -288,22 +305,23 @@ def named_in(c, n, reach, share, apart) -> tuple[np.ndarray, np.ndarray]:
     return found, some
 
 
-LISTS = "token long, class long, size int, place int, matches int, least int, held int"
+LISTS = "token long, class long, size int, place int, matches int, least int, held int, hot boolean"
 
 
 def shared_lists(prefix_rows: DataFrame, share) -> DataFrame:
-    """The rows whose shingle is in the prefixes of several classes; least: how many prefix shingles a link with any of them needs, if sizes and places allow one here; held: how many classes."""
+    """The rows whose shingle is in the prefixes of several classes; least: how many prefix shingles a link with any of them needs, if sizes and places allow one here; held: how many classes; hot: whether the list may have over LIST_ROWS of them."""
 
     def keep(batches):
         import pyarrow as pa
 
-        for (token, salt), (c, n, p, m), starts in runs(batches, ["token", "salt"], ["class", "size", "place", "matches"]):
+        for (token, salt), (c, at), starts in runs(batches, ["token", "salt"], ["class", "at"]):
             run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
             keep = np.append(True, (c[1:] != c[:-1]) | (run[1:] != run[:-1]))  # copies that other tasks sent
             keep &= (np.bincount(run, keep)[run] > 1) | (salt >= 0)
             if not keep.any():
                 continue
-            token, salt, c, n, p, m, run = (x[keep] for x in (token, salt, c, n.astype(np.int64), p.astype(np.int64), m.astype(np.int64), run))
+            token, salt, c, at, run = (x[keep] for x in (token, salt, c, at, run))
+            n, p, m = out_of(at)
             starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
             starts = np.append(starts, len(run))
             least = np.full(len(c), 1 << 30)
@@ -327,17 +345,24 @@ def shared_lists(prefix_rows: DataFrame, share) -> DataFrame:
                 meet(i, j)
             least[salt >= 0] = np.minimum(least[salt >= 0], 1)
             held = np.repeat(np.diff(starts), np.diff(starts))
-            for at in range(0, len(c), 50_000):
-                x = slice(at, at + 50_000)
+            for k in range(0, len(c), 50_000):
+                x = slice(k, k + 50_000)
                 small = lambda y: pa.array(y[x].astype(np.int32))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[x]), pa.array(c[x]), small(n), small(p), small(m), pa.array(least[x].astype(np.int32), mask=least[x] == 1 << 30), small(held)],
-                    ["token", "class", "size", "place", "matches", "least", "held"],
+                    [pa.array(token[x]), pa.array(c[x]), small(n), small(p), small(m), pa.array(least[x].astype(np.int32), mask=least[x] == 1 << 30), small(held), pa.array((held[x] > LIST_ROWS) | (salt[x] >= 0))],
+                    ["token", "class", "size", "place", "matches", "least", "held", "hot"],
                 )
 
     return prefix_rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "class").mapInArrow(keep, LISTS)
 
 
+def linkable(lists: DataFrame) -> DataFrame:
+    """The rows of classes that share as many prefix shingles as a link needs, with reach: how long a class's lists are in all."""
+    own = Window.partitionBy("class")
+    rows = lists.withColumns({"rows": F.count("*").over(own), "fewest": F.min("least").over(own), "reach": F.sum("held").over(own)})
+    return rows.filter("rows >= fewest").select("token", "class", "size", "place", "matches", "reach", "hot")
+
+
 def hubs(votes: DataFrame) -> DataFrame:
     """class, hub: the class that each one names most often (of several the least); once is enough only for small sets."""
     counted = votes.groupBy("class", F.col("named").alias("hub")).agg(F.count("*").alias("times"), F.first("size").alias("size")).filter("times >= 2 OR size < 16")
@@ -370,6 +395,16 @@ def naming(lists: DataFrame, share) -> DataFrame:
     return lists.filter("other = block").mapInArrow(emit, "class long, named long, size int")
 
 
+def hub_here(starts: np.ndarray, c: np.ndarray, hub: np.ndarray) -> np.ndarray:
+    """Whether each row's hub is another class of its run."""
+    out, at = np.zeros(len(c), bool), np.flatnonzero(hub != c)
+    if len(at):
+        names = np.unique(np.concatenate([c, hub[at]]))
+        run = np.repeat(np.arange(len(starts) - 1), np.diff(starts)) * len(names)
+        out[at] = np.isin(run[at] + np.searchsorted(names, hub[at]), run + np.searchsorted(names, c))
+    return out
+
+
 def across(lists: DataFrame, share) -> DataFrame:
     """a, b: pairs of classes of different components that share as many prefix shingles as a link needs."""
 
@@ -390,6 +425,7 @@ def across(lists: DataFrame, share) -> DataFrame:
             n, p, m, o, s = (x.astype(np.int64) for x in (n, p, m, o, s))
             known = np.array([x is not None for x in parts])
             held_of = np.frombuffer(b"".join(x or bytes(PARTS) for x in parts), np.uint8).reshape(-1, PARTS)
+            of_hub = of_hub | hub_here(starts, c, hub)
 
             def split(a, b):
                 kinds, kind, count = np.unique(root[a:b], return_inverse=True, return_counts=True)  # noqa: B023
@@ -426,7 +462,7 @@ def across(lists: DataFrame, share) -> DataFrame:
 
 def long_lists(lists: DataFrame) -> DataFrame:
     """token, blocks: into how many blocks the lists of over LIST_ROWS rows are split."""
-    return lists.groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > LIST_ROWS).select("token", F.ceil(F.col("rows") / LIST_ROWS).cast("int").alias("blocks"))
+    return lists.filter("hot").groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > LIST_ROWS).select("token", F.ceil(F.col("rows") / LIST_ROWS).cast("int").alias("blocks"))
 
 
 def in_blocks(lists: DataFrame, long: DataFrame, pairs: bool) -> DataFrame:
@@ -471,8 +507,14 @@ def known_in(keep):
     return known
 
 
+def signature(s: np.ndarray) -> bytes | None:
+    """How many shingles of the set are in each of PARTS, a byte each; null beyond a byte."""
+    of = np.bincount((s >> U64(56)).astype(np.int64), minlength=PARTS)
+    return None if of.max() > 255 else of.astype(np.uint8).tobytes()
+
+
 def sets_of(docs: DataFrame, classes: DataFrame, n: int, share, order, filter_bytes: int) -> DataFrame:
-    """class, prefix, tokens: the sets, in order, of the given classes, and the lengths of their prefixes."""
+    """class, prefix, tokens, signature: the sets, in order, of the given classes, and the lengths of their prefixes."""
     keep = filter_of(classes, filter_bytes)
 
     def read(batches):
@@ -489,34 +531,40 @@ def sets_of(docs: DataFrame, classes: DataFrame, n: int, share, order, filter_by
                         if len(told) < 1 << 20:
                             told.add(c)
                         tokens, _, _, p = o.prefix(s, share)
-                        rows.append((c, p, tokens.tobytes()))
+                        rows.append((c, p, tokens.tobytes(), signature(s)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["class", "prefix", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["class", "prefix", "tokens", "signature"])
 
-    sets = docs.select("doc_id", "text").mapInArrow(read, "class long, prefix int, tokens binary")
+    sets = docs.select("doc_id", "text").mapInArrow(read, "class long, prefix int, tokens binary, signature binary")
     return sets.join(classes, "class", "left_semi").dropDuplicates(["class"])
 
 
-def only(sets: DataFrame, classes: DataFrame, filter_bytes: int) -> DataFrame:
-    """The sets of the given classes, and few others: what is joined next travels, the rest stays where it is."""
-    keep = filter_of(classes, filter_bytes)
-    if keep is None:
-        return sets
+def fitting(pairs: DataFrame, sets: DataFrame, share, crowded: bool = False) -> DataFrame:
+    """The pairs (a, b) whose signatures leave room for a link; with crowded, also all of a b that CROWD pairs have."""
+    stay = F.lit(False)
+    if crowded:
+        crowd = pairs.groupBy("b").agg(F.count("*").alias("named")).filter(F.col("named") >= CROWD).select("b", F.lit(True).alias("crowd"))
+        pairs, stay = pairs.join(crowd, "b", "left"), F.coalesce("crowd", F.lit(False))
+    of = lambda side, name: sets.select(F.col("class").alias(side), F.col("signature").alias(name))
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y", stay.alias("stay"))
 
     def read(batches):
         import pyarrow as pa
 
-        known = known_in(keep)
         for batch in batches:
-            yield batch.filter(pa.array(known(batch.column(0).to_numpy())))
+            x, y = (batch.column(i).to_pylist() for i in (2, 3))
+            unknown = np.array([i is None or j is None for i, j in zip(x, y, strict=True)], bool)
+            x, y = (np.frombuffer(b"".join(i or bytes(PARTS) for i in z), np.uint8).reshape(-1, PARTS) for z in (x, y))
+            n, m, most = (z.sum(axis=1, dtype=np.int64) for z in (x, y, np.minimum(x, y)))
+            ok = batch.column(4).to_numpy(zero_copy_only=False).astype(bool) | unknown | (most >= overlap(n, m, share))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    return sets.mapInArrow(read, sets.schema)
+    return both.mapInArrow(read, "a long, b long")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, share, filter_bytes: int) -> DataFrame:
+def compared(pairs: DataFrame, sets: DataFrame, share) -> DataFrame:
     """a, b, linked, over (how many shingles they share), beyond (how many of a's come after its prefix and aren't b's) and parts (how many of the shared ones are in each of PARTS, a byte each; null beyond a byte) of pairs (a, b)."""
     p, q = share
-    sets = only(sets, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), filter_bytes)
     first = pairs.join(sets.select(F.col("class").alias("a"), "prefix", F.col("tokens").alias("x")), "a")
     both = first.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "prefix", "x", "y")
 
@@ -532,28 +580,33 @@ def compared(pairs: DataFrame, sets: DataFrame, share, filter_bytes: int) -> Dat
                 linked.append(q * o >= p * (len(x) + len(y) - o))
                 over.append(o)
                 beyond.append(len(x) - head - int(common[head:].sum()))
-                of = np.bincount((x[common] >> U64(56)).astype(np.int64), minlength=PARTS)
-                parts.append(None if of.max() > 255 else of.astype(np.uint8).tobytes())
+                parts.append(signature(x[common]))
             columns = [pa.array(linked, pa.bool_()), pa.array(over, pa.int32()), pa.array(beyond, pa.int32()), pa.array(parts, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", "linked", "over", "beyond", "parts"])
 
     return both.mapInArrow(read, "a long, b long, linked boolean, over int, beyond int, parts binary")
 
 
-def rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """lists with each class's root (its own, if roots has none)."""
-    return lists.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+def rooted(lists: DataFrame, told: DataFrame, roots: DataFrame) -> DataFrame:
+    """lists with what is told of each class (its hub and more) and its root; its own, where there is none."""
+    of_class = told.join(roots.withColumnRenamed("node", "class"), "class", "full")
+    return lists.join(of_class, "class", "left").withColumns({"root": F.coalesce("root", "class"), "hub": F.coalesce("hub", "class")})
+
+
+def by_hub(found: DataFrame) -> DataFrame:
+    """class, hub, over, beyond and parts of what was compared; parts only where a crowded hub was missed, since elsewhere few pairs of its classes are looked at, or none."""
+    of_hub = found.groupBy("b").agg(F.count("*").alias("named"), F.min("linked").alias("all"))
+    missed = of_hub.filter((F.col("named") >= CROWD) & ~F.col("all")).select("b", F.lit(True).alias("missed"))
+    return found.join(missed, "b", "left").select(F.col("a").alias("class"), F.col("b").alias("hub"), "over", "beyond", F.when(F.col("missed"), F.col("parts")).alias("parts"))
 
 
-def with_hubs(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """lists with hub, over and beyond (-1 where there is none), parts, and whether the hub's prefix holds the shingle."""
-    # where all members are linked to their hub, no pair of them is looked at
-    missed = found.filter("NOT linked").select(F.col("b").alias("hub")).distinct().withColumn("missed", F.lit(True))
-    told = found.select(F.col("a").alias("class"), F.col("b").alias("hub"), "over", "beyond", "parts").join(missed, "hub", "left")
-    told = told.select("class", "hub", "over", "beyond", F.when(F.col("missed"), F.col("parts")).alias("parts"))
-    rows = lists.join(told, "class", "left").withColumn("hub", F.coalesce("hub", "class")).withColumn("over", F.coalesce("over", F.lit(-1))).withColumn("beyond", F.coalesce("beyond", F.lit(-1)))
-    theirs = rows.filter("over >= 0").select("token", "hub").distinct().join(lists.select("token", F.col("class").alias("hub")), ["token", "hub"]).withColumn("of_hub", F.lit(True))
-    return rows.join(theirs, ["token", "hub"], "left").withColumn("of_hub", F.coalesce("of_hub", F.lit(False)))
+def with_hubs(lists: DataFrame, found: DataFrame, roots: DataFrame, long: DataFrame) -> DataFrame:
+    """lists with root, hub, over and beyond (-1 where there is none), parts, and whether the hub's prefix holds the shingle, as far as blocks of a list can't tell."""
+    rows = rooted(lists, by_hub(found), roots).withColumns({"over": F.coalesce("over", F.lit(-1)), "beyond": F.coalesce("beyond", F.lit(-1))})
+    if long.isEmpty():
+        return rows.withColumn("of_hub", F.lit(False))
+    theirs = lists.join(long.select("token"), "token", "left_semi").select("token", F.col("class").alias("hub"), F.lit(True).alias("of_hub"))
+    return rows.join(theirs, ["token", "hub"], "left").withColumn("of_hub", F.coalesce("of_hub", F.lit(False)) & (F.col("hub") != F.col("class")))
 
 
 def jaccard_links(docs: DataFrame, n: int = WORDS, share: tuple[int, int] = SHARE, filter_bytes: int = FILTER_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -563,26 +616,32 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, share: tuple[int, int] = SHAR
     rows = written(described(docs, n, slots))
     members = rows.filter("class IS NOT NULL").select("doc_id", "size", "class")
     order = docs.sparkSession.sparkContext.broadcast(sketch_of(rows.filter("class IS NULL").select("chunk", "counts"), slots))
-    with Scratch(docs.sparkSession) as scratch:
-        every = scratch.written(shared_lists(prefixes(docs, n, share, order), share))
-        classes = every.groupBy("class").agg(F.count("*").alias("rows"), F.min("least").alias("least"), F.sum("held").alias("reach")).filter("rows >= least").select("class", "reach")
-        classes = scratch.written(classes)  # all others share too few prefix shingles for a link
-        sets = scratch.written(sets_of(docs, classes.select("class"), n, share, order, filter_bytes))
-        every = scratch.written(every.drop("least", "held").join(classes, "class"))
-        long = scratch.written(long_lists(every))
-        alone = every.withColumns({"root": F.col("class"), "hub": F.col("class")})
-        pairs = scratch.written(hubs(naming(in_blocks(alone, long, pairs=False), share)).select(F.col("class").alias("a"), F.col("hub").alias("b")))
-        found = scratch.written(compared(pairs, sets, share, filter_bytes))
-        lists = scratch.written(with_hubs(every, found))
-        links, tested = found.filter("linked").select("a", "b"), found
-        roots = merged(docs.sparkSession.createDataFrame([], "node long, root long"), links)
-        while WORTH * links.count() > tested.count():  # to save work: pairs within a component need no look below
-            more = hubs(naming(in_blocks(rooted(lists.drop("parts"), roots), long, pairs=False), share)).select(F.col("class").alias("a"), F.col("hub").alias("b"))
-            tested = scratch.written(compared(scratch.written(more), sets, share, filter_bytes))
-            links = tested.filter("linked").select("a", "b")
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch:
+        lists = scratch.dealt(linkable(shared_lists(prefixes(docs, n, share, order), share)), "class")  # all others share too few prefix shingles for a link
+        release(spark)
+        classes = scratch.written(lists.select("class").distinct())
+        sets = scratch.dealt(sets_of(docs, classes, n, share, order, filter_bytes), "class")
+        release(spark)
+        long = scratch.written(long_lists(lists))
+        lists = lists.drop("hot")
+        alone = lists.withColumns({"root": F.col("class"), "hub": F.col("class")})
+        named = scratch.written(hubs(naming(in_blocks(alone, long, pairs=False), share)).select(F.col("class").alias("a"), F.col("hub").alias("b")))
+        found = scratch.written(compared(scratch.written(fitting(named, sets, share, crowded=True)), sets, share))
+        release(spark)
+        links, tested = found.filter("linked").select("a", "b"), named.count()
+        roots = merged(spark.createDataFrame([], "node long, root long"), links)
+        first = named.select(F.col("a").alias("class"), F.col("b").alias("hub"))
+        while WORTH * links.count() > tested:  # to save work: pairs within a component need no look below
+            more = scratch.written(hubs(naming(in_blocks(rooted(lists, first, roots), long, pairs=False), share)).select(F.col("class").alias("a"), F.col("hub").alias("b")))
+            again = scratch.written(compared(scratch.written(fitting(more, sets, share)), sets, share))
+            release(spark)
+            links, tested = again.filter("linked").select("a", "b"), more.count()
             roots = merged(roots, links)
-        left = scratch.written(across(in_blocks(rooted(lists, roots), long, pairs=True), share))
-        return members, merged(roots, compared(left, sets, share, filter_bytes).filter("linked").select("a", "b")).withColumnRenamed("node", "class")
+        left = scratch.written(across(in_blocks(with_hubs(lists.drop("reach"), found, roots, long), long, pairs=True), share))
+        release(spark)
+        left = scratch.written(fitting(left, sets, share))
+        return members, merged(roots, compared(left, sets, share).filter("linked").select("a", "b")).withColumnRenamed("node", "class")
 
 
 def merged(first: DataFrame, links: DataFrame) -> DataFrame:
