@@ -127,6 +127,38 @@ def test_exact_and_similar_evidence(spark):
     assert [c for c in rows[0].asDict()] == [c for c, _ in OUTPUT]
 
 
+def test_evidence_from_lists_equals_evidence_from_rows(spark, monkeypatch):
+    from epiloom.operators import screen as module
+
+    rng = random.Random(4)
+    chains = [None, *["CA" + "".join(rng.choices("AC", k=n)) + "F" for n in (3, 3, 4, 4, 5)], "CX*F"]
+    genes = lambda g: [None, *[f"{g}{n}-1{allele}" for n in (5, 6) for allele in ("", "*01", "*02")]]
+    pick = lambda g: rng.choice(genes(g))
+    calls = lambda: (pick("TRAV"), "TRAJ10", pick("TRBV"), rng.choice([None, "TRBJ2-7"]))
+    receptors = [(f"r{i}", rng.choice(["d1", "d2", "d9", None]), rng.choice(chains), rng.choice(chains), *calls(), "paired", rng.choice([None, "", "x"])) for i in range(60)]
+    receptors += receptors[:2]  # ids of several rows are ranked together
+    molecules = [None, "A*02:01", "A*02:01N", "A*03:01", "B*07:02"]
+    references = [(f"f{i:03}", rng.choice(chains), rng.choice(chains), *calls(), rng.choice("PQR"), rng.choice(molecules), "s", rng.choice(["functional", "Multimer", "curated", None])) for i in range(150)]
+    panel = [(p, m) for p in "PQ" for m in molecules if rng.random() < 0.8]
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    given = [make(receptors, RECEPTOR), make(references, REFERENCE), make(panel, "peptide string, hla string"), make([("d1", "A*02:01"), ("d1", "B*07:02"), ("d2", "A*03:01")], "donor_id string, hla string")]
+    held = Screening(*given, 1)
+    want = held.evidence()
+    order = lambda df: sorted(map(repr, df.collect()))
+    wanted = order(want)
+    assert len(wanted) > 1000
+    monkeypatch.setattr(module, "LISTED_FROM", 0)
+    longest = held.facts.selectExpr("max(n_a + n_b + n_ab)").first()[0]
+    # long lists by rows; hot junctions in pieces; everything by lists, but the two ids
+    for longest_list, rows_a_task in ((longest // 2, 50), (longest, 2_000_000)):
+        monkeypatch.setattr(module, "LIST", longest_list)
+        monkeypatch.setattr(module, "ROWS_A_TASK", rows_a_task)
+        assert order(held.evidence()) == wanted
+    # no row of evidence is shuffled or sorted by receptor
+    once = Screening(given[0].dropDuplicates(["receptor_id"]), *given[1:], 1).evidence()
+    assert "Window" not in once._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_drops_are_counted_and_every_receptor_stays(spark):
     rows = screened(spark, [receptor(), receptor("r2")], [reference(mhc="A*02:01"), reference("null", mhc="A*02:01N")], panel=[("GILGFVFTL", "B*07:02"), ("GILGFVFTL", "C*07:01")])
     assert [(r.receptor_id, r.evidence_type) for r in rows] == [("r1", "none"), ("r2", "none")]
